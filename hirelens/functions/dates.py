@@ -22,21 +22,26 @@ USUAL_SHAPE = (
     r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
     r"(?:\.[0-9]{1,6})?(?:[+-](?:0[0-9]|1[0-7]):[0-5][0-9])?\z"
 )
-UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799  # years 1 to 9999
 
 
 def iso_to_timestamp(text: Column | str) -> Column:
-    """Second precision; no offset means UTC; null where the text is no ISO timestamp."""
+    """Second precision; no offset means UTC; null where the text is no ISO timestamp.
+
+    Nothing here depends on the time zone of the session.
+    """
     trimmed = F.regexp_replace(F.btrim(as_column(text), F.lit(" \t\r\n")), r"[Zz]\z", "+00:00")
     usual = F.rlike(trimmed, F.lit(USUAL_SHAPE))
-    parsed = F.when(usual, trimmed.try_cast("timestamp")).when(
-        F.rlike(trimmed, F.lit(ISO_SHAPE)), _unusual_timestamp(trimmed)
+    zoned = F.when(F.rlike(trimmed, F.lit(r"[+-][0-9:]{5}\z")), trimmed).otherwise(
+        F.concat(trimmed, F.lit("+00:00"))
+    )
+    seconds = F.when(usual, F.unix_timestamp(zoned.try_cast("timestamp"))).when(
+        F.rlike(trimmed, F.lit(ISO_SHAPE)), _unusual_seconds(trimmed)
     )
-    return F.timestamp_seconds(F.unix_timestamp(parsed))
+    return F.timestamp_seconds(seconds)
 
 
-def _unusual_timestamp(text: Column) -> Column:
+def _unusual_seconds(text: Column) -> Column:
     """Basic, week-date and shortened forms, field by field; only such rows come here."""
 
     def group(index: int) -> Column:
@@ -45,20 +50,18 @@ def _unusual_timestamp(text: Column) -> Column:
     def number(*indexes: int) -> Column:
         return F.coalesce(*(group(index).cast("int") for index in indexes), F.lit(0))
 
-    def midnight(year: Column, month: Column, day: Column) -> Column:
-        zero = F.lit(0)
-        return F.try_make_timestamp(year, month, day, zero, zero, zero.cast("decimal(8,6)"), F.lit("UTC"))
-
-    calendar = midnight(F.coalesce(group(1), group(4)).cast("int"), number(2, 5), number(3, 6))
+    calendar = F.concat(
+        F.coalesce(group(1), group(4)), F.lit("-"), F.coalesce(group(2), group(5)), F.lit("-"),
+        F.coalesce(group(3), group(6)),
+    ).try_cast("date")
     # ISO week one holds 4 January and starts on a Monday.
-    week_one = F.date_trunc("week", midnight(group(7).cast("int"), F.lit(1), F.lit(4)))
+    week_one = F.trunc(F.concat(group(7), F.lit("-01-04")).try_cast("date"), "week")
     week_days = (number(8) - 1) * 7 + F.coalesce(group(9).cast("int"), F.lit(1)) - 1
-    week = F.when(number(8).between(1, 53), F.timestamp_seconds(
-        F.unix_timestamp(week_one) + week_days * 86400))
+    week = F.when(number(8).between(1, 53), F.date_add(week_one, week_days))
     clock = number(10, 13) * 3600 + number(11, 14) * 60 + number(12, 15)
     offset = number(17) * 3600 + number(18) * 60 + number(19)
     shift = F.when(group(16) == "-", clock + offset).otherwise(clock - offset)
-    return F.timestamp_seconds(F.unix_timestamp(F.coalesce(calendar, week)) + shift)
+    return F.unix_date(F.coalesce(calendar, week)).cast("bigint") * 86400 + shift
 
 
 def epoch_to_timestamp(value: Column | str, milliseconds: bool = False) -> Column:
@@ -69,7 +72,13 @@ def epoch_to_timestamp(value: Column | str, milliseconds: bool = False) -> Colum
 
 def utc_text(moment: Column | str) -> Column:
     """Fixed-width UTC text; an empty string for a missing moment."""
-    return F.coalesce(F.date_format(as_column(moment), UTC_FORMAT), F.lit(""))
+    seconds = F.unix_timestamp(as_column(moment))
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86400))
+    clock = F.format_string(
+        "T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60
+    )
+    return F.coalesce(F.concat(day, clock), F.lit(""))
 
 
 def iso_to_utc_text(text: Column | str) -> Column:

@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from ..fixed_values import BLOCK_TAGS
 
@@ -60,17 +61,17 @@ def markup_text(text: str, drop_script: bool) -> str:
     return unescape("".join(reader.pieces))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _markup_keep(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: markup_text(text, False), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _markup_drop(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: markup_text(text, True), na_action="ignore")
 

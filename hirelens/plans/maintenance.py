@@ -86,8 +86,8 @@ def silver_postings(postings: DataFrame, companies: DataFrame) -> DataFrame:
         .alias("seniority_level"),
         *salary,
         F.col("description").alias("raw_description"),
-        blank_to_null("posting_date").try_cast("timestamp").cast("date").alias("posted_date"),
-        F.col("collected_at").try_cast("timestamp").cast("date").alias("scraped_date"),
+        F.substring("posting_date", 1, 10).try_cast("date").alias("posted_date"),
+        F.substring("collected_at", 1, 10).try_cast("date").alias("scraped_date"),
         "source_url", F.col("ats").alias("source_platform"),
     )
 

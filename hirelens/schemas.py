@@ -1,7 +1,8 @@
-"""Explicit schemas: raw payloads per source, the normalised posting, silver and gold tables."""
+"""Explicit schemas as DDL: raw payloads per source, the normalised posting, silver and gold tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 NAMED = "STRUCT<name STRING>"
@@ -9,11 +10,7 @@ LABELLED = "STRUCT<label STRING>"
 SECTION = "STRUCT<title STRING, text STRING>"
 
 
-def schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-LEVER_RAW = schema(
+LEVER_RAW = (
     "id STRING, text STRING, createdAt BIGINT, country STRING, workplaceType STRING, "
     "categories STRUCT<location STRING, allLocations ARRAY<STRING>, team STRING, "
     "department STRING, commitment STRING>, descriptionPlain STRING, description STRING, "
@@ -26,12 +23,12 @@ GREENHOUSE_JOB = (
     "application_deadline STRING, internal_job_id STRING, "
     f"location {NAMED}, departments ARRAY<{NAMED}>, offices ARRAY<{NAMED}>>"
 )
-GREENHOUSE_RAW = schema(f"jobs ARRAY<{GREENHOUSE_JOB}>, meta STRUCT<total BIGINT>")
+GREENHOUSE_RAW = f"jobs ARRAY<{GREENHOUSE_JOB}>, meta STRUCT<total BIGINT>"
 
-SMARTRECRUITERS_PAGE = schema(
+SMARTRECRUITERS_PAGE = (
     "offset BIGINT, content ARRAY<STRUCT<id STRING>>, totalFound BIGINT"
 )
-SMARTRECRUITERS_RAW = schema(
+SMARTRECRUITERS_RAW = (
     "id STRING, name STRING, releasedDate STRING, postingUrl STRING, applyUrl STRING, "
     "refNumber STRING, location STRUCT<fullLocation STRING, city STRING, region STRING, "
     "country STRING, hybrid BOOLEAN, remote BOOLEAN>, "
@@ -41,7 +38,7 @@ SMARTRECRUITERS_RAW = schema(
     f"qualifications {SECTION}, additionalInformation {SECTION}>>"
 )
 
-POSTING = schema(
+POSTING = (
     "company STRING, job_id STRING, job_title STRING, location STRING, "
     "all_locations ARRAY<STRING>, country_code STRING, team STRING, department STRING, "
     "commitment STRING, workplace_type STRING, description STRING, "
@@ -52,38 +49,44 @@ POSTING = schema(
     "offices ARRAY<STRING>"
 )
 
-RESPONSE = schema("job_id STRING, source_response STRING, content STRING")
+RESPONSE = ("job_id STRING, source_response STRING, content STRING")
 
 SILVER = {
-    "company": schema(
+    "company": (
         "company_id STRING NOT NULL, name STRING, website_url STRING, career_page_url STRING, "
         "company_type STRING, data_source_status STRING"
     ),
-    "company_location": schema(
+    "company_location": (
         "location_id STRING NOT NULL, company_id STRING, country STRING, city STRING, is_hq BOOLEAN"
     ),
-    "job_posting": schema(
+    "job_posting": (
         "job_id STRING NOT NULL, company_id STRING, title STRING, department STRING, "
         "employment_type STRING, job_location STRING, seniority_level STRING, salary_min DOUBLE, "
         "salary_max DOUBLE, salary_currency STRING, raw_description STRING NOT NULL, "
         "posted_date DATE, scraped_date DATE NOT NULL, source_url STRING NOT NULL, "
         "source_platform STRING, extraction_confidence DOUBLE"
     ),
-    "category": schema(
+    "category": (
         "category_id STRING NOT NULL, main_type STRING, sub_type STRING, taxonomy_version INT"
     ),
-    "job_category": schema(
+    "job_category": (
         "job_id STRING NOT NULL, category_id STRING NOT NULL, confidence_score DOUBLE"
     ),
-    "skill": schema("skill_id STRING NOT NULL, skill_name STRING, skill_type STRING"),
-    "job_skill": schema("job_id STRING NOT NULL, skill_id STRING NOT NULL"),
-    "scrape_log": schema(
+    "skill": ("skill_id STRING NOT NULL, skill_name STRING, skill_type STRING"),
+    "job_skill": ("job_id STRING NOT NULL, skill_id STRING NOT NULL"),
+    "scrape_log": (
         "scrape_id STRING NOT NULL, company_id STRING, scrape_date DATE, jobs_found BIGINT, "
         "status STRING, error_message STRING"
     ),
 }
 
-GOLD_TREND = schema(
+GOLD_TREND = (
     "snapshot_id STRING NOT NULL, scrape_id STRING, category_id STRING, company_id STRING, "
     "job_count BIGINT, snapshot_date DATE"
 )
+
+
+def conform(table: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a schema, in its order and types."""
+    wanted = StructType.fromDDL(ddl)
+    return table.select(*(F.col(field.name).cast(field.dataType) for field in wanted.fields))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql.types import StructType
 
 from .. import schemas
 from . import greenhouse, lever, smartrecruiters
@@ -14,7 +13,7 @@ from . import greenhouse, lever, smartrecruiters
 
 @dataclass(frozen=True)
 class Adapter:
-    schema: StructType
+    schema: str
     explode: Callable[[DataFrame], DataFrame]
     normalise: Callable[[DataFrame, str | Column, str | Column], DataFrame]
 

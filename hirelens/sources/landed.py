@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructField, StructType, StringType
 
 from ..fixed_values import ANALYSIS_COLUMNS
 from ..functions.salary import with_any_salary
@@ -15,12 +14,11 @@ CORRUPT = "_corrupt_record"
 
 
 def read_json(
-    spark: SparkSession, path: str, schema: StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: str, multi_line: bool = True
 ) -> DataFrame:
     """JSON files under a path. Line-delimited landings split across tasks; whole documents do not."""
-    with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return (
-        spark.read.schema(with_corrupt)
+        spark.read.schema(f"{schema}, {CORRUPT} STRING")
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import GOLD_TREND, SILVER
+from ..schemas import GOLD_TREND, SILVER, conform
 from .register_values import register_rows
 
 
@@ -35,9 +35,7 @@ def write_results(results: DataFrame, path: str) -> bool:
 
 
 def write_silver(table: DataFrame, name: str, root: str) -> None:
-    wanted = SILVER[name]
-    typed = table.select(*(F.col(field.name).cast(field.dataType) for field in wanted.fields))
-    typed.write.mode("overwrite").parquet(f"{root}/silver/{name}")
+    conform(table, SILVER[name]).write.mode("overwrite").parquet(f"{root}/silver/{name}")
 
 
 def read_silver(spark: SparkSession, name: str, root: str) -> DataFrame:
@@ -45,16 +43,13 @@ def read_silver(spark: SparkSession, name: str, root: str) -> DataFrame:
 
 
 def append_log(log: DataFrame, root: str) -> None:
-    wanted = SILVER["scrape_log"]
-    typed = log.select(*(F.col(field.name).cast(field.dataType) for field in wanted.fields))
-    typed.write.mode("append").parquet(f"{root}/silver/scrape_log")
+    conform(log, SILVER["scrape_log"]).write.mode("append").parquet(f"{root}/silver/scrape_log")
 
 
 def write_trend_snapshot(snapshot: DataFrame, root: str) -> None:
     """One partition per snapshot date; writing a date again replaces that date only."""
-    typed = snapshot.select(*(F.col(field.name).cast(field.dataType) for field in GOLD_TREND.fields))
     (
-        typed.write.mode("overwrite")
+        conform(snapshot, GOLD_TREND).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("snapshot_date")
         .parquet(f"{root}/gold/category_trend_snapshot")
