@@ -1,7 +1,8 @@
-"""The two places where Spark has no built-in: entity decoding and HTML parsing.
+"""Entity decoding and HTML text.
 
-Only rows that need Python go there: the argument is null for every other row, so Arrow
-carries nothing for them, and the JVM keeps the original text.
+Spark has no built-in for either. Texts that use only the common entities and plain tags stay in
+the JVM, where a few replacements are exact; any other text goes to Python, one column at a time,
+with nulls in place of the rows that stayed behind.
 """
 
 from __future__ import annotations
@@ -22,6 +23,21 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DECODING_PASSES = 3
 
+# Entities decoded in the JVM; the ampersand comes last, so a pass never decodes its own output.
+COMMON_ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&",
+}
+COMMON_NAMES = "(?:lt|gt|quot|apos|#39|nbsp|amp);"
+# Anything else that could be an entity: now, or after decoding the ampersands before it.
+OTHER_ENTITY = f"&(?!{COMMON_NAMES})[A-Za-z#]"
+OTHER_ENTITY_DEEP = f"&(?:amp;)*(?!{COMMON_NAMES})[A-Za-z#]"
+# A "<" that does not open a plain tag, or opens an element whose content is not parsed as usual.
+UNUSUAL_MARKUP = (
+    r"(?i)<(?:/?(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)\b"
+    r"|(?!/?[a-z][a-z0-9]*(?:\s+[a-z-]+=\"[^\"<>&]*\")*\s*/?>))"
+)
+BLOCK_MARKUP = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>"
+
 
 class TextOfMarkup(HTMLParser):
     """Character data of a document, with a line break around block elements."""
@@ -61,29 +77,52 @@ def markup_text(text: str, drop_script: bool) -> str:
     return unescape("".join(reader.pieces))
 
 
+def map_texts(texts: pd.Series, change) -> pd.Series:
+    return texts.map(change, na_action="ignore") if texts.notna().any() else texts
+
+
 @F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(unescape, na_action="ignore")
+    return map_texts(texts, unescape)
 
 
 @F.pandas_udf(StringType())
 def _markup_keep(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: markup_text(text, False), na_action="ignore")
+    return map_texts(texts, lambda text: markup_text(text, False))
 
 
 @F.pandas_udf(StringType())
 def _markup_drop(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: markup_text(text, True), na_action="ignore")
+    return map_texts(texts, lambda text: markup_text(text, True))
+
+
+def decode_common(text: Column, passes: int = 1) -> Column:
+    decoded = text
+    for _ in range(passes):
+        for entity, mark in COMMON_ENTITIES.items():
+            decoded = F.replace(decoded, F.lit(entity), F.lit(mark))
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def unescape_entities(text: Column) -> Column:
     """One decoding pass."""
-    needed = F.when(F.contains(text, F.lit("&")), text)
-    return F.coalesce(_unescape(needed), text)
+    unusual = F.contains(text, F.lit("&")) & F.rlike(text, F.lit(OTHER_ENTITY))
+    return F.coalesce(_unescape(F.when(unusual, text)), decode_common(text))
+
+
+def is_unusual(text: Column, decoded: Column) -> Column:
+    """Whether a text, fully decoded in `decoded`, needs the real parser."""
+    return (F.contains(text, F.lit("&")) & F.rlike(text, F.lit(OTHER_ENTITY_DEEP))) | (
+        F.contains(decoded, F.lit("<")) & F.rlike(decoded, F.lit(UNUSUAL_MARKUP))
+    )
+
+
+def without_plain_tags(decoded: Column) -> Column:
+    """Line breaks for block tags, nothing for the others."""
+    bare = F.regexp_replace(F.regexp_replace(decoded, BLOCK_MARKUP, "\n"), "<[^>]*>", "")
+    return F.when(F.contains(decoded, F.lit("<")), bare).otherwise(decoded)
 
 
-def html_parts(text: Column, drop_script: bool = False) -> Column:
-    """Decode, parse, decode; line tidying is left to the caller, in the JVM."""
-    needed = F.when(F.contains(text, F.lit("&")) | F.contains(text, F.lit("<")), text)
-    parse = _markup_drop if drop_script else _markup_keep
-    return F.coalesce(parse(needed), text)
+def parsed_markup(text: Column, drop_script: bool = False) -> Column:
+    """Python's reading of a text: decoded until stable, parsed, decoded once more."""
+    return (_markup_drop if drop_script else _markup_keep)(text)

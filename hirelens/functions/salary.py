@@ -10,6 +10,7 @@ from ..fixed_values import (
     AMOUNT_DECIMAL, AMOUNT_HOURLY, AMOUNT_WHOLE, ANY_CODE, KNOWN_CODE, RANGE_DASH,
     RANGE_DASH_OR_TO, SALARY_BAND, SNIPPET_AFTER, SNIPPET_BEFORE, SYMBOL_CURRENCY,
 )
+from .binding import computed_once
 from .text import as_column
 
 SYMBOL = "[$£€]"
@@ -137,18 +138,25 @@ def amount_fields(matched: Column | str) -> dict[str, Column]:
 
 
 def with_salary_range(
-    postings: DataFrame, text: Column | str, reading: str, suffix: str = ""
+    postings: DataFrame, text: Column | str, reading: str, suffix: str = "", stated_only: bool = False
 ) -> DataFrame:
-    """Bind salary columns to a table. The stretch is its own step, so it is computed once."""
-    staged = postings.withColumn("_pay", pay_stretch(text, reading))
+    """Add salary columns; with `stated_only`, keep the postings that state a range."""
+    staged = computed_once(postings, {"_pay": pay_stretch(text, reading)})
+    if stated_only:
+        staged = staged.filter(F.col("_pay").isNotNull())
     fields = range_fields("_pay", reading)
     return staged.withColumns({name + suffix: value for name, value in fields.items()}).drop("_pay")
 
 
-def with_any_salary(postings: DataFrame, text: Column | str, suffix: str = "") -> DataFrame:
-    staged = postings.withColumn("_pay", pay_amount(text))
+def with_any_salary(
+    postings: DataFrame, text: Column | str, suffix: str = "", stated_only: bool = False
+) -> DataFrame:
+    staged = computed_once(postings, {"_pay": pay_amount(text)})
+    if stated_only:
+        staged = staged.filter(F.col("_pay").isNotNull())
     fields = amount_fields("_pay")
-    return staged.withColumns({name + suffix: value for name, value in fields.items()}).drop("_pay")
+    priced = computed_once(staged, {name + suffix: value for name, value in fields.items()})
+    return priced.drop("_pay")
 
 
 def salary_band(amount: Column | str, width: int = SALARY_BAND) -> Column:

@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
 
-from ..fixed_values import TITLE_STOP_WORDS
-from .markup import html_parts, unescape_entities
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Whitespace as a text line sees it, and the subset that ends a line.
-LINE_ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
-OTHER_SPACES = r"\t \x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+from ..fixed_values import TITLE_STOP_WORDS
+from .binding import computed_once
+from .markup import (
+    DECODING_PASSES, decode_common, is_unusual, parsed_markup, unescape_entities, without_plain_tags,
+)
+
+# Field and item marks keep the texts of a row apart while they are cleaned together.
+FIELD_MARK, ITEM_MARK = "\u0000", "\u0001"
+MARKS = r"\x00\x01"
+# Whitespace as text lines know it: Unicode white space and the four separators; and line ends.
+BLANK = r"[\s\x1c\x1d\x1e\x1f]"
+LINE_END = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
+# Blanks at either end of a text or of a field.
+EDGE = rf"(?U)(?<![^{MARKS}]){BLANK}+|{BLANK}+(?![^{MARKS}])"
+BLANK_RUN = r" [ \t]+|\t[ \t]*"
+LINE_BREAKS = rf"(?U)[{BLANK}&&[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]]*{LINE_END}{BLANK}*"
+# One look per blank decides whether there is anything to tidy.
+UNTIDY = rf"(?U)(?={BLANK})(?:\t|{LINE_END}|  |(?<![^{MARKS}]){BLANK}|{BLANK}(?![^{MARKS}]))"
 
 
 def as_column(value: Column | str) -> Column:
@@ -21,29 +35,68 @@ def blank_to_null(text: Column | str) -> Column:
 
 
 def tidy_lines(text: Column | str) -> Column:
-    """Collapse blanks inside lines, trim each line, drop empty lines. No entity decoding."""
-    spaced = F.regexp_replace(as_column(text), "[ \t]+", " ")
-    joined = F.regexp_replace(
-        spaced, f"[{OTHER_SPACES}]*[{LINE_ENDS}][{LINE_ENDS}{OTHER_SPACES}]*", "\n"
-    )
-    edge = f"[{LINE_ENDS}{OTHER_SPACES}]+"
-    return F.regexp_replace(joined, rf"\A{edge}|{edge}\z", "")
+    """Collapse blanks inside lines, trim each line, drop empty lines. No entity decoding.
+
+    Works on one text or on marked fields; most are tidy already and pass after one look.
+    """
+    body = as_column(text)
+    spaced = F.regexp_replace(body, BLANK_RUN, " ")
+    joined = F.regexp_replace(spaced, LINE_BREAKS, "\n")
+    return F.when(F.rlike(body, F.lit(UNTIDY)), F.regexp_replace(joined, EDGE, "")).otherwise(body)
 
 
 def clean_text(value: Column | str) -> Column:
-    """Entity-decoded text with tidy lines; an empty string where there is none."""
+    """Entity-decoded text with tidy lines; an empty string where there is none.
+
+    For one short column. Tables with many text columns use `cleaned`.
+    """
     text = as_column(value).cast("string")
     return F.coalesce(tidy_lines(unescape_entities(text)), F.lit(""))
 
 
-def clean_or_null(value: Column | str) -> Column:
-    return blank_to_null(clean_text(value))
+def glued_list(items: Column | str) -> Column:
+    """An array of texts as one value for `cleaned`; read it back with `glued_items`."""
+    return F.array_join(F.transform(as_column(items), lambda item: F.coalesce(item, F.lit(""))), ITEM_MARK)
 
 
-def html_to_text(value: Column | str, drop_script: bool = False) -> Column:
-    """Readable text of an (up to three times escaped) HTML fragment."""
-    text = as_column(value).cast("string")
-    return F.coalesce(tidy_lines(html_parts(text, drop_script)), F.lit(""))
+def glued_items(text: Column | str) -> Column:
+    """The non-blank items of a cleaned list."""
+    return F.filter(F.split(as_column(text), ITEM_MARK), lambda item: item != "")
+
+
+def cleaned(table: DataFrame, fields: Mapping[str, Column | str]) -> DataFrame:
+    """Add a cleaned column per field; missing values become empty strings.
+
+    The fields of a row are decoded and tidied as one string, so the work per row does not grow
+    with the number of columns, and at most one column crosses to Python.
+    """
+    pieces = [
+        F.coalesce(F.replace(as_column(value).cast("string"), F.lit(FIELD_MARK), F.lit("")), F.lit(""))
+        for value in fields.values()
+    ]
+    glued = table.withColumn("_glued", F.concat_ws(FIELD_MARK, *pieces))
+    decoded = computed_once(glued, {"_glued": unescape_entities(F.col("_glued"))})
+    split = computed_once(decoded, {"_parts": F.split(tidy_lines("_glued"), FIELD_MARK)}).drop("_glued")
+    return split.withColumns({name: F.col("_parts")[i] for i, name in enumerate(fields)}).drop("_parts")
+
+
+def html_texts(table: DataFrame, fields: Mapping[str, Column | str], drop_script: bool = False) -> DataFrame:
+    """Add a column of readable text per (up to three times escaped) HTML field.
+
+    Every step is bound once, so no long text is decoded or scanned twice.
+    """
+    names = list(fields)
+    raw = table.withColumns({name: as_column(value).cast("string") for name, value in fields.items()})
+    decoded = computed_once(raw, {f"_d_{n}": decode_common(F.col(n), DECODING_PASSES) for n in names})
+    sorted_out = computed_once(decoded, {
+        **{f"_odd_{n}": F.when(is_unusual(F.col(n), F.col(f"_d_{n}")), F.col(n)) for n in names},
+        **{f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names},
+    })
+    read = computed_once(sorted_out, {
+        n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script), decode_common(F.col(f"_d_{n}"), 2))
+        for n in names
+    }).drop(*(f"_odd_{n}" for n in names), *(f"_d_{n}" for n in names))
+    return computed_once(read, {n: F.coalesce(tidy_lines(n), F.lit("")) for n in names})
 
 
 def strip_tags(value: Column | str, decode: bool = True) -> Column:
@@ -51,8 +104,7 @@ def strip_tags(value: Column | str, decode: bool = True) -> Column:
     bare = F.regexp_replace(as_column(value), "<[^>]+>", " ")
     if decode:
         bare = unescape_entities(bare)
-    any_space = f"[{LINE_ENDS}{OTHER_SPACES}]+"
-    return F.trim(F.regexp_replace(bare, any_space, " "))
+    return F.trim(F.regexp_replace(bare, rf"(?U){BLANK}+", " "))
 
 
 def title_tokens(title: Column | str) -> Column:
@@ -84,19 +136,6 @@ def join_parts(*parts: Column | str) -> Column:
     return F.concat_ws(", ", *(blank_to_null(part) for part in parts))
 
 
-def distinct_names(objects: Column | str) -> Column:
-    """Cleaned names of an array of objects, blanks dropped, first occurrence kept."""
-    names = F.transform(as_column(objects), lambda item: item["name"])
-    # Entities are decoded on the joined names, so one value per row crosses to Python.
-    glued = F.array_join(F.transform(names, lambda name: F.coalesce(name, F.lit(""))), "\u0000")
-    pieces = F.split(unescape_entities(glued), "\u0000")
-    cleaned = F.transform(pieces, tidy_lines)
-    return F.coalesce(
-        F.array_distinct(F.filter(cleaned, lambda name: name != "")),
-        F.array().cast("array<string>"),
-    )
-
-
 def first_or_blank(items: Column | str) -> Column:
     return F.coalesce(F.try_element_at(as_column(items), F.lit(1)), F.lit(""))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import AV_SIGNALS, DATASET_SIGNALS, TAXONOMY_TERMS
+from ..functions.binding import computed_once
 from ..functions.skills import holds_any, matched_terms, word_text
 
 TAXONOMY_VERSION = 2
@@ -25,7 +26,7 @@ def av_relevant(
     signals: Sequence[str] = AV_SIGNALS + DATASET_SIGNALS,
 ) -> DataFrame:
     """Postings with at least one relevance signal. Meant to run before anything costly."""
-    framed = postings.withColumn("_words", combined_text(columns))
+    framed = computed_once(postings, {"_words": combined_text(columns)})
     return framed.filter(holds_any("_words", signals)).drop("_words")
 
 
@@ -41,8 +42,9 @@ def classify(
     version: int = TAXONOMY_VERSION, phrase_weight: int = PHRASE_WEIGHT,
 ) -> DataFrame:
     """Add `labels`: an array of (category, terms, weight) for every category with evidence."""
-    found = postings.withColumn("_words", combined_text(columns)).withColumns({
-        f"_terms_{index}": F.array_sort(matched_terms("_words", terms))
+    framed = computed_once(postings, {"_words": combined_text(columns)})
+    found = computed_once(framed, {
+        f"_terms_{index}": matched_terms("_words", sorted(terms))
         for index, terms in enumerate(taxonomy.values())
     })
     labels = F.array(*(
@@ -55,7 +57,7 @@ def classify(
     ))
     kept = F.filter(labels, lambda label: label["weight"] > 0)
     scratch = ["_words", *(f"_terms_{index}" for index in range(len(taxonomy)))]
-    return found.withColumns({"labels": kept, "taxonomy_version": F.lit(version)}).drop(*scratch)
+    return computed_once(found, {"labels": kept, "taxonomy_version": F.lit(version)}).drop(*scratch)
 
 
 def with_verdict(

@@ -32,7 +32,7 @@ DECODED = f"replace(replace(replace({UNTIDY[DUCK]}, '&lt;', '<'), '&gt;', '>'),
 def clean_text(spark, folder):
     """Whole documents with uneven blanks, mixed line ends and entities."""
     untidy = table(spark, folder, "documents").selectExpr("doc_id", f"{UNTIDY[SPARK]} AS untidy")
-    return untidy.select("doc_id", text.clean_text("untidy").alias("cleaned"))
+    return text.cleaned(untidy, {"cleaned": "untidy"}).select("doc_id", "cleaned")
 
 
 BLOCKS = "|".join(BLOCK_TAGS)
@@ -58,12 +58,12 @@ def page_sql(drop_script: bool) -> str:
 
 @query(page_sql(False))
 def html_to_text(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.html_to_text("html").alias("plain"))
+    return text.html_texts(table(spark, folder, "pages"), {"plain": "html"}).select("page_id", "plain")
 
 
 @query(page_sql(True))
 def html_to_text_no_script(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.html_to_text("html", True).alias("plain"))
+    return text.html_texts(table(spark, folder, "pages"), {"plain": "html"}, drop_script=True).select("page_id", "plain")
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.binding import computed_once
 from ..functions.responses import parse_response, response_error, response_skills, response_text
 from ..functions.salary import with_any_salary, with_salary_range
 from ..functions.text import strip_tags
@@ -24,7 +25,7 @@ FALLBACK_TAG = "levels_fyi"
 
 def salary_report(postings: DataFrame, reading: str) -> DataFrame:
     """Postings that state a range, dearest first within each currency."""
-    priced = with_salary(with_salary_range(postings, "description", reading))
+    priced = with_salary_range(postings, "description", reading, stated_only=True)
     return priced.select(*RANGE_REPORT).orderBy(*salary_order("job_id"))
 
 
@@ -34,9 +35,8 @@ def board_salaries(raw_jobs: DataFrame, entries: DataFrame, fallback_tag: str =
     The title filter runs before any text is read.
     """
     relevant = raw_jobs.filter(title_relevant("title", "broad"))
-    posted = with_any_salary(
-        relevant.withColumn("_plain", strip_tags("content")), "_plain", "_post"
-    ).drop("_plain")
+    plain = computed_once(relevant, {"_plain": strip_tags("content")})
+    posted = with_any_salary(plain, "_plain", "_post").drop("_plain")
     full = salary_with_fallback(posted, "title", entries, fallback_tag)
     return full.withColumn("location_name", F.col("location.name"))
 
@@ -51,8 +51,8 @@ def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFra
 
     Company, title and page come from the posting, whatever the response says.
     """
-    parsed = responses.withColumn("_parsed", parse_response("content")).withColumn(
-        "error", response_error("_parsed")
+    parsed = computed_once(
+        computed_once(responses, {"_parsed": parse_response("content")}), {"error": response_error("_parsed")}
     )
     failures = parsed.filter("error IS NOT NULL").select("job_id", "error")
     labels = parsed.filter("error IS NULL").select(

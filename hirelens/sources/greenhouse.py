@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import iso_to_utc_text
-from ..functions.text import clean_text, distinct_names, first_or_blank, html_to_text
+from ..functions.text import (
+    blank_to_null, cleaned, first_or_blank, glued_items, glued_list, html_texts,
+)
 from ..functions.titles import workplace_from_text
 
 ATS = "Greenhouse"
@@ -27,35 +29,40 @@ def wrong_totals(landed: DataFrame) -> DataFrame:
 def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
-    staged = raw.withColumns({
-        "_place": clean_text("location.name"),
-        "_departments": distinct_names("departments"),
-        "_offices": distinct_names("offices"),
-        "_url": clean_text("absolute_url"),
+    flat = raw.withColumn("_place", F.col("location.name")).drop("location")
+    fields = cleaned(flat, {
+        "job_id": "id", "job_title": "title", "location": "_place", "source_url": "absolute_url",
+        "_departments": glued_list("departments.name"), "_offices": glued_list("offices.name"),
+        "language": "language", "job_reference": "requisition_id", "internal_job_id": "internal_job_id",
+        "updated_at": "updated_at", "application_deadline": "application_deadline",
     })
-    return staged.select(
+    read = html_texts(fields, {"description": "content"}).withColumns({
+        "departments": F.array_distinct(glued_items("_departments")),
+        "offices": F.array_distinct(glued_items("_offices")),
+    })
+    return read.select(
         company_name.alias("company"),
-        clean_text("id").alias("job_id"),
-        clean_text("title").alias("job_title"),
-        F.col("_place").alias("location"),
-        F.array_compact(F.array(F.nullif("_place", F.lit("")))).alias("all_locations"),
+        "job_id",
+        "job_title",
+        "location",
+        F.array_compact(F.array(blank_to_null("location"))).alias("all_locations"),
         F.lit("").alias("country_code"),
-        first_or_blank("_departments").alias("team"),
-        F.array_join("_departments", ", ").alias("department"),
+        first_or_blank("departments").alias("team"),
+        F.array_join("departments", ", ").alias("department"),
         F.lit("").alias("commitment"),
-        workplace_from_text("_place", "_offices").alias("workplace_type"),
-        html_to_text("content").alias("description"),
+        workplace_from_text("location", "offices").alias("workplace_type"),
+        "description",
         F.lit(None).cast("map<string,string>").alias("salary_range"),
         iso_to_utc_text("first_published").alias("posting_date"),
-        F.col("_url").alias("source_url"),
-        F.col("_url").alias("apply_url"),
+        "source_url",
+        F.col("source_url").alias("apply_url"),
         F.lit("API").alias("collection_method"),
         F.lit(ATS).alias("ats"),
         stamp.alias("collected_at"),
-        clean_text("language").alias("language"),
-        clean_text("requisition_id").alias("job_reference"),
-        clean_text("internal_job_id").alias("internal_job_id"),
-        clean_text("updated_at").alias("updated_at"),
-        clean_text("application_deadline").alias("application_deadline"),
-        F.col("_offices").alias("offices"),
+        "language",
+        "job_reference",
+        "internal_job_id",
+        "updated_at",
+        "application_deadline",
+        "offices",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import ANALYSIS_COLUMNS
+from ..functions.binding import computed_once
 from ..functions.salary import with_any_salary
 from ..functions.text import blank_to_null, strip_tags, title_tokens
 from ..operators.quality import require_columns
@@ -62,16 +63,16 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE).json(path)
 
 
-def salary_reference(lines: DataFrame, value: Column | str = "value", ordinal: str = "ordinal") -> DataFrame:
+def salary_reference(lines: DataFrame, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
     """Titled salaries of a pipe-delimited page: cell 0 is the title, the rest the salary text.
 
     Lines without a salary are dropped. `ordinal` gives the line order.
     """
-    cleaned = lines.select(F.col(ordinal), F.trim(strip_tags(value)).alias("_line")).filter("_line <> ''")
+    held = computed_once(lines.select(F.col(ordinal), F.col(value).alias("_raw")), {"_line": strip_tags("_raw")})
     cells = F.filter(
         F.transform(F.split("_line", r"\|"), lambda cell: F.trim(cell)), lambda cell: cell != ""
     )
-    celled = cleaned.withColumn("_cells", cells)
+    celled = computed_once(held.filter("_line <> ''"), {"_cells": cells})
     delimited = F.size("_cells") >= 2
     title = F.when(delimited, F.try_element_at("_cells", F.lit(1))).otherwise(F.col("_line"))
     rest = F.array_join(F.slice("_cells", 2, F.greatest(F.size("_cells"), F.lit(1))), " ")
@@ -80,8 +81,8 @@ def salary_reference(lines: DataFrame, value: Column | str = "value", ordinal: s
         title.alias("title_text"),
         F.when(delimited, rest).otherwise(F.col("_line")).alias("_salary_text"),
     )
-    priced = with_any_salary(titled, "_salary_text").filter(F.col("salary_min").isNotNull())
-    return priced.withColumn("title_tokens", title_tokens("title_text")).drop("_salary_text")
+    priced = with_any_salary(titled, "_salary_text", stated_only=True).drop("_salary_text")
+    return priced.withColumn("title_tokens", title_tokens("title_text"))
 
 
 def source_platform(endpoint: Column | str, hosts: dict[str, str]) -> Column:

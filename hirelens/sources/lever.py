@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import epoch_to_utc_text
-from ..functions.text import blank_to_null, clean_or_null, clean_text, html_to_text
+from ..functions.text import blank_to_null, cleaned, glued_items, glued_list, html_texts
 
 ATS = "Lever"
 
@@ -18,33 +18,32 @@ def explode_postings(landed: DataFrame) -> DataFrame:
 def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
-    held = F.filter(
-        F.coalesce(F.col("categories.allLocations"), F.array().cast("array<string>")),
-        lambda place: F.coalesce(place, F.lit("")) != "",
-    )
-    # The places are decoded in one string, then cut apart again.
-    glued = F.split(clean_text(F.array_join(held, "\u0001")), "\u0001")
-    places = F.when(F.size(held) > 0, F.transform(glued, lambda place: F.trim(place))).otherwise(held)
-    staged = raw.withColumn("all_locations", places)
-    joined = F.when(F.size("all_locations") > 0, F.array_join("all_locations", ", "))
-    return staged.select(
+    flat = raw.select("*", "categories.*").drop("categories")
+    fields = cleaned(flat, {
+        "job_id": "id", "job_title": "text", "_place": "location", "_places": glued_list("allLocations"),
+        "country_code": "country", "team": "team", "department": "department",
+        "commitment": "commitment", "workplace_type": "workplaceType",
+        "_plain": "descriptionPlain", "source_url": "hostedUrl", "apply_url": "applyUrl",
+    })
+    # The HTML description is only read where there is no plain one.
+    read = html_texts(fields, {"_rich": F.when(F.col("_plain") == "", F.col("description"))})
+    listed = read.withColumn("all_locations", glued_items("_places"))
+    return listed.select(
         company_name.alias("company"),
-        clean_text("id").alias("job_id"),
-        clean_text("text").alias("job_title"),
-        F.coalesce(clean_or_null("categories.location"), joined, F.lit("")).alias("location"),
+        "job_id",
+        "job_title",
+        F.coalesce(blank_to_null("_place"), F.array_join("all_locations", ", ")).alias("location"),
         "all_locations",
-        clean_text("country").alias("country_code"),
-        clean_text("categories.team").alias("team"),
-        clean_text("categories.department").alias("department"),
-        clean_text("categories.commitment").alias("commitment"),
-        clean_text("workplaceType").alias("workplace_type"),
-        F.coalesce(
-            clean_or_null("descriptionPlain"), blank_to_null(html_to_text("description")), F.lit("")
-        ).alias("description"),
+        "country_code",
+        "team",
+        "department",
+        "commitment",
+        "workplace_type",
+        F.coalesce(blank_to_null("_plain"), F.col("_rich")).alias("description"),
         F.col("salaryRange").alias("salary_range"),
         epoch_to_utc_text("createdAt", milliseconds=True).alias("posting_date"),
-        clean_text("hostedUrl").alias("source_url"),
-        clean_text("applyUrl").alias("apply_url"),
+        "source_url",
+        "apply_url",
         F.lit("API").alias("collection_method"),
         F.lit(ATS).alias("ats"),
         stamp.alias("collected_at"),

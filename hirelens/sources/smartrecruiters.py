@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import AD_SECTIONS
 from ..functions.dates import iso_to_utc_text
-from ..functions.text import blank_to_null, clean_or_null, clean_text, html_to_text, join_parts, url_base
+from ..functions.text import blank_to_null, clean_text, cleaned, html_texts, join_parts, url_base
 from ..functions.titles import workplace_from_flags
 
 ATS = "SmartRecruiters"
@@ -51,50 +51,64 @@ def explode_postings(landed: DataFrame) -> DataFrame:
     return landed
 
 
-def description_of(sections: str) -> Column:
-    """The named sections in order, each under its title, blank ones left out."""
-    blocks = []
-    for section in AD_SECTIONS:
-        title = clean_or_null(f"{sections}.{section}.title")
-        text = blank_to_null(html_to_text(f"{sections}.{section}.text"))
-        blocks.append(F.when(text.isNotNull(), F.concat_ws("\n", title, text)))
-    return F.array_join(F.array_compact(F.array(*blocks)), "\n\n")
+def flattened(raw: DataFrame) -> DataFrame:
+    """Every leaf of a detail object as a column of its own."""
+    sections = [
+        F.col(f"jobAd.sections.{section}.{part}").alias(f"_{part}_{section}")
+        for section in AD_SECTIONS for part in ("title", "text")
+    ]
+    return raw.select(
+        "id", "name", "releasedDate", "postingUrl", "applyUrl", "refNumber", "location.*",
+        F.col("function.label").alias("_function"), F.col("department.label").alias("_department"),
+        F.col("typeOfEmployment.label").alias("_employment"), F.col("experienceLevel.label").alias("_level"),
+        F.col("industry.label").alias("_industry"), F.col("language.code").alias("_language"), *sections,
+    )
 
 
 def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
-    full = F.coalesce(
-        clean_or_null("location.fullLocation"),
-        join_parts(*(clean_text(f"location.{part}") for part in ("city", "region", "country"))),
-    )
-    staged = raw.withColumns({
-        "_place": full,
-        "_apply": clean_text("applyUrl"),
-        "_function": clean_text("function.label"),
+    flat = flattened(raw)
+    titles = {f"_title_{section}": f"_title_{section}" for section in AD_SECTIONS}
+    texts = {f"_text_{section}": f"_text_{section}" for section in AD_SECTIONS}
+    fields = cleaned(flat, {
+        "job_id": "id", "job_title": "name", "_full": "fullLocation", "_city": "city",
+        "_region": "region", "country_code": "country", "_posting": "postingUrl",
+        "apply_url": "applyUrl", "_function": "_function", "_department": "_department",
+        "commitment": "_employment", "experience_level": "_level",
+        "_industry": "_industry", "_language": "_language", "job_reference": "refNumber", **titles,
     })
-    return staged.select(
+    # Named sections in their order, each under its title; sections without text are left out.
+    blocks = [
+        F.when(F.col(f"_text_{section}") != "",
+               F.concat_ws("\n", blank_to_null(f"_title_{section}"), F.col(f"_text_{section}")))
+        for section in AD_SECTIONS
+    ]
+    read = html_texts(fields, texts).withColumn(
+        "_place", F.coalesce(blank_to_null("_full"), join_parts("_city", "_region", "country_code"))
+    )
+    return read.select(
         company_name.alias("company"),
-        clean_text("id").alias("job_id"),
-        clean_text("name").alias("job_title"),
+        "job_id",
+        "job_title",
         F.col("_place").alias("location"),
-        F.array_compact(F.array(F.nullif("_place", F.lit("")))).alias("all_locations"),
-        clean_text("location.country").alias("country_code"),
+        F.array_compact(F.array(blank_to_null("_place"))).alias("all_locations"),
+        "country_code",
         F.col("_function").alias("team"),
-        clean_text("department.label").alias("department"),
-        clean_text("typeOfEmployment.label").alias("commitment"),
-        workplace_from_flags("location.hybrid", "location.remote").alias("workplace_type"),
-        description_of("jobAd.sections").alias("description"),
+        F.col("_department").alias("department"),
+        "commitment",
+        workplace_from_flags("hybrid", "remote").alias("workplace_type"),
+        F.concat_ws("\n\n", *blocks).alias("description"),
         F.lit(None).cast("map<string,string>").alias("salary_range"),
         iso_to_utc_text("releasedDate").alias("posting_date"),
-        F.coalesce(clean_or_null("postingUrl"), url_base("_apply")).alias("source_url"),
-        F.col("_apply").alias("apply_url"),
+        F.coalesce(blank_to_null("_posting"), url_base("apply_url")).alias("source_url"),
+        "apply_url",
         F.lit("API").alias("collection_method"),
         F.lit(ATS).alias("ats"),
         stamp.alias("collected_at"),
-        clean_text("language.code").alias("language"),
-        clean_text("refNumber").alias("job_reference"),
+        F.col("_language").alias("language"),
+        "job_reference",
         F.col("_function").alias("function"),
-        clean_text("experienceLevel.label").alias("experience_level"),
-        clean_text("industry.label").alias("industry"),
+        "experience_level",
+        F.col("_industry").alias("industry"),
     )
