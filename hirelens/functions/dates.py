@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .text import as_column
@@ -31,37 +33,46 @@ def iso_to_timestamp(text: Column | str) -> Column:
     Nothing here depends on the time zone of the session.
     """
     trimmed = F.regexp_replace(F.btrim(as_column(text), F.lit(" \t\r\n")), r"[Zz]\z", "+00:00")
-    usual = F.rlike(trimmed, F.lit(USUAL_SHAPE))
-    zoned = F.when(F.rlike(trimmed, F.lit(r"[+-][0-9:]{5}\z")), trimmed).otherwise(
-        F.concat(trimmed, F.lit("+00:00"))
-    )
-    seconds = F.when(usual, F.unix_timestamp(zoned.try_cast("timestamp"))).when(
-        F.rlike(trimmed, F.lit(ISO_SHAPE)), _unusual_seconds(trimmed)
-    )
-    return F.timestamp_seconds(seconds)
+
+    def seconds(stamp: Column) -> Column:
+        zoned = F.when(F.rlike(stamp, F.lit(r"[+-][0-9:]{5}\z")), stamp).otherwise(
+            F.concat(stamp, F.lit("+00:00"))
+        )
+        return F.when(
+            F.rlike(stamp, F.lit(USUAL_SHAPE)), F.unix_timestamp(zoned.try_cast("timestamp"))
+        ).when(F.rlike(stamp, F.lit(ISO_SHAPE)), _unusual_seconds(stamp))
+
+    return F.timestamp_seconds(_once(trimmed, seconds))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Apply a function that mentions its argument often, computing the argument once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# The groups of ISO_SHAPE, alternatives merged: date parts, week parts, clock, offset.
+ISO_PARTS = "$1$4|$2$5|$3$6|$7|$8|$9|$10$13|$11$14|$12$15|$16|$17|$18|$19"
 
 
 def _unusual_seconds(text: Column) -> Column:
-    """Basic, week-date and shortened forms, field by field; only such rows come here."""
+    """Basic, week-date and shortened forms; only such rows come here, and are matched once."""
+    parts = F.split(F.regexp_replace(text, ISO_SHAPE, ISO_PARTS), r"\|")
 
-    def group(index: int) -> Column:
-        return F.nullif(F.regexp_extract(text, ISO_SHAPE, index), F.lit(""))
+    def seconds(part: Column) -> Column:
+        def number(index: int) -> Column:
+            return F.coalesce(part[index].try_cast("int"), F.lit(0))
 
-    def number(*indexes: int) -> Column:
-        return F.coalesce(*(group(index).cast("int") for index in indexes), F.lit(0))
+        calendar = F.concat_ws("-", part[0], part[1], part[2]).try_cast("date")
+        # ISO week one holds 4 January and starts on a Monday.
+        week_one = F.trunc(F.concat(part[3], F.lit("-01-04")).try_cast("date"), "week")
+        week_days = (number(4) - 1) * 7 + F.coalesce(part[5].try_cast("int"), F.lit(1)) - 1
+        week = F.when(number(4).between(1, 53), F.date_add(week_one, week_days))
+        day = F.unix_date(F.when(part[3] == "", calendar).otherwise(week)).cast("bigint")
+        clock = number(6) * 3600 + number(7) * 60 + number(8)
+        offset = number(10) * 3600 + number(11) * 60 + number(12)
+        return day * 86400 + F.when(part[9] == "-", clock + offset).otherwise(clock - offset)
 
-    calendar = F.concat(
-        F.coalesce(group(1), group(4)), F.lit("-"), F.coalesce(group(2), group(5)), F.lit("-"),
-        F.coalesce(group(3), group(6)),
-    ).try_cast("date")
-    # ISO week one holds 4 January and starts on a Monday.
-    week_one = F.trunc(F.concat(group(7), F.lit("-01-04")).try_cast("date"), "week")
-    week_days = (number(8) - 1) * 7 + F.coalesce(group(9).cast("int"), F.lit(1)) - 1
-    week = F.when(number(8).between(1, 53), F.date_add(week_one, week_days))
-    clock = number(10, 13) * 3600 + number(11, 14) * 60 + number(12, 15)
-    offset = number(17) * 3600 + number(18) * 60 + number(19)
-    shift = F.when(group(16) == "-", clock + offset).otherwise(clock - offset)
-    return F.unix_date(F.coalesce(calendar, week)).cast("bigint") * 86400 + shift
+    return _once(parts, seconds)
 
 
 def epoch_to_timestamp(value: Column | str, milliseconds: bool = False) -> Column:
@@ -75,10 +86,13 @@ def utc_text(moment: Column | str) -> Column:
     seconds = F.unix_timestamp(as_column(moment))
     day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int")).cast("string")
     rest = F.pmod(seconds, F.lit(86400))
-    clock = F.format_string(
-        "T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60
-    )
-    return F.coalesce(F.concat(day, clock), F.lit(""))
+
+    def two(number: Column) -> Column:
+        return F.lpad(number.cast("int").cast("string"), 2, "0")
+
+    hour, minute, second = two(rest / 3600), two(rest / 60 % 60), two(rest % 60)
+    text = F.concat(day, F.lit("T"), hour, F.lit(":"), minute, F.lit(":"), second, F.lit("Z"))
+    return F.coalesce(text, F.lit(""))
 
 
 def iso_to_utc_text(text: Column | str) -> Column:

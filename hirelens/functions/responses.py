@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import RESPONSE_FIELDS
+from .binding import computed_once
 from .text import as_column
 
 
 def unfence(content: Column | str) -> Column:
     """Trim, and drop code fences and their language tag."""
-    trimmed = F.regexp_replace(F.coalesce(as_column(content), F.lit("")), r"(?U)\A\s+|\s+\z", "")
-    bare = F.regexp_replace(trimmed, r"(?U)\A`+\s*|\s*`+\z", "")
-    untagged = F.regexp_replace(bare, r"(?iU)\Ajson\s*", "")
-    return F.when(F.startswith(trimmed, F.lit("```")), untagged).otherwise(trimmed)
+    text = F.coalesce(as_column(content), F.lit(""))
+    bare = F.regexp_replace(text, r"(?iU)\A\s*`{3,}\s*(?:json\s*)?|\s*`*\s*\z", "")
+    trimmed = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.when(F.rlike(text, F.lit(r"(?U)\A\s*```")), bare).otherwise(trimmed)
 
 
-def parse_response(content: Column | str) -> Column:
-    """Variant of the whole text, else of its outermost braces, else null."""
-    text = unfence(content)
-    braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(braces))
+def with_parsed(responses: DataFrame, content: str = "content", into: str = "parsed") -> DataFrame:
+    """Add the variant of the whole text, else of its outermost braces, else null."""
+    text = computed_once(responses, {"_text": unfence(content)})
+    braces = F.nullif(F.regexp_extract("_text", r"(?s)\{.*\}", 0), F.lit(""))
+    parsed = F.coalesce(F.try_parse_json("_text"), F.try_parse_json(braces))
+    return computed_once(text, {into: parsed}).drop("_text")
 
 
 def response_error(parsed: Column | str) -> Column:
     """Why a response is unusable; null when it is fine. Fields are named in sorted order."""
     value = as_column(parsed)
     kind = F.schema_of_variant(value)
-    names = F.json_object_keys(value.cast("string"))
-    missing = F.array_sort(F.array_except(F.array(*map(F.lit, RESPONSE_FIELDS)), names))
+    absent = [
+        F.when(F.try_variant_get(value, f"$.{name}", "variant").isNull(), F.lit(name))
+        for name in sorted(RESPONSE_FIELDS)
+    ]
+    missing = F.nullif(F.concat_ws(", ", *absent), F.lit(""))
     skills_kind = F.schema_of_variant(F.try_variant_get(value, "$.skills", "variant"))
     return (
         F.when(value.isNull(), "not JSON")
         .when(~F.startswith(kind, F.lit("OBJECT")), "not an object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
+        .when(missing.isNotNull(), F.concat(F.lit("missing fields: "), missing))
         .when(~F.coalesce(F.startswith(skills_kind, F.lit("ARRAY")), F.lit(False)), "skills is no list")
     )
 

@@ -75,22 +75,28 @@ def _has_symbol(text: Column) -> Column:
     return F.contains(text, F.lit("$")) | F.contains(text, F.lit("£")) | F.contains(text, F.lit("€"))
 
 
-def pay_stretch(text: Column | str, reading: str) -> Column:
-    """The first stated range with its surroundings, untidied; null where none is stated.
-
-    A cheap look for a currency symbol and one plain search come first, so the longer pattern
-    only runs on texts that do state a range.
-    """
+def stated_range(text: Column | str, reading: str) -> Column:
+    """The text of the first stated range; null where none is stated."""
     shape = RANGE_READINGS[reading]
     body = as_column(text)
-    pattern = shape.flags + shape.pattern
-    around = f"(?is).{{0,{SNIPPET_BEFORE}}}?(?:{pattern}).{{0,{SNIPPET_AFTER}}}"
-    found = _has_symbol(body) & F.rlike(body, F.lit(pattern))
-    return F.when(found, F.regexp_extract(body, around, 0))
+    found = F.regexp_extract(body, shape.flags + shape.pattern, 0)
+    return F.when(_has_symbol(body), F.nullif(found, F.lit("")))
+
+
+def surroundings(text: Column | str, found: Column | str) -> Column:
+    """A found stretch with the characters around it.
+
+    The first match of a pattern is also the first place where its text stands, so a plain search
+    locates it.
+    """
+    body, match = as_column(text), as_column(found)
+    place = F.instr(body, match)
+    start = F.greatest(place - SNIPPET_BEFORE, F.lit(1))
+    return F.substring(body, start, place - start + F.length(match) + SNIPPET_AFTER)
 
 
 def range_fields(stretch: Column | str, reading: str) -> dict[str, Column]:
-    """Salary columns read from a `pay_stretch`; all null where it is null."""
+    """Salary columns read from a range with its surroundings; all null where it is null."""
     shape = RANGE_READINGS[reading]
     raw = as_column(stretch)
 
@@ -138,14 +144,19 @@ def amount_fields(matched: Column | str) -> dict[str, Column]:
 
 
 def with_salary_range(
-    postings: DataFrame, text: Column | str, reading: str, suffix: str = "", stated_only: bool = False
+    postings: DataFrame, text: str, reading: str, suffix: str = "", stated_only: bool = False
 ) -> DataFrame:
-    """Add salary columns; with `stated_only`, keep the postings that state a range."""
-    staged = computed_once(postings, {"_pay": pay_stretch(text, reading)})
+    """Add salary columns; with `stated_only`, keep the postings that state a range.
+
+    A long text is scanned once; everything else looks at the short stretch around the match.
+    """
+    found = computed_once(postings, {"_match": stated_range(text, reading)})
     if stated_only:
-        staged = staged.filter(F.col("_pay").isNotNull())
+        found = found.filter(F.col("_match").isNotNull())
+    staged = computed_once(found, {"_pay": surroundings(text, "_match")})
     fields = range_fields("_pay", reading)
-    return staged.withColumns({name + suffix: value for name, value in fields.items()}).drop("_pay")
+    priced = computed_once(staged, {name + suffix: value for name, value in fields.items()})
+    return priced.drop("_match", "_pay")
 
 
 def with_any_salary(

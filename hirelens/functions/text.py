@@ -159,5 +159,8 @@ PHONE_PATTERN = r"\+?[0-9]{1,3}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,
 
 def redact_personal(text: Column | str) -> Column:
     """Mask e-mail addresses and telephone numbers."""
-    no_mail = F.regexp_replace(as_column(text), EMAIL_PATTERN, "[email]")
+    body = as_column(text)
+    no_mail = F.when(
+        F.contains(body, F.lit("@")), F.regexp_replace(body, EMAIL_PATTERN, "[email]")
+    ).otherwise(body)
     return F.regexp_replace(no_mail, PHONE_PATTERN, "[phone]")

@@ -73,14 +73,14 @@ def best_title_match(titles: DataFrame, title: str, entries: DataFrame) -> DataF
 
 def salary_with_fallback(
     postings: DataFrame, title: str, entries: DataFrame, fallback_tag: str,
-    post_suffix: str = "_post",
+    post_suffix: str = "_post", titles: DataFrame | None = None,
 ) -> DataFrame:
     """The posting's own salary, else that of the best matching entry, else nulls.
 
-    All fields come from the same side. Only postings without a salary look for a match.
+    All fields come from the same side. `titles` is a table with the same titles that is cheaper
+    to scan than `postings`, whose texts need not be read again to match titles.
     """
-    lacking = postings.filter(F.col("salary_min" + post_suffix).isNull())
-    matches = best_title_match(lacking, title, entries)
+    matches = best_title_match(postings if titles is None else titles, title, entries)
     offers = entries.select(
         F.col("ordinal").alias("entry_ordinal"),
         *(F.col(name).alias(f"_entry_{name}") for name in SALARY_COLUMNS),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...fixed_values import AV_SIGNALS, DATASET_SIGNALS, SKILL_SYNONYMS, TAXONOMY_TERMS
 from ...functions import skills
-from ...functions.responses import parse_response, response_error
+from ...functions.responses import response_error, with_parsed
 from ...operators import classify as k
 from .. import reports
 from .registry import query, table
@@ -145,9 +145,7 @@ RESPONSE_TEXT = (
 )
 def response_errors(spark, folder):
     """Why a stored response cannot be used; null when it can."""
-    parsed = table(spark, folder, "events").selectExpr("event_id", f"{RESPONSE_TEXT} AS content").withColumn(
-        "parsed", parse_response("content")
-    )
+    parsed = with_parsed(table(spark, folder, "events").selectExpr("event_id", f"{RESPONSE_TEXT} AS content"))
     return parsed.select("event_id", response_error("parsed").alias("error"))
 
 

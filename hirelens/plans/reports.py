@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.binding import computed_once
-from ..functions.responses import parse_response, response_error, response_skills, response_text
+from ..functions.responses import response_error, response_skills, response_text, with_parsed
 from ..functions.salary import with_any_salary, with_salary_range
 from ..functions.text import strip_tags
 from ..functions.titles import title_relevant
@@ -37,7 +37,9 @@ def board_salaries(raw_jobs: DataFrame, entries: DataFrame, fallback_tag: str =
     relevant = raw_jobs.filter(title_relevant("title", "broad"))
     plain = computed_once(relevant, {"_plain": strip_tags("content")})
     posted = with_any_salary(plain, "_plain", "_post").drop("_plain")
-    full = salary_with_fallback(posted, "title", entries, fallback_tag)
+    full = salary_with_fallback(
+        posted, "title", entries, fallback_tag, titles=relevant.select("title")
+    )
     return full.withColumn("location_name", F.col("location.name"))
 
 
@@ -51,9 +53,7 @@ def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFra
 
     Company, title and page come from the posting, whatever the response says.
     """
-    parsed = computed_once(
-        computed_once(responses, {"_parsed": parse_response("content")}), {"error": response_error("_parsed")}
-    )
+    parsed = computed_once(with_parsed(responses, into="_parsed"), {"error": response_error("_parsed")})
     failures = parsed.filter("error IS NOT NULL").select("job_id", "error")
     labels = parsed.filter("error IS NULL").select(
         "job_id",
