@@ -76,11 +76,10 @@ def _has_symbol(text: Column) -> Column:
 
 
 def stated_range(text: Column | str, reading: str) -> Column:
-    """The text of the first stated range; null where none is stated."""
+    """The text of the first stated range; blank or null where none is stated."""
     shape = RANGE_READINGS[reading]
     body = as_column(text)
-    found = F.regexp_extract(body, shape.flags + shape.pattern, 0)
-    return F.when(_has_symbol(body), F.nullif(found, F.lit("")))
+    return F.when(_has_symbol(body), F.regexp_extract(body, shape.flags + shape.pattern, 0))
 
 
 def surroundings(text: Column | str, found: Column | str) -> Column:
@@ -115,18 +114,8 @@ def range_fields(stretch: Column | str, reading: str) -> dict[str, Column]:
     }
 
 
-def pay_amount(text: Column | str) -> Column:
-    """The matched text of a range, else of an amount with a currency code, else of any amount."""
-    body = as_column(text)
-    steps = [
-        F.nullif(F.regexp_extract(body, shape.flags + shape.pattern, 0), F.lit(""))
-        for shape in ANY_AMOUNT_STEPS
-    ]
-    return F.when(_has_symbol(body), F.coalesce(*steps))
-
-
 def amount_fields(matched: Column | str) -> dict[str, Column]:
-    """Salary columns read from a `pay_amount`; a single amount fills both ends."""
+    """Salary columns read from the matched text; a single amount fills both ends."""
     whole = as_column(matched)
 
     def first(of: str) -> Column:
@@ -152,22 +141,34 @@ def with_salary_range(
     """
     found = computed_once(postings, {"_match": stated_range(text, reading)})
     if stated_only:
-        found = found.filter(F.col("_match").isNotNull())
-    staged = computed_once(found, {"_pay": surroundings(text, "_match")})
+        found = found.filter("_match <> ''")
+    pay = F.when(F.col("_match") != "", surroundings(text, "_match"))
     fields = range_fields("_pay", reading)
-    priced = computed_once(staged, {name + suffix: value for name, value in fields.items()})
+    priced = computed_once(
+        computed_once(found, {"_pay": pay}), {name + suffix: value for name, value in fields.items()}
+    )
     return priced.drop("_match", "_pay")
 
 
 def with_any_salary(
-    postings: DataFrame, text: Column | str, suffix: str = "", stated_only: bool = False
+    postings: DataFrame, text: str, suffix: str = "", stated_only: bool = False
 ) -> DataFrame:
-    staged = computed_once(postings, {"_pay": pay_amount(text)})
+    """Add the salary of a range, else of an amount with a currency code, else of any amount.
+
+    A later step only scans texts in which the earlier ones found nothing.
+    """
+    body, found = F.col(text), F.lit("")
+    staged = postings
+    for shape in ANY_AMOUNT_STEPS:
+        match = F.regexp_extract(body, shape.flags + shape.pattern, 0)
+        step = F.when(found != "", found).when(_has_symbol(body), match).otherwise("")
+        staged = computed_once(staged, {"_match": step})
+        found = F.col("_match")
     if stated_only:
-        staged = staged.filter(F.col("_pay").isNotNull())
-    fields = amount_fields("_pay")
+        staged = staged.filter("_match <> ''")
+    fields = amount_fields(F.when(found != "", found))
     priced = computed_once(staged, {name + suffix: value for name, value in fields.items()})
-    return priced.drop("_pay")
+    return priced.drop("_match")
 
 
 def salary_band(amount: Column | str, width: int = SALARY_BAND) -> Column:

@@ -84,21 +84,25 @@ def with_global_place(table: DataFrame, order: Sequence[Column | str], into: str
     rows of the ranges before it. The ranges are checkpointed, so counts and rows agree even when
     an executor is lost. The order should end in a unique column, which keeps ranges even.
     """
-    ensure_checkpoint_dir(table.sparkSession)
-    ranged = (
+    spark = table.sparkSession
+    ensure_checkpoint_dir(spark)
+    numbered = (
         table.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_range", F.spark_partition_id())
+        # Partition in the upper bits, row in the lower 33; fixed by the checkpoint.
+        .withColumn("_id", F.monotonically_increasing_id())
         .checkpoint()
     )
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per range: as many as there are shuffle partitions.
+    placed = numbered.withColumns({
+        "_range": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    }).drop("_id")
+    # One row per range: no more than there are shuffle partitions.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = placed.groupBy("_range").agg(F.max("_row").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy("_range").orderBy(*order)
     return (
-        ranged.withColumn("_row", F.row_number().over(within))
-        .join(broadcast_within(shifts), "_range")
+        placed.join(broadcast_within(shifts, bound=ranges), "_range")
         .withColumn(into, F.col("_row") + F.col("_shift"))
         .drop("_range", "_row", "_shift")
     )

@@ -22,7 +22,7 @@ LINE_ORDER = (
 def latest_upsert(spark, folder):
     """The newest row of every repeated (order, line)."""
     lines = table(spark, folder, "lineitem")
-    return m.latest_per_key(lines, LINE_KEYS, m.newest_by_date(lines, "l_shipdate"))
+    return m.latest_per_key(lines, LINE_KEYS, m.newest_by_date(lines, "l_shipdate", LINE_KEYS))
 
 
 @query(

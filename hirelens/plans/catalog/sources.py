@@ -80,11 +80,11 @@ GREENHOUSE_SQL = (
 
 
 def board_envelopes(spark, folder):
-    """One landed envelope of a few jobs per customer and year-month; the total is sometimes off."""
-    jobs = joined(spark, folder).selectExpr("o_custkey", "date_format(o_orderdate, 'yyyy-MM') AS landed", f"{GREENHOUSE_JOB} AS job")
-    return jobs.groupBy("o_custkey", "landed").agg(F.collect_list("job").alias("jobs")).selectExpr(
-        "o_custkey", "landed", "jobs",
-        "named_struct('total', CAST(size(jobs) + CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT)) AS meta",
+    """Landed envelopes of at most fifty jobs with neighbouring ids; some totals are off by one."""
+    jobs = joined(spark, folder).selectExpr("o_orderkey - o_orderkey % 50 AS board", f"{GREENHOUSE_JOB} AS job")
+    return jobs.groupBy("board").agg(F.collect_list("job").alias("jobs")).selectExpr(
+        "board", "jobs",
+        "named_struct('total', CAST(size(jobs) + CASE WHEN board % 500 = 0 THEN 1 ELSE 0 END AS BIGINT)) AS meta",
     )
 
 
@@ -95,7 +95,8 @@ def normalise_greenhouse(spark, folder):
 
 
 @query(
-    "SELECT count(*) AS envelopes, CAST(sum(held) AS BIGINT) AS jobs FROM (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS landed, count(*) AS held FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) WHERE o_custkey % 10 = 0"
+    "SELECT count(*) AS envelopes, CAST(sum(held) AS BIGINT) AS jobs FROM (SELECT o_orderkey - o_orderkey % 50 AS board, count(*) AS held "
+    "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) WHERE board % 500 = 0"
 )
 def declared_totals(spark, folder):
     """Envelopes whose declared total is not what they hold."""

@@ -19,9 +19,9 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], newest: Sequence[Column
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def newest_by_date(rows: DataFrame, date: str) -> list[Column]:
+def newest_by_date(rows: DataFrame, date: str, keys: Sequence[str]) -> list[Column]:
     """Later date first; then every other column, so the choice never depends on row order."""
-    others = [F.desc_nulls_last(name) for name in rows.columns if name != date]
+    others = [F.desc_nulls_last(name) for name in rows.columns if name != date and name not in keys]
     return [F.desc_nulls_last(date), *others]
 
 
@@ -33,8 +33,8 @@ def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], date: str)
     both = current.withColumn("_batch", F.lit(0)).unionByName(
         batch.withColumn("_batch", F.lit(1)), allowMissingColumns=True
     )
-    others = [F.desc_nulls_last(name) for name in batch.columns if name != date]
-    order = [F.desc_nulls_last(date), F.desc("_batch"), *others]
+    newest, *others = newest_by_date(batch, date, keys)
+    order = [newest, F.desc("_batch"), *others]
     return latest_per_key(both, keys, order).drop("_batch")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..plans.maintenance import newest_by_date, latest_per_key, upsert
+from ..plans.maintenance import latest_per_key, newest_by_date, upsert
 
 
 class VersionedTable:
@@ -55,7 +55,7 @@ def start_landing(
         rows = prepare(batch) if prepare else batch
         current = table.read()
         if current is None:
-            table.write_next(latest_per_key(rows, keys, newest_by_date(rows, date)))
+            table.write_next(latest_per_key(rows, keys, newest_by_date(rows, date, keys)))
         else:
             table.write_next(upsert(current, rows, keys, date))
 
