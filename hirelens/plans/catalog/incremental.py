@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ...streaming.landing import VersionedTable, start_landing
+from ...streaming.landing import MergedTable, start_landing
 from .. import maintenance as m
 from .registry import query, table
 
@@ -26,16 +26,16 @@ def latest_upsert(spark, folder):
 
 
 @query(
-    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'rewritten' ELSE o_orderpriority END AS title, "
-    "CAST(CAST(CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS DATE) AS VARCHAR) AS scraped FROM orders"
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'rewritten' ELSE o_orderpriority END AS title, "
+    "CAST(CAST(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS DATE) AS VARCHAR) AS scraped FROM orders"
 )
 def batch_upsert(spark, folder):
-    """A third of the postings scraped again, some on the same day: the batch wins there too."""
+    """Filled postings scraped again, some on the same day: the batch wins there too."""
     orders = table(spark, folder, "orders")
     current = orders.selectExpr("o_orderkey", "o_orderpriority AS title", "CAST(o_orderdate AS DATE) AS scraped")
-    again = orders.filter("o_orderkey % 3 = 0").selectExpr(
+    again = orders.filter("o_orderstatus = 'F'").selectExpr(
         "o_orderkey", "'rewritten' AS title",
-        "CAST(o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) AS scraped",
+        "CAST(o_orderdate + CASE WHEN o_totalprice > 200000 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS DATE) AS scraped",
     )
     return m.upsert(current, again, ["o_orderkey"], "scraped").withColumn("scraped", F.col("scraped").cast("string"))
 
@@ -69,8 +69,7 @@ def run_log(spark, folder):
 
 
 @query(
-    "SELECT user_id, event_type, CAST(ts AS VARCHAR) AS ts, value FROM "
-    "(SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events) "
+    "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, value FROM events "
     "QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) = 1"
 )
 def stream_upsert(spark, folder):
@@ -78,12 +77,12 @@ def stream_upsert(spark, folder):
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     root = f"{shared or tempfile.mkdtemp(prefix='spark-')}/landing-{uuid.uuid4().hex}"
     drops = table(spark, folder, "events").selectExpr(
-        "user_id", "event_type", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts", "value"
+        "user_id", "event_type", "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS ts", "value"
     )
     drops.repartition(4).write.json(f"{root}/drops")
+    merged = MergedTable(spark, f"{root}/table", ["user_id", "event_type"], "ts")
     stream = start_landing(
-        spark, f"{root}/drops", drops.schema, f"{root}/table", f"{root}/progress",
-        ["user_id", "event_type"], "ts", files_per_batch=2,
+        spark, f"{root}/drops", drops.schema, merged, f"{root}/progress", files_per_batch=1, compact_every=3
     )
     stream.awaitTermination()
-    return VersionedTable(spark, f"{root}/table").read()
+    return merged.read()

@@ -151,11 +151,11 @@ def source_pages(spark, folder):
 
 
 @query(
-    "SELECT ordinal, o_orderkey, o_orderpriority FROM (SELECT event_id AS ordinal, user_id FROM events ORDER BY event_id LIMIT 2500) JOIN orders ON o_orderkey = user_id"
+    "SELECT event_id AS ordinal, o_orderkey, o_orderpriority FROM events JOIN orders ON o_orderkey = user_id"
 )
 def details_in_order(spark, folder):
-    """Details fetched for the first 2,500 summaries, in summary order."""
-    summaries = table(spark, folder, "events").selectExpr("event_id AS ordinal", "CAST(user_id AS STRING) AS id").orderBy("ordinal").limit(2500)
+    """The detail of every summary, carrying the summary order."""
+    summaries = table(spark, folder, "events").selectExpr("event_id AS ordinal", "CAST(user_id AS STRING) AS id")
     details = table(spark, folder, "orders").selectExpr("CAST(o_orderkey AS STRING) AS id", "o_orderkey", "o_orderpriority")
     return smartrecruiters.details_in_order(summaries, details).select("ordinal", "o_orderkey", "o_orderpriority")
 

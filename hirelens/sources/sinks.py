@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..fixed_values import PLATFORM_HOSTS
 from ..schemas import GOLD_TREND, SILVER, conform
-from .register_values import register_rows
+from .landed import source_platform
+from .register_values import register_rows, source_rows
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -65,3 +67,17 @@ def load_register(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.createDataFrame(register_rows(), SILVER["company"])
     write_silver(rows, "company", root)
     return read_silver(spark, "company", root)
+
+
+def load_source_register(spark: SparkSession, root: str) -> DataFrame:
+    """Where each company's postings come from: class of source, risk, confidence, platform."""
+    surveyed = spark.createDataFrame(
+        source_rows(), "name STRING, source_class STRING, access_risk STRING, confidence STRING"
+    )
+    companies = load_register(spark, root).select(
+        "company_id", "name", "data_source_status",
+        F.col("career_page_url").alias("endpoint"),
+        source_platform("career_page_url", PLATFORM_HOSTS).alias("source_platform"),
+    )
+    companies.join(surveyed, "name", "left").write.mode("overwrite").parquet(f"{root}/silver/source_register")
+    return spark.read.parquet(f"{root}/silver/source_register")

@@ -6,7 +6,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from hirelens.plans import maintenance as m
-from hirelens.streaming.landing import VersionedTable, start_landing
+from hirelens.streaming.landing import MergedTable, start_landing
 
 DDL = "url string, title string, seen string"
 
@@ -64,19 +64,32 @@ def test_stream_equals_batch_and_survives_a_replay(spark, tmp_path):
     for number, batch in enumerate(batches):
         (drops / f"{number}.json").write_text("\n".join(json.dumps(dict(zip(names, row))) for row in batch))
     schema = spark.createDataFrame([], DDL).schema
-    for progress in ("p1", "p2"):  # the second pass replays every drop
-        start_landing(spark, str(drops), schema, root, str(tmp_path / progress), ["url"], "seen", files_per_batch=1).awaitTermination()
+    table = MergedTable(spark, root, ["url"], "seen")
+    for progress in ("p1", "p2"):  # the second stream lands every drop once more
+        start_landing(spark, str(drops), schema, table, str(tmp_path / progress), files_per_batch=1, compact_every=2).awaitTermination()
     expected = {("a", "2", "2026-01-03"), ("b", "1", "2026-01-02"), ("c", "1", "2026-01-01")}
-    assert rows(VersionedTable(spark, root).read().select(*names)) == expected
-    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("v")]) == 2
-
-
-def test_a_torn_version_is_ignored(spark, tmp_path):
-    root = str(tmp_path / "table")
-    table = VersionedTable(spark, root)
-    table.write_next(spark.createDataFrame([("a", "1", "x")], DDL))
-    (tmp_path / "table" / "v1").mkdir()
-    assert rows(table.read()) == {("a", "1", "x")}
+    assert rows(table.read().select(*names)) == expected
+    table.compact()
+    table.compact()
+    assert rows(table.read().select(*names)) == expected
+
+
+def test_a_replayed_batch_replaces_itself_and_later_drops_win_ties(spark, tmp_path):
+    table = MergedTable(spark, str(tmp_path / "t"), ["url"], "seen")
+    assert table.read() is None
+    table.append(spark.createDataFrame([("a", "z", "d1")], DDL), "s-0")
+    table.append(spark.createDataFrame([("a", "b", "d1")], DDL), "s-1")
+    table.append(spark.createDataFrame([("a", "z", "d1")], DDL), "s-0")
+    assert rows(table.read().select("url", "title", "seen")) == {("a", "b", "d1")}
+    assert len(list((tmp_path / "t" / "delta").iterdir())) == 2
+
+
+def test_unfinished_parts_are_ignored(spark, tmp_path):
+    table = MergedTable(spark, str(tmp_path / "t"), ["url"], "seen")
+    table.append(spark.createDataFrame([("a", "1", "x")], DDL), "s-0")
+    (tmp_path / "t" / "base" / "0000000009").mkdir(parents=True)
+    (tmp_path / "t" / "delta" / "0000000007-s-9").mkdir()
+    assert rows(table.read().select("url", "title", "seen")) == {("a", "1", "x")}
 
 
 def test_retention_drops_old_partitions_only(spark, tmp_path):

@@ -213,3 +213,9 @@ def test_log_appends(spark, tmp_path):
     for status in ("success", "failed"):
         sinks.append_log(spark.createDataFrame([("1", "c", "2026-01-01", 3, status, None)], ddl), str(tmp_path))
     assert sinks.read_silver(spark, "scrape_log", str(tmp_path)).count() == 2
+
+
+def test_source_register_has_every_company(spark, tmp_path):
+    sources = sinks.load_source_register(spark, str(tmp_path))
+    assert sources.count() == 41 and sources.filter("source_class IS NULL").isEmpty()
+    assert sources.filter("source_class = 'published API' AND source_platform = 'Custom site'").isEmpty()
