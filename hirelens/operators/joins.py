@@ -23,9 +23,14 @@ def broadcast_within(table: DataFrame, rows: int = BROADCAST_ROWS, bound: int |
     return F.broadcast(table) if size <= rows else table
 
 
-def one_to_one_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join that fails when either side repeats a key. An empty left side keeps the schema."""
-    for name, side in (("left", left), ("right", right)):
+def one_to_one_left(
+    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
+) -> DataFrame:
+    """Left join that fails when either side repeats a key. An empty left side keeps the schema.
+
+    `right_keys` holds the same keys as `right` where those are cheaper to read for the check.
+    """
+    for name, side in (("left", left), ("right", right if right_keys is None else right_keys)):
         if not duplicate_keys(side, [key]).isEmpty():
             raise ValueError(f"{key} repeats on the {name} side")
     return left.join(right, key, "left")

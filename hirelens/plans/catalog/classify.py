@@ -14,7 +14,7 @@ from .views import PART_TEXT, sql_matched, sql_words
 
 
 def described(spark, folder):
-    return table(spark, folder, "part").selectExpr("p_partkey", "p_brand AS title", f"{PART_TEXT} AS description")
+    return table(spark, folder, "part", costly=True).selectExpr("p_partkey", "p_brand AS title", f"{PART_TEXT} AS description")
 
 
 def labels_sql(taxonomy, source: str, key: str) -> str:
@@ -59,7 +59,7 @@ DOCUMENT_TERMS = {
 @query(bridge_sql(DOCUMENT_TERMS, f"(SELECT doc_id, {sql_words('text')} AS w FROM documents)", "doc_id"))
 def document_topics(spark, folder):
     """The same classifier over whole documents, with its own terms."""
-    classified = k.classify(table(spark, folder, "documents").select("doc_id", "text"), ["text"], DOCUMENT_TERMS)
+    classified = k.classify(table(spark, folder, "documents", costly=True).select("doc_id", "text"), ["text"], DOCUMENT_TERMS)
     return k.label_rows(classified, "doc_id").withColumn("matched_terms", F.array_join("matched_terms", ";"))
 
 
@@ -145,7 +145,7 @@ RESPONSE_TEXT = (
 )
 def response_errors(spark, folder):
     """Why a stored response cannot be used; null when it can."""
-    parsed = with_parsed(table(spark, folder, "events").selectExpr("event_id", f"{RESPONSE_TEXT} AS content"))
+    parsed = with_parsed(table(spark, folder, "events", costly=True).selectExpr("event_id", f"{RESPONSE_TEXT} AS content"))
     return parsed.select("event_id", response_error("parsed").alias("error"))
 
 
@@ -155,7 +155,7 @@ def response_errors(spark, folder):
 )
 def response_parse(spark, folder):
     """Usable responses with company, title and page taken from the posting."""
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events", costly=True)
     responses = events.selectExpr("event_id AS job_id", f"{RESPONSE_TEXT} AS content")
     truth = events.selectExpr(
         "event_id AS job_id", "'User ' || user_id AS company", "'Title ' || event_id AS job_title",

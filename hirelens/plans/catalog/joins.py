@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import companies, joins
+from .. import reports
 from .registry import query, table
 from .salary import POSTINGS_SQL, postings, range_sql
-from ...functions.salary import with_salary_range
-from .. import reports
 
 
 @query(
@@ -21,8 +20,7 @@ def taxonomy_salary_join(spark, folder):
     classified = table(spark, folder, "orders").filter("o_orderstatus <> 'P'").selectExpr(
         "o_orderkey AS job_id", "o_orderpriority AS title", "o_orderstatus AS functional_area"
     )
-    priced = with_salary_range(postings(spark, folder), "description", "research")
-    return reports.classification_report(classified, priced)
+    return reports.classification_report(postings(spark, folder), classified, "research")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...fixed_values import TITLE_STOP_WORDS
 from ...functions.salary import ANY_AMOUNT_STEPS, RANGE_READINGS, with_any_salary, with_salary_range
-from ...operators.joins import best_title_match
+from ...operators.joins import best_title_match, broadcast_within
 from ...sources.landed import salary_reference
 from .. import reports
 from .registry import query, table
@@ -63,7 +63,7 @@ def postings(spark, folder):
     places = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"), "left"
     ).select("c_custkey", "n_name")
-    return table(spark, folder, "orders").join(places, F.expr("o_custkey = c_custkey"), "left").selectExpr(
+    return table(spark, folder, "orders", costly=True).join(broadcast_within(places), F.expr("o_custkey = c_custkey"), "left").selectExpr(
         "o_orderkey AS job_id", "o_orderpriority AS job_title", "n_name AS location",
         "'https://jobs.example.com/' || o_orderkey AS source_url", f"{pay_text(SPARK)} AS description",
     )
@@ -77,7 +77,7 @@ def salary_report(spark, folder):
 
 @query(amount_sql(f"(SELECT o_orderkey, {pay_text(DUCK)} AS txt FROM orders)", "o_orderkey"))
 def salary_fallback_chain(spark, folder):
-    texts = table(spark, folder, "orders").selectExpr("o_orderkey", f"{pay_text(SPARK)} AS txt")
+    texts = table(spark, folder, "orders", costly=True).selectExpr("o_orderkey", f"{pay_text(SPARK)} AS txt")
     return with_any_salary(texts, "txt").drop("txt")
 
 
@@ -114,7 +114,7 @@ def with_pay(engine: str) -> str:
     "doc_id", "mobility"))
 def salary_snippet(spark, folder):
     """Pay stated in the middle of a whole document."""
-    texts = table(spark, folder, "documents").join(
+    texts = table(spark, folder, "documents", costly=True).join(
         table(spark, folder, "orders"), F.expr("doc_id = o_orderkey")
     ).selectExpr("doc_id", f"{with_pay(SPARK)} AS txt")
     return with_salary_range(texts, "txt", "mobility").drop("txt", "salary_source")
@@ -140,7 +140,7 @@ REFERENCE_SQL = amount_sql(
 
 
 def reference_entries(spark, folder):
-    lines = table(spark, folder, "part").selectExpr("p_partkey AS ordinal", f"{reference_line(SPARK)} AS value")
+    lines = table(spark, folder, "part", costly=True).selectExpr("p_partkey AS ordinal", f"{reference_line(SPARK)} AS value")
     return salary_reference(lines)
 
 

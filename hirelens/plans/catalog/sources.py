@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ...operators.joins import broadcast_within
 from ...sources import adapters, greenhouse, lever, smartrecruiters
 from ...sources.adapters import union_sources
 from .quality import split_expressions
@@ -25,7 +26,7 @@ JOINED_SQL = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nat
 def joined(spark, folder):
     places = table(spark, folder, "nation").join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
     companies = table(spark, folder, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
-    return table(spark, folder, "orders").join(companies, F.expr("o_custkey = c_custkey"))
+    return table(spark, folder, "orders", costly=True).join(broadcast_within(companies), F.expr("o_custkey = c_custkey"))
 
 
 LEVER_SHAPE = (

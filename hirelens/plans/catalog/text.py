@@ -31,7 +31,7 @@ DECODED = f"replace(replace(replace({UNTIDY[DUCK]}, '&lt;', '<'), '&gt;', '>'),
 @query(f"SELECT doc_id, {sql_tidy(DECODED)} AS cleaned FROM documents")
 def clean_text(spark, folder):
     """Whole documents with uneven blanks, mixed line ends and entities."""
-    untidy = table(spark, folder, "documents").selectExpr("doc_id", f"{UNTIDY[SPARK]} AS untidy")
+    untidy = table(spark, folder, "documents", costly=True).selectExpr("doc_id", f"{UNTIDY[SPARK]} AS untidy")
     return text.cleaned(untidy, {"cleaned": "untidy"}).select("doc_id", "cleaned")
 
 
@@ -58,19 +58,19 @@ def page_sql(drop_script: bool) -> str:
 
 @query(page_sql(False))
 def html_to_text(spark, folder):
-    return text.html_texts(table(spark, folder, "pages"), {"plain": "html"}).select("page_id", "plain")
+    return text.html_texts(table(spark, folder, "pages", costly=True), {"plain": "html"}).select("page_id", "plain")
 
 
 @query(page_sql(True))
 def html_to_text_no_script(spark, folder):
-    return text.html_texts(table(spark, folder, "pages"), {"plain": "html"}, drop_script=True).select("page_id", "plain")
+    return text.html_texts(table(spark, folder, "pages", costly=True), {"plain": "html"}, drop_script=True).select("page_id", "plain")
 
 
 @query(
     "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS bare FROM pages"
 )
 def tag_strip(spark, folder):
-    return table(spark, folder, "pages").select("page_id", text.strip_tags("html", decode=False).alias("bare"))
+    return table(spark, folder, "pages", costly=True).select("page_id", text.strip_tags("html", decode=False).alias("bare"))
 
 
 # Event times written in the ways sources write them; `{...}` differs per engine.
@@ -97,7 +97,7 @@ def stamp_text(engine: str) -> str:
     "strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS utc_of_millis FROM events"
 )
 def iso_timestamp(spark, folder):
-    stamps = table(spark, folder, "events").selectExpr(
+    stamps = table(spark, folder, "events", costly=True).selectExpr(
         "event_id", f"{stamp_text(SPARK)} AS stamp", "unix_date(CAST(ts AS DATE)) * 86400000L + hour(ts) * 3600000 + minute(ts) * 60000 + second(ts) * 1000 + 999 AS millis"
     )
     return stamps.select(
@@ -190,7 +190,7 @@ EMAIL, PHONE = text.EMAIL_PATTERN, text.PHONE_PATTERN
     f"SELECT doc_id, regexp_replace(regexp_replace(text, '{EMAIL}', '[email]', 'g'), '{PHONE}', '[phone]', 'g') AS redacted FROM documents"
 )
 def personal_data_redact(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.redact_personal("text").alias("redacted"))
+    return table(spark, folder, "documents", costly=True).select("doc_id", text.redact_personal("text").alias("redacted"))
 
 
 @query(

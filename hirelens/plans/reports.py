@@ -67,11 +67,15 @@ def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFra
     return truth.join(labels, "job_id"), failures
 
 
-def classification_report(classifications: DataFrame, salaries: DataFrame) -> DataFrame:
-    """Classifications with their salary; either side repeating a job id is an error."""
+def classification_report(postings: DataFrame, classifications: DataFrame, reading: str) -> DataFrame:
+    """Classifications with the salary their posting states; a repeated job id on either side is an error.
+
+    The uniqueness check reads ids only, so no text is searched for it.
+    """
+    salaries = with_salary_range(postings, "description", reading)
     wanted = ("job_id", "location", "salary_min", "salary_max", "salary_currency", "salary_period",
               "salary_snippet", "salary_source")
-    return one_to_one_left(classifications, salaries.select(*wanted), "job_id")
+    return one_to_one_left(classifications, salaries.select(*wanted), "job_id", postings.select("job_id"))
 
 
 def board_classification_report(classifications: DataFrame, salaries: DataFrame) -> DataFrame:

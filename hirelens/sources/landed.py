@@ -14,6 +14,16 @@ from ..schemas import GREENHOUSE_RAW, LEVER_RAW, POSTING, RESPONSE, SMARTRECRUIT
 CORRUPT = "_corrupt_record"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Share out a scan of few files before costly work per row.
+
+    A large input has more splits than there are cores and stays as it is, without a shuffle.
+    Only for plain scans, whose partitions are known without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def read_json(
     spark: SparkSession, path: str, schema: str, multi_line: bool = True
 ) -> DataFrame:
