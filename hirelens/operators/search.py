@@ -42,6 +42,15 @@ def salary_order(key: str) -> list[Column]:
     return [F.asc_nulls_last("salary_currency"), F.desc_nulls_last("salary_min"), F.asc(key)]
 
 
+def sort_extracted(table: DataFrame, order: Sequence[Column | str], key: str) -> DataFrame:
+    """Sort a small result of costly work, doing that work once.
+
+    A global sort first samples its input, which would read every text a second time. Handing the
+    extracted rows over by key lets the sample read those instead.
+    """
+    return table.repartition(key).orderBy(*order)
+
+
 def newest_first(date: str, ordinal: str) -> list[Column]:
     return [F.desc_nulls_last(date), F.asc(ordinal)]
 

@@ -36,13 +36,18 @@ def clean_text(spark, folder):
 
 
 BLOCKS = "|".join(BLOCK_TAGS)
-PAGE_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"))
+# The entities of the pages; an ampersand may also come without its semicolon.
+PAGE_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&"))
 
 
-def page_sql(drop_script: bool) -> str:
-    decoded = "html"
+def decode_page(text: str) -> str:
     for entity, mark in PAGE_ENTITIES:
-        decoded = f"replace({decoded}, '{entity}', '{mark}')"
+        text = f"replace({text}, '{entity}', '{mark}')"
+    return text
+
+
+def page_sql(drop_script: bool) -> str:
+    decoded = decode_page("html")
     script = "''" if drop_script else "regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '</(script|style)>$', '')"
     pieces = (
         f"list_transform(regexp_extract_all({decoded}, "
@@ -52,7 +57,8 @@ def page_sql(drop_script: bool) -> str:
         f"WHEN regexp_matches(x, '^</?({BLOCKS})[ />]') THEN chr(10) "
         "WHEN x LIKE '<%' THEN '' ELSE x END)"
     )
-    glued = f"array_to_string({pieces}, '')"
+    # Cleaning decodes once more, after the pieces have been joined.
+    glued = decode_page(f"array_to_string({pieces}, '')")
     return f"SELECT page_id, {sql_tidy(glued)} AS plain FROM pages"
 
 

@@ -10,7 +10,7 @@ from ..functions.salary import with_any_salary, with_salary_range
 from ..functions.text import strip_tags
 from ..functions.titles import title_relevant
 from ..operators.joins import one_to_one_left, salary_with_fallback, suffixed_left_join
-from ..operators.search import salary_order, with_salary
+from ..operators.search import salary_order, sort_extracted, with_salary
 
 RANGE_REPORT = (
     "job_id", "job_title", "location", "source_url", "salary_min", "salary_max",
@@ -26,7 +26,7 @@ FALLBACK_TAG = "levels_fyi"
 def salary_report(postings: DataFrame, reading: str) -> DataFrame:
     """Postings that state a range, dearest first within each currency."""
     priced = with_salary_range(postings, "description", reading, stated_only=True)
-    return priced.select(*RANGE_REPORT).orderBy(*salary_order("job_id"))
+    return sort_extracted(priced.select(*RANGE_REPORT), salary_order("job_id"), "job_id")
 
 
 def board_salaries(raw_jobs: DataFrame, entries: DataFrame, fallback_tag: str = FALLBACK_TAG) -> DataFrame:
@@ -45,7 +45,7 @@ def board_salaries(raw_jobs: DataFrame, entries: DataFrame, fallback_tag: str =
 
 def board_salary_report(raw_jobs: DataFrame, entries: DataFrame) -> DataFrame:
     priced = with_salary(board_salaries(raw_jobs, entries))
-    return priced.select(*BOARD_REPORT).orderBy(*salary_order("id"))
+    return sort_extracted(priced.select(*BOARD_REPORT), salary_order("id"), "id")
 
 
 def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
