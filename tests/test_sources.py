@@ -45,8 +45,8 @@ def landing(tmp_path, payload, name="drop.json"):
 
 
 def test_lever_postings(spark, tmp_path):
-    good, bad = landed.split_malformed(landed.read_lever(spark, landing(tmp_path, [LEVER_JOB])))
-    postings = adapters.normalise_landed(good, lever.ATS, "Waabi", STAMP)
+    good, _ = landed.split_malformed(landed.read_lever(spark, landing(tmp_path, [LEVER_JOB])))
+    postings = adapters.normalise_landed(good, lever.ATS, "Acme L", STAMP)
     row = postings.first()
     assert row["posting_date"] == "2024-07-03T09:46:40Z" and row["ats"] == "Lever"
     assert row["all_locations"] == ["Toronto, Canada"] and row["salary_range"]["currency"] == "CAD"
@@ -57,7 +57,7 @@ def test_lever_postings(spark, tmp_path):
 def test_lever_fallbacks(spark, tmp_path):
     job = {**LEVER_JOB, "descriptionPlain": " ", "description": "<p>Rich</p>",
            "categories": {"location": "", "allLocations": ["A", "", None, " B "]}, "salaryRange": None}
-    row = lever.normalise(landed.read_lever(spark, landing(tmp_path, [job])), "Waabi", STAMP).first()
+    row = lever.normalise(landed.read_lever(spark, landing(tmp_path, [job])), "Acme L", STAMP).first()
     assert (row["location"], row["description"], row["salary_range"]) == ("A, B", "Rich", None)
 
 
@@ -70,7 +70,7 @@ def test_greenhouse_postings(spark, tmp_path):
     envelope = {"jobs": [GREENHOUSE_JOB], "meta": {"total": 1}}
     raw = landed.read_greenhouse(spark, landing(tmp_path, envelope))
     assert greenhouse.wrong_totals(raw).isEmpty()
-    postings = adapters.normalise_landed(raw, greenhouse.ATS, "Stack AV", STAMP)
+    postings = adapters.normalise_landed(raw, greenhouse.ATS, "Acme G", STAMP)
     row = postings.first()
     assert row["workplace_type"] == "remote" and row["description"] == "Build safe perception software."
     assert row["posting_date"] == "2026-08-01T14:00:00Z" and row["job_id"] == "123"
@@ -86,7 +86,7 @@ def test_greenhouse_total_mismatch(spark, tmp_path):
 
 def test_smartrecruiters_postings(spark, tmp_path):
     raw = landed.read_smartrecruiters_details(spark, landing(tmp_path, SMART_JOB))
-    postings = adapters.normalise_landed(raw, smartrecruiters.ATS, "Bosch", STAMP)
+    postings = adapters.normalise_landed(raw, smartrecruiters.ATS, "Acme S", STAMP)
     row = postings.first()
     assert row["workplace_type"] == "hybrid" and row["posting_date"] == "2026-08-10T01:02:03Z"
     assert row["description"] == "Job Description\nBuild safe ADAS software.\n\nNeeds\nC++"
@@ -121,9 +121,9 @@ def test_details_keep_summary_order(spark):
 
 
 def test_union_fills_missing_columns(spark, tmp_path):
-    first = adapters.normalise_landed(landed.read_lever(spark, landing(tmp_path, [LEVER_JOB])), lever.ATS, "Waabi", STAMP)
+    first = adapters.normalise_landed(landed.read_lever(spark, landing(tmp_path, [LEVER_JOB])), lever.ATS, "Acme L", STAMP)
     second = adapters.normalise_landed(
-        landed.read_smartrecruiters_details(spark, landing(tmp_path, SMART_JOB, "s.json")), smartrecruiters.ATS, "Bosch", STAMP)
+        landed.read_smartrecruiters_details(spark, landing(tmp_path, SMART_JOB, "s.json")), smartrecruiters.ATS, "Acme S", STAMP)
     both = adapters.union_sources(first, second)
     assert both.count() == 2 and both.filter("ats = 'Lever' AND experience_level IS NULL").count() == 1
     assert set(REQUIRED_FIELDS) <= set(both.columns)
