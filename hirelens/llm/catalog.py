@@ -1,6 +1,6 @@
 """All queries of this subpackage, with SQL where it can express them."""
 
-from . import decontamination, language, mixing, quality, toxicity  # noqa: F401
+from . import decontamination, jaccard, language, linededup, mixing, neighbours, quality, toxicity, urls  # noqa: F401
 from .work import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

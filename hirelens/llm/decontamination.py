@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .work import query, table, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,14 +35,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _split(text: Column) -> Column:
+    """The stretches between separators, without the empty ones that a split leaves at the ends."""
+    def inner(parts: Column) -> Column:
+        first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+        last = F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+        return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+
+    return F.coalesce(let(F.split(text, SEPARATORS), inner), F.array().cast("array<string>"))
+
+
 def item_words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return _split(F.translate(text, UPPER, LOWER))
 
 
 def loose_words(text: Column) -> Column:
     """As many words, with all letters lower-cased: equal wherever `item_words` are, and faster. Only for finding."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return _split(F.lower(text))
 
 
 def _beside(left: Column, right: Column, step: int, join: Callable[[Column, Column], Column]) -> Column:
@@ -117,13 +127,12 @@ def find_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW, gram
     texts = documents.select("doc_id", text_key, "text").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_semi")
     texts = texts.dropDuplicates(["doc_id", "_text"]) if not documents.isStreaming else texts
     split = texts.select("doc_id", "_text", item_words(F.col("text")).alias("_w"))
-    every = [
-        F.transform(
-            F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>")),
-            lambda i, n=n: F.struct((i - 1).alias("begin"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("words")),
-        )
-        for n in sorted(lengths) or [window]
-    ]
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("begin"), F.lit(n).alias("n"), F.array_join(F.slice("_w", i, n), " ").alias("words")))
+
+    every = [runs_of(n) for n in sorted(lengths) or [window]]
     stretches = split.select("doc_id", "_text", F.inline(F.concat(*every)))
     return counts, stretches.join(_small(windows, is_small), ["n", "words"]).select("doc_id", "_text", "begin", "n", "item_id")
 
