@@ -1,29 +1,74 @@
-"""A corpus pipeline: each stage works on what the stage before it kept."""
+"""A corpus pipeline: language, line duplicates, near duplicates, benchmark passages, source mix.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept and returns the columns
+of documents; the last adds what the mix takes. Nulls in any column, empty and very long texts, repeated rows
+and empty tables pass through every stage; what each stage does with them is said below.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hirelens.llm import mixing
+from hirelens.llm import decontamination, jaccard, language, linededup, mixing
 from hirelens.llm.work import table, written
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language. Texts that are null or without letters go, and those that no language fits better
+    than another (posterior of half or less); with no stated language to learn from, only the former."""
+    model = language.learn(docs)
+    judged = language.identify(docs, model)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0.5)).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the blocks that an earlier document has. A document of which nothing but blanks is left goes; n_chars
+    follows the text where it changed. Null texts and ids stay as they are."""
+    cut = linededup.dedup_lines(docs)
+    kept = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    columns = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return kept.select(*columns)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of `gone` (doc_id, _text)."""
+    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates. Texts without words and null ids stay."""
+    return _without(docs, jaccard.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which fewer than one word in twenty lies in a benchmark passage."""
+    return _without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Word ranges of each document that the mix takes, with how often; documents taken nowhere go."""
+    """The documents that the mix takes from, with the word ranges taken and how often; the others go."""
     mix = mixing.mix(docs).where("taken > 0").withColumnRenamed("doc_id", "_mix_id")
-    return docs.join(mix, docs["doc_id"] == mix["_mix_id"]).drop("_mix_id")
+    return docs.join(mix.dropDuplicates(["_mix_id", "size"]), docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (mixing.word_count(F.col("text")) == F.col("size"))).drop("_mix_id")
 
 
 STAGES = [
+    ("language", known_language),
+    ("line dedup", without_repeated_lines),
+    ("near duplicates", one_of_each_group),
+    ("decontamination", without_benchmark_passages),
     ("mixing", mixed_sources),
 ]
 
-#: The language, quality and alignment decisions are not expressible in SQL; tests hold each stage against brute force.
+#: The language, alignment and block decisions cannot be said in SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each is written to the shared folder before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
