@@ -90,7 +90,7 @@ def prefixes(documents: DataFrame, classes: np.ndarray, size: int, least: int, o
 
 
 def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (region, doc_id) of one bucket: the pivot and members of each group of two or more."""
+    """Distinct (region, doc_id, set size) of one bucket: the pivot and members of each group of two or more."""
     parts: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for part, name, kind in zip(parts, ("keys", "docs", "sizes"), (np.uint64, np.int64, np.int64)):
@@ -103,8 +103,8 @@ def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Ite
     group = np.cumsum(new) - 1
     pivot = np.minimum.reduceat(docs, np.flatnonzero(new))
     keep = (np.bincount(group) > 1)[group]
-    pairs = np.unique(np.stack([pivot[group[keep]], docs[keep]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["region", "doc_id"])
+    pairs = np.unique(np.stack([pivot[group[keep]], docs[keep], sizes[keep]]), axis=1)
+    yield pa.RecordBatch.from_arrays([pa.array(part) for part in pairs], ["region", "doc_id", "n"])
 
 
 def near(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, of: int) -> np.ndarray:
@@ -158,17 +158,39 @@ def _unpacked(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return rows.column("doc_id").to_numpy(), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
 
 
-def region_join(regions: DataFrame, sets: DataFrame, least: int, of: int, leaf_rows: int, leaf_shingles: int) -> DataFrame:
-    """Links (a, b) that connect what is connected inside the regions (region, doc_id)."""
-    spark = sets.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
+def sets_in_groups(texts: DataFrame, members: DataFrame, key: list[str], size: int, broadcast_rows: int) -> DataFrame:
+    """(*key, doc_id, n, shingles) for the members (*key, doc_id): a text is cut into shingles once, then copied to its keys.
+
+    Up to `broadcast_rows` members go to where the texts are; more of them meet the texts in a shuffle join.
+    """
+    own = members.groupBy(F.col("doc_id").alias("_member")).agg(F.collect_set(F.struct(*key)).alias("_keys"))
+    own = written(own, "members")
+    own = F.broadcast(own) if members.count() <= broadcast_rows else own
+    kinds = own.schema["_keys"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [found for _, found in shingle_sets(batch.column("text"), size)]
+            columns = [batch.column("doc_id"), batch.column("_keys"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_keys", "n", "shingles"])
+
+    joined = texts.join(own, F.col("doc_id") == F.col("_member")).select("doc_id", "text", "_keys")
+    packed = joined.mapInArrow(pack, f"doc_id long, _keys {kinds}, n long, shingles binary").where("n > 0")
+    return packed.select("doc_id", "n", "shingles", F.inline("_keys"))
+
+
+def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size: int, leaf_rows: int, leaf_shingles: int, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that connect what is connected inside the regions (region, doc_id, n)."""
+    found = regions.sparkSession.createDataFrame([], "a long, b long")
     open_ = regions.withColumn("pivot", F.col("region"))
-    leaves = []
 
     def leaf(rows: pa.Table) -> pa.Table:
         links = region_links(*_unpacked(rows), least, of)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
+    def joined(members: DataFrame, key: list[str]) -> DataFrame:
+        return sets_in_groups(texts, members, key, size, broadcast_rows).groupBy(*key).applyInArrow(leaf, "a long, b long")
+
     @F.arrow_udf("struct<common: long, linked: boolean>")
     def against(pivots: pa.Array, members: pa.Array) -> pa.Array:
         common, linked = [], []
@@ -179,45 +201,43 @@ def region_join(regions: DataFrame, sets: DataFrame, least: int, of: int, leaf_r
             linked.append(bool(near(c, len(p), len(x), least, of)))
         return pa.StructArray.from_arrays([pa.array(common, pa.int64()), pa.array(linked)], ["common", "linked"])
 
-    rounds = 0
     while True:
-        weights = open_.join(sets.select("doc_id", "n"), "doc_id").groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
-        weights = written(weights, "region_sizes")
+        weights = open_.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
+        weights = written(weights.where("rows > 1"), "region_sizes")
         large = (F.col("rows") > leaf_rows) | (F.col("weight") > leaf_shingles)
-        small = open_.join(weights.where(~large & (F.col("rows") > 1)), "region")
-        leaves.append(small.select("region", "doc_id").join(sets, "doc_id").groupBy("region").applyInArrow(leaf, "a long, b long"))
+        small = open_.join(weights.where(~large), "region").select("region", "doc_id")
+        found = found.union(joined(small, ["region"]))
         if weights.where(large).isEmpty():
-            break
+            return found
         oversize = open_.join(weights.where(large), "region")
-        pivots = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("pivot_shingles"), F.col("n").alias("pivot_n"))
-        measured = oversize.join(sets, "doc_id").join(pivots, "pivot").select(
-            "region", "rows", "pivot", "doc_id", "n", "pivot_n", against("pivot_shingles", "shingles").alias("m")
+        sets = written(sets_in_groups(texts, oversize.select("region", "doc_id"), ["region"], size, broadcast_rows), "region_sets")
+        heads = oversize.select("region", "pivot").distinct().withColumnsRenamed({"region": "_region"})
+        heads = heads.join(sets, (F.col("_region") == F.col("region")) & (F.col("pivot") == F.col("doc_id")))
+        heads = heads.select("_region", "pivot", F.col("n").alias("pivot_n"), F.col("shingles").alias("pivot_shingles")).dropDuplicates(["_region"])
+        measured = sets.join(heads, F.col("region") == F.col("_region")).select(
+            "region", "pivot", "doc_id", "n", "pivot_n", against("pivot_shingles", "shingles").alias("m")
         )
         distance = 1 - F.col("m.common") / (F.col("n") + F.col("pivot_n") - F.col("m.common"))
-        measured = written(measured.select("region", "rows", "pivot", "doc_id", F.col("m.linked").alias("linked"), distance.alias("d")), "region_distances")
+        measured = written(measured.select("region", "pivot", "doc_id", "n", F.col("m.linked").alias("linked"), distance.alias("d")).distinct(), "region_distances")
         found = found.union(measured.where("linked and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        nearest = measured.where(~F.col("linked")).groupBy("region").agg(F.min("d").alias("near"), F.min("doc_id").alias("next"), F.count(F.lit(1)).alias("left"))
+        nearest = measured.where(~F.col("linked")).groupBy("region").agg(F.min("d").alias("near"), F.min("doc_id").alias("next"))
         step = 1 - least / of + 1e-9
+        # Linked documents stay only inside the window: no nearer to the pivot than the closest open one by the threshold.
         rest = measured.join(nearest, "region").where(~F.col("linked") | ((F.col("d") >= F.col("near") - step) & (F.col("near") <= 2 * step)))
-        rest = rest.where("doc_id <> pivot").select("region", F.col("next").alias("pivot"), "doc_id", "rows", "left")
-        rest = written(rest, "regions_left")
-        rounds += 1
-        now = rest.groupBy("region").agg(F.count(F.lit(1)).alias("now"))
-        stuck = (F.col("now") > 0.9 * F.col("rows")) & (F.col("now") > leaf_rows // 2)
+        rest = written(rest.where("doc_id <> pivot").select("region", F.col("next").alias("pivot"), "doc_id", "n"), "regions_left")
+        now = rest.groupBy("region").agg(F.count(F.lit(1)).alias("now")).join(weights.select("region", "rows"), "region")
         kept = rest.join(now, "region")
-        leaves.append(_block_pairs(kept.where(stuck), sets, leaf_rows).groupBy("region", "i", "j").applyInArrow(leaf, "a long, b long"))
-        open_ = written(kept.where(~stuck).select("region", "pivot", "doc_id"), "regions")
-    for part in leaves:
-        found = found.union(part)
-    return found
+        stuck = (F.col("now") > 0.9 * F.col("rows")) & (F.col("now") > leaf_rows // 2)
+        found = found.union(joined(_block_pairs(kept.where(stuck), leaf_rows), ["region", "i", "j"]))
+        open_ = written(kept.where(~stuck).select("region", "pivot", "doc_id", "n"), "regions")
 
 
-def _block_pairs(rows: DataFrame, sets: DataFrame, leaf_rows: int) -> DataFrame:
-    """Every two blocks of a region together, with their sets."""
+def _block_pairs(rows: DataFrame, leaf_rows: int) -> DataFrame:
+    """Every two blocks of a region together: (region, i, j, doc_id)."""
     n = F.ceil(2 * F.col("now") / leaf_rows)
     own = rows.select("region", "doc_id", n.alias("n_blocks"), F.pmod(F.xxhash64("doc_id"), n).alias("block"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    return each.select("region", "doc_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "doc_id")
+    return each.select("region", "doc_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
 def near_duplicates(
@@ -240,19 +260,10 @@ def near_duplicates(
     def grouped(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return group_members(rows, least, of)
 
-    regions = packed.groupBy("bucket").applyInArrow(grouped, "region long, doc_id long")
+    regions = packed.groupBy("bucket").applyInArrow(grouped, "region long, doc_id long, n long")
     regions = written(regions.distinct(), "regions")
 
-    members = written(regions.select(F.col("doc_id").alias("_member")).distinct(), "members")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [s for _, s in shingle_sets(batch.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["doc_id", "n", "shingles"])
-
-    wanted = standing.join(members, F.col("doc_id") == F.col("_member"), "left_semi").select("doc_id", "text")
-    sets = written(wanted.mapInArrow(pack, "doc_id long, n long, shingles binary").where("n > 0").dropDuplicates(["doc_id", "shingles"]), "shingle_sets")
-    links = written(region_join(regions, sets, least, of, leaf_rows, leaf_shingles), "region_links")
+    links = written(region_join(regions, standing.select("doc_id", "text"), least, of, size, leaf_rows, leaf_shingles), "region_links")
     parts = components(links)
     joined = classed.join(parts, classed["class_id"] == parts["node"], "left")
     return joined.select("doc_id", "_text", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))

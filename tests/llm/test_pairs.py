@@ -101,7 +101,7 @@ def test_jaccard_join_of_odd_and_empty_tables(odd_documents, no_documents):
     rows = jaccard.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
     found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows}
-    assert found[6, 9] == 5 and found[5, 9] == 5 and found[1, 0] == 1 and found[2, 0] == 2 and found[None, 9] is None
+    assert found[6, 10] == 5 and found[5, 10] == 5 and found[1, 0] == 1 and found[2, 0] == 2 and found[None, 10] is None
     assert jaccard.near_duplicates(no_documents).collect() == []
 
 
