@@ -11,6 +11,7 @@ from ..fixed_values import (
     RANGE_DASH_OR_TO, SALARY_BAND, SNIPPET_AFTER, SNIPPET_BEFORE, SYMBOL_CURRENCY,
 )
 from .binding import computed_once
+from .markup import unescape_entities
 from .text import as_column
 
 SYMBOL = "[$£€]"
@@ -26,6 +27,7 @@ class SalaryShape:
     maximum: int
     code: int
     ignore_case: bool
+    guarded: bool = False
 
     @property
     def flags(self) -> str:
@@ -38,7 +40,7 @@ def range_shape(amount: str, end_guard: bool = False) -> SalaryShape:
         f"({SYMBOL}){SPACE}({amount}){SPACE}{RANGE_DASH_OR_TO}{SPACE}(?:{SYMBOL}{SPACE})?"
         f"({amount}){guard}(?:{SPACE}({KNOWN_CODE}))?"
     )
-    return SalaryShape(pattern, 2, 3, 4, True)
+    return SalaryShape(pattern, 2, 3, 4, True, end_guard)
 
 
 # The three steps of the "any_amount" reading, tried in this order.
@@ -82,14 +84,15 @@ def stated_range(text: Column | str, reading: str) -> Column:
     return F.when(_has_symbol(body), F.regexp_extract(body, shape.flags + shape.pattern, 0))
 
 
-def surroundings(text: Column | str, found: Column | str) -> Column:
+def surroundings(text: Column | str, found: Column | str, reading: str) -> Column:
     """A found stretch with the characters around it.
 
-    The first match of a pattern is also the first place where its text stands, so a plain search
-    locates it.
+    The first match of a pattern is also the first place where its text stands, so a plain search locates it. That does
+    not hold for a guarded pattern, whose text may stand earlier as a part of a longer amount: there the pattern
+    is searched again, in the texts that have a match.
     """
-    body, match = as_column(text), as_column(found)
-    place = F.instr(body, match)
+    body, match, shape = as_column(text), as_column(found), RANGE_READINGS[reading]
+    place = F.regexp_instr(body, F.lit(shape.flags + shape.pattern)) if shape.guarded else F.instr(body, match)
     start = F.greatest(place - SNIPPET_BEFORE, F.lit(1))
     return F.substring(body, start, place - start + F.length(match) + SNIPPET_AFTER)
 
@@ -137,17 +140,19 @@ def with_salary_range(
 ) -> DataFrame:
     """Add salary columns; with `stated_only`, keep the postings that state a range.
 
-    A long text is scanned once; everything else looks at the short stretch around the match.
+    Character references are decoded once first. A long text is scanned once; everything else looks at the short
+    stretch around the match.
     """
-    found = computed_once(postings, {"_match": stated_range(text, reading)})
+    decoded = F.when(F.contains(F.col(text), F.lit("&")), unescape_entities(F.col(text))).otherwise(F.col(text))
+    found = computed_once(computed_once(postings, {"_body": decoded}), {"_match": stated_range("_body", reading)})
     if stated_only:
         found = found.filter("_match <> ''")
-    pay = F.when(F.col("_match") != "", surroundings(text, "_match"))
+    pay = F.when(F.col("_match") != "", surroundings("_body", "_match", reading))
     fields = range_fields("_pay", reading)
     priced = computed_once(
         computed_once(found, {"_pay": pay}), {name + suffix: value for name, value in fields.items()}
     )
-    return priced.drop("_match", "_pay")
+    return priced.drop("_match", "_pay", "_body")
 
 
 def with_any_salary(

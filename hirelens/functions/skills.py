@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -20,10 +21,15 @@ def word_text(text: Column | str, keep: str = "", lower: bool = True) -> Column:
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
+def framed_term(term: str) -> str:
+    """A term as it stands in a framed text: marks inside it separate words there as well."""
+    return f" {re.sub(r'[^\w+#]+', ' ', term).strip()} "
+
+
 def matched_terms(framed: Column | str, terms: Iterable[str]) -> Column:
     """The terms held by a framed text, in dictionary order."""
     body = as_column(framed)
-    hits = [F.when(F.contains(body, F.lit(f" {term} ")), F.lit(term)) for term in terms]
+    hits = [F.when(F.contains(body, F.lit(framed_term(term))), F.lit(term)) for term in terms]
     return F.array_compact(F.array(*hits))
 
 
@@ -31,7 +37,7 @@ def holds_any(framed: Column | str, terms: Iterable[str]) -> Column:
     body = as_column(framed)
     found = F.lit(False)
     for term in terms:
-        found = found | F.contains(body, F.lit(f" {term} "))
+        found = found | F.contains(body, F.lit(framed_term(term)))
     return found
 
 
@@ -41,13 +47,18 @@ def technical_text(text: Column | str) -> Column:
 
 
 def extract_skills(text: Column | str, names: Iterable[str]) -> Column:
-    """Dictionary names found in a text. One-letter names must match in case."""
-    exact = technical_text(text)
-    loose = F.lower(exact)
+    """Dictionary names found in a text.
+
+    Names with marks inside, such as Node.js or CI/CD, are framed like the text. One-letter names must match in case
+    and stand alone: a part of R&D or C-suite is no name.
+    """
+    whole = word_text(text, keep="+#./&-", lower=False)
+    alone = F.regexp_replace(whole, r"[./&-]+ | [./&-]+", "  ")
+    loose = F.lower(technical_text(text))
     hits = [
         F.when(
-            F.contains(exact, F.lit(f" {name} ")) if len(name) == 1
-            else F.contains(loose, F.lit(f" {name.lower()} ")),
+            F.contains(alone, F.lit(f" {name} ")) if len(name) == 1
+            else F.contains(loose, F.lit(framed_term(name.lower()))),
             F.lit(name),
         )
         for name in names

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import Row
 
 from ..functions.text import contains_keyword
@@ -29,30 +29,37 @@ def by_name(companies: DataFrame, name: str = "name") -> DataFrame:
 def check_new_companies(new: DataFrame, existing: DataFrame, ordinal: str) -> DataFrame:
     """Trimmed rows with a `reject_reason`, null for those that may be added.
 
-    Blank fields are judged first, then name, website and careers page in that order; a value
-    counts as taken when the register has it or an earlier row of the batch brings it.
+    Blank fields are judged first, then name, website and careers page in that order. A value is taken when the
+    register has it, or when an earlier row of the batch brings it that has neither a blank field nor a value of the register:
+    such rows are not added, so they block nobody. One difference to adding rows one by one remains: a row that
+    an earlier row of the batch rejects still blocks later ones.
+
+    `ordinal` numbers the rows without repeats. The three values of a row travel as rows of one table; blank rows leave it first.
     """
     trimmed = new.withColumns({field: F.regexp_replace(F.col(field), r"(?U)\A\s+|\s+\z", "") for field in REQUIRED})
-    reason = None
+    blank = None
     for field in REQUIRED:
         hollow = F.coalesce(F.col(field), F.lit("")) == ""
         text = F.lit(f"{field} must not be empty")
-        reason = F.when(hollow, text) if reason is None else reason.when(hollow, text)
-    checked = trimmed.withColumn("_blank", reason)
-    for field in UNIQUE:
-        taken = existing.select(F.col(field).alias(f"_taken_{field}")).distinct()
-        checked = checked.join(taken, F.col(field) == F.col(f"_taken_{field}"), "left")
-        # An earlier row of the batch with the same value: the batch minimum is a small aggregate.
-        first = (
-            trimmed.withColumn("_bad", reason).filter("_bad IS NULL")
-            .groupBy(F.col(field).alias(f"_value_{field}")).agg(F.min(ordinal).alias(f"_first_{field}"))
-        )
-        checked = checked.join(first, F.col(field) == F.col(f"_value_{field}"), "left")
-    conflict = F.col("_blank")
-    for field in UNIQUE:
-        used = F.col(f"_taken_{field}").isNotNull() | (F.col(f"_first_{field}") < F.col(ordinal))
-        conflict = F.coalesce(conflict, F.when(used, F.lit(f"company already exists with {field}")))
-    return checked.withColumn("reject_reason", conflict).select(*new.columns, "reject_reason")
+        blank = F.when(hollow, text) if blank is None else blank.when(hollow, text)
+
+    def values(table: DataFrame, *kept: str) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(place).alias("_place"), F.col(field).alias("_value")) for place, field in enumerate(UNIQUE)))
+        return table.select(*kept, F.inline(each))
+
+    judged = trimmed.withColumn("_blank", blank)
+    offered = values(judged.filter("_blank IS NULL"), ordinal)
+    register = values(existing).distinct().withColumn("_taken", F.lit(True))
+    met = offered.join(register, ["_place", "_value"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+    clashing = met.groupBy(ordinal).agg(F.max("_taken").alias("_clash"))
+    met = met.join(clashing, ordinal)
+    first = met.filter(~F.col("_clash")).groupBy("_place", "_value").agg(F.min(ordinal).alias("_first"))
+    used = met.join(first, ["_place", "_value"], "left").filter(F.col("_taken") | (F.col("_first") < F.col(ordinal)))
+    worst = used.groupBy(F.col(ordinal).alias("_row")).agg(F.min("_place").alias("_worst"))
+    conflict = F.element_at(F.array(*(F.lit(f"company already exists with {field}") for field in UNIQUE)), F.col("_worst") + 1)
+    checked = judged.join(worst, F.col(ordinal) == F.col("_row"), "left")
+    reason = F.coalesce(F.col("_blank"), F.when(F.col("_worst").isNotNull(), conflict))
+    return checked.withColumn("reject_reason", reason).select(*new.columns, "reject_reason")
 
 
 def search_companies(companies: DataFrame, keyword: str = "", kind: str = "All",
@@ -72,8 +79,3 @@ def open_positions(companies: DataFrame, postings: DataFrame, key: str) -> DataF
         "open_positions", F.coalesce("open_positions", F.lit(0))
     )
 
-
-def first_per_value(table: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """The first row of every key; the rank filter also runs before the shuffle."""
-    ranked = table.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(ordinal)))
-    return ranked.filter("_rank = 1").drop("_rank")

@@ -9,20 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import as_column, title_tokens
 from .quality import duplicate_keys
 
-BROADCAST_ROWS = 100_000
+SPREAD_LANES = 1000
 SALARY_COLUMNS = ("salary_min", "salary_max", "salary_currency", "salary_snippet")
 
 
-def broadcast_within(table: DataFrame, rows: int = BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
-    """Hint a broadcast only when the table is known to have at most `rows` rows.
-
-    `bound` is an upper limit that the caller has already proved; without one, a count that stops
-    after `rows` + 1 rows decides. A larger table is left to the shuffle join and its skew handling.
-    """
-    size = table.limit(rows + 1).count() if bound is None else bound
-    return F.broadcast(table) if size <= rows else table
-
-
 def one_to_one_left(
     left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
 ) -> DataFrame:
@@ -92,14 +82,22 @@ def salary_with_fallback(
     )
     found = matches.join(offers, "entry_ordinal").drop("entry_ordinal", "score")
     own = F.col("salary_min" + post_suffix).isNotNull()
-    keyed = postings.withColumn("_title_key", F.when(~own, F.lower(title)))
-    joined = keyed.join(found, keyed["_title_key"] == found["title_key"], "left")
+    # A posting with pay of its own, or without a title, looks nothing up: it gets a lane that no entry has, so
+    # that such rows, the most of all, are spread over tasks instead of meeting in one.
+    hashed = [name for name, kind in postings.dtypes if "map<" not in kind and "variant" not in kind]
+    looks_up = ~own & F.lower(title).isNotNull()
+    keyed = postings.withColumns({
+        "_title_key": F.when(looks_up, F.lower(title)).otherwise(""),
+        "_lane": F.when(looks_up, F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(*hashed), F.lit(SPREAD_LANES))),
+    })
+    found = found.withColumn("_entry_lane", F.lit(0).cast("bigint"))
+    joined = keyed.join(found, (F.col("_title_key") == found["title_key"]) & (F.col("_lane") == F.col("_entry_lane")), "left")
     chosen = {
         name: F.when(own, F.col(name + post_suffix)).otherwise(F.col(f"_entry_{name}"))
         for name in SALARY_COLUMNS
     }
     source = F.when(own, "job_post").when(F.col("title_key").isNotNull(), fallback_tag)
-    extra = [f"_entry_{name}" for name in SALARY_COLUMNS] + ["_title_key", "title_key"]
+    extra = [f"_entry_{name}" for name in SALARY_COLUMNS] + ["_title_key", "title_key", "_lane", "_entry_lane"]
     return joined.withColumns({**chosen, "salary_source": source}).drop(*extra)
 
 
@@ -120,8 +118,7 @@ def similar_postings(
         .groupBy(category)
         .agg(F.array_sort(F.collect_list(F.struct("_place", key))).alias("_leaders"))
     )
-    categories = postings.select(category).distinct().limit(BROADCAST_ROWS + 1).count()
-    paired = postings.select(key, category).join(broadcast_within(leaders, bound=categories), category)
+    paired = postings.select(key, category).join(leaders, category)
     others = F.slice(F.filter("_leaders", lambda item: item[key] != F.col(key)), 1, limit)
     return paired.select(key, F.posexplode(others).alias("position", "item")).select(
         key, (F.col("position") + 1).alias("similar_rank"), F.col(f"item.{key}").alias(f"similar_{key}")
@@ -139,9 +136,10 @@ def with_any_of(postings: DataFrame, bridge: DataFrame, key: str, wanted: Column
 
 
 def mapped_values(table: DataFrame, column: str, mapping: DataFrame, into: str) -> DataFrame:
-    """Canonical values from a (original, canonical) table, original kept; lookup ignores case."""
-    pairs = mapping.select(F.lower(F.trim("original")).alias("_from"), F.col("canonical").alias("_to"))
-    joined = table.withColumn("_key", F.lower(F.trim(as_column(column)))).join(
-        broadcast_within(pairs), F.col("_key") == F.col("_from"), "left"
-    )
+    """Canonical values from a (original, canonical) table, original kept; lookup ignores case.
+
+    Originals that differ in case or outer blanks only are one key: the smallest canonical value serves all.
+    """
+    pairs = mapping.groupBy(F.lower(F.trim("original")).alias("_from")).agg(F.min("canonical").alias("_to"))
+    joined = table.withColumn("_key", F.lower(F.trim(as_column(column)))).join(pairs, F.col("_key") == F.col("_from"), "left")
     return joined.withColumn(into, F.coalesce("_to", F.col(column))).drop("_key", "_from", "_to")

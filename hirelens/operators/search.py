@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import contains_keyword
 from ..session import ensure_checkpoint_dir
-from .joins import broadcast_within
 
 PAGE_SIZE = 12
 SHALLOW_ROWS = 10_000
@@ -105,13 +104,12 @@ def with_global_place(table: DataFrame, order: Sequence[Column | str], into: str
     placed = numbered.withColumns({
         "_range": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     }).drop("_id")
-    # One row per range: no more than there are shuffle partitions.
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One row per range, and so no more than there are shuffle partitions: safe to broadcast.
     counts = placed.groupBy("_range").agg(F.max("_row").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     return (
-        placed.join(broadcast_within(shifts, bound=ranges), "_range")
+        placed.join(F.broadcast(shifts), "_range")
         .withColumn(into, F.col("_row") + F.col("_shift"))
         .drop("_range", "_row", "_shift")
     )

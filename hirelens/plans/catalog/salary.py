@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...fixed_values import TITLE_STOP_WORDS
 from ...functions.salary import ANY_AMOUNT_STEPS, RANGE_READINGS, with_any_salary, with_salary_range
-from ...operators.joins import best_title_match, broadcast_within
+from ...operators.joins import best_title_match
 from ...sources.landed import salary_reference
 from .. import reports
 from .registry import query, table
@@ -63,7 +63,7 @@ def postings(spark, folder):
     places = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"), "left"
     ).select("c_custkey", "n_name")
-    return table(spark, folder, "orders", costly=True).join(broadcast_within(places), F.expr("o_custkey = c_custkey"), "left").selectExpr(
+    return table(spark, folder, "orders", costly=True).join(places, F.expr("o_custkey = c_custkey"), "left").selectExpr(
         "o_orderkey AS job_id", "o_orderpriority AS job_title", "n_name AS location",
         "'https://jobs.example.com/' || o_orderkey AS source_url", f"{pay_text(SPARK)} AS description",
     )
@@ -134,7 +134,7 @@ REFERENCE_SQL = amount_sql(
     "CASE WHEN n >= 2 THEN array_to_string(cells[2:], ' ') ELSE line END AS txt FROM ("
     "SELECT *, len(cells) AS n FROM ("
     "SELECT p_partkey, line, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM ("
-    f"SELECT p_partkey, trim(regexp_replace(regexp_replace({reference_line(DUCK)}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS line FROM part))))",
+    f"SELECT p_partkey, trim(regexp_replace({reference_line(DUCK)}, '<[^>]+>', ' ', 'g')) AS line FROM part))))",
     "p_partkey AS ordinal, title_text",
 )
 

@@ -109,7 +109,8 @@ OFFERED = (
 
 @query(
     f"WITH e AS (SELECT {EXISTING} FROM customer), o AS (SELECT {OFFERED} FROM orders), t AS (SELECT *, trim(name) AS n FROM o), "
-    "ok AS (SELECT * FROM t WHERE n <> ''), fn AS (SELECT n, min(o_orderkey) AS k FROM ok GROUP BY 1), "
+    "ok AS (SELECT * FROM t WHERE n <> '' AND n NOT IN (SELECT name FROM e) AND website_url NOT IN (SELECT website_url FROM e) "
+    "AND career_page_url NOT IN (SELECT career_page_url FROM e)), fn AS (SELECT n, min(o_orderkey) AS k FROM ok GROUP BY 1), "
     "fw AS (SELECT website_url, min(o_orderkey) AS k FROM ok GROUP BY 1), fc AS (SELECT career_page_url, min(o_orderkey) AS k FROM ok GROUP BY 1) "
     "SELECT t.o_orderkey, n AS name, CASE WHEN n = '' THEN 'name must not be empty' "
     "WHEN n IN (SELECT name FROM e) OR fn.k < t.o_orderkey THEN 'company already exists with name' "

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ...operators.joins import broadcast_within
 from ...sources import adapters, greenhouse, lever, smartrecruiters
 from ...sources.adapters import union_sources
 from .quality import split_expressions
@@ -26,7 +25,7 @@ JOINED_SQL = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nat
 def joined(spark, folder):
     places = table(spark, folder, "nation").join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
     companies = table(spark, folder, "customer").join(places, F.expr("c_nationkey = n_nationkey"))
-    return table(spark, folder, "orders", costly=True).join(broadcast_within(companies), F.expr("o_custkey = c_custkey"))
+    return table(spark, folder, "orders", costly=True).join(companies, F.expr("o_custkey = c_custkey"))
 
 
 LEVER_SHAPE = (
@@ -144,11 +143,27 @@ def event_pages(spark, folder, size: int = 100):
 
 
 @query(
-    "SELECT event_id AS ordinal, event_type AS id FROM events WHERE event_id < (SELECT CAST(ceil((max(event_id) + 1 - 250) / 100.0) * 100 AS BIGINT) FROM events) ORDER BY event_id LIMIT 100000"
+    "SELECT event_id AS ordinal, event_type AS id FROM events WHERE event_id < (SELECT CAST(ceil((max(event_id) + 1 - 250) / 100.0) * 100 AS BIGINT) FROM events)"
 )
 def source_pages(spark, folder):
     """Summaries up to the page that reaches the stated total, in page order."""
-    return smartrecruiters.page_summaries(event_pages(spark, folder), 100_000)
+    return smartrecruiters.page_summaries(event_pages(spark, folder))
+
+
+@query("SELECT event_id AS ordinal, event_type AS id FROM events ORDER BY event_id LIMIT 137")
+def source_pages_cut(spark, folder):
+    """The same pages, cut inside the second one."""
+    return smartrecruiters.page_summaries(event_pages(spark, folder), 137)
+
+
+@query(
+    "SELECT event_id AS ordinal, CAST(user_id AS VARCHAR) AS id FROM events WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)"
+)
+def details_missing(spark, folder):
+    """Summaries whose detail did not land; ids differ in outer blanks and details repeat."""
+    summaries = table(spark, folder, "events").selectExpr("event_id AS ordinal", "CAST(user_id AS STRING) AS id")
+    details = table(spark, folder, "orders").filter("o_orderkey % 3 <> 0").selectExpr("concat(' ', o_orderkey, ' ') AS id")
+    return smartrecruiters.missing_details(summaries, details.union(details))
 
 
 @query(

@@ -9,7 +9,6 @@ from ...fixed_values import (
     TITLE_STOP_WORDS,
 )
 from ...functions import dates, labels, salary, skills, text, titles
-from ...operators.joins import broadcast_within
 from .registry import query, table
 from .views import DUCK, PART_TEXT, PART_TITLE, SPARK, sql_tokens
 
@@ -264,6 +263,6 @@ def token_overlap(spark, folder):
     leaders = titled.groupBy("p_brand").agg(
         F.min("p_partkey").alias("first_key"), F.min_by("title", "p_partkey").alias("first_title")
     )
-    paired = titled.join(broadcast_within(leaders), "p_brand")
+    paired = titled.join(leaders, "p_brand")
     overlap = text.token_overlap(text.title_tokens("title"), text.title_tokens("first_title"))
     return paired.select("p_partkey", "first_key", overlap.alias("overlap"))

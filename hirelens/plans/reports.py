@@ -48,10 +48,14 @@ def board_salary_report(raw_jobs: DataFrame, entries: DataFrame) -> DataFrame:
     return sort_extracted(priced.select(*BOARD_REPORT), salary_order("id"), "id")
 
 
+UNKNOWN_JOB = "no posting with this job id"
+
+
 def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable classifications, and failures with their reason; one bad response stops nothing.
 
-    Company, title and page come from the posting, whatever the response says.
+    Company, title and page come from the posting, whatever the response says. A response of a job that is not among the
+    postings is a failure as well.
     """
     parsed = computed_once(with_parsed(responses, into="_parsed"), {"error": response_error("_parsed")})
     failures = parsed.filter("error IS NOT NULL").select("job_id", "error")
@@ -64,7 +68,8 @@ def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFra
     truth = postings.select(
         "job_id", "company", F.col("job_title").alias("title"), F.col("source_url").alias("career_page_url")
     )
-    return truth.join(labels, "job_id"), failures
+    unknown = labels.join(truth, "job_id", "left_anti").select("job_id", F.lit(UNKNOWN_JOB).alias("error"))
+    return truth.join(labels, "job_id"), failures.unionByName(unknown)
 
 
 def classification_report(postings: DataFrame, classifications: DataFrame, reading: str) -> DataFrame:

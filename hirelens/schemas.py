@@ -82,7 +82,7 @@ SILVER = {
 
 GOLD_TREND = (
     "snapshot_id STRING NOT NULL, scrape_id STRING, category_id STRING, company_id STRING, "
-    "job_count BIGINT, snapshot_date DATE"
+    "is_total BOOLEAN, job_count BIGINT, snapshot_date DATE"
 )
 
 

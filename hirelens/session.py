@@ -23,10 +23,21 @@ def local_session(app: str = "hirelens", cores: int | str = "*") -> SparkSession
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a scratch one where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all machines see: the one the session names in spark.checkpoint.dir.
+
+    A single-machine session without one gets a scratch folder; any other session is refused.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

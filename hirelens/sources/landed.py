@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..fixed_values import ANALYSIS_COLUMNS
 from ..functions.binding import computed_once
+from ..functions.markup import unescape_entities
 from ..functions.salary import with_any_salary
-from ..functions.text import blank_to_null, strip_tags, title_tokens
+from ..functions.text import blank_to_null, title_tokens
 from ..operators.quality import require_columns
 from ..schemas import GREENHOUSE_RAW, LEVER_RAW, POSTING, RESPONSE, SMARTRECRUITERS_PAGE, SMARTRECRUITERS_RAW
 
@@ -76,9 +77,11 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 def salary_reference(lines: DataFrame, value: str = "value", ordinal: str = "ordinal") -> DataFrame:
     """Titled salaries of a pipe-delimited page: cell 0 is the title, the rest the salary text.
 
-    Lines without a salary are dropped. `ordinal` gives the line order.
+    Lines without a salary are dropped. Blanks inside a line stay as they are. `ordinal` gives the line order.
     """
-    held = computed_once(lines.select(F.col(ordinal), F.col(value).alias("_raw")), {"_line": strip_tags("_raw")})
+    bare = unescape_entities(F.regexp_replace("_raw", "<[^>]+>", " "))
+    trimmed = F.regexp_replace(bare, r"(?U)\A\s+|\s+\z", "")
+    held = computed_once(lines.select(F.col(ordinal), F.col(value).alias("_raw")), {"_line": trimmed})
     cells = F.filter(
         F.transform(F.split("_line", r"\|"), lambda cell: F.trim(cell)), lambda cell: cell != ""
     )

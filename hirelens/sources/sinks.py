@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..fixed_values import PLATFORM_HOSTS
@@ -12,17 +14,30 @@ from .register_values import register_rows, source_rows
 
 def write_records(records: DataFrame, path: str) -> None:
     """UTF-8 JSON lines. The new output is complete beside the old one before it takes its place."""
-    fs, root = _file_system(records.sparkSession, path)
+    _swapped_in(records.sparkSession, path, lambda staged: records.write.option("ignoreNullFields", False).json(staged))
+
+
+def _swapped_in(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside `path`, then swap. Wherever a run stops, one complete copy is left: the old one as `path` or, between the
+    two renames, as `path.old`, which the next run puts back before it does anything else."""
+    fs, root = _file_system(spark, path)
     staged, previous = root.suffix(".new"), root.suffix(".old")
+    if not fs.exists(root) and fs.exists(previous):
+        _rename(fs, previous, root)
     for leftover in (staged, previous):
         fs.delete(leftover, True)
-    records.write.mode("overwrite").option("ignoreNullFields", False).json(staged.toString())
+    write(staged.toString())
     if fs.exists(root):
-        fs.rename(root, previous)
-    fs.rename(staged, root)
+        _rename(fs, root, previous)
+    _rename(fs, staged, root)
     fs.delete(previous, True)
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
@@ -37,7 +52,7 @@ def write_results(results: DataFrame, path: str) -> bool:
 
 
 def write_silver(table: DataFrame, name: str, root: str) -> None:
-    conform(table, SILVER[name]).write.mode("overwrite").parquet(f"{root}/silver/{name}")
+    _swapped_in(table.sparkSession, f"{root}/silver/{name}", lambda staged: conform(table, SILVER[name]).write.parquet(staged))
 
 
 def read_silver(spark: SparkSession, name: str, root: str) -> DataFrame:
@@ -49,11 +64,11 @@ def append_log(log: DataFrame, root: str) -> None:
 
 
 def write_trend_snapshot(snapshot: DataFrame, root: str) -> None:
-    """One partition per snapshot date; writing a date again replaces that date only."""
+    """One partition per snapshot date and run; writing a run again replaces that run only."""
     (
         conform(snapshot, GOLD_TREND).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("snapshot_date")
+        .partitionBy("snapshot_date", "scrape_id")
         .parquet(f"{root}/gold/category_trend_snapshot")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import AD_SECTIONS
 from ..functions.dates import iso_to_utc_text
@@ -12,28 +12,25 @@ from ..functions.titles import workplace_from_flags
 ATS = "SmartRecruiters"
 
 
-def page_summaries(pages: DataFrame, max_jobs: int) -> DataFrame:
-    """Summary ids in page order: up to the first empty page or the stated total, then cut.
+def page_summaries(pages: DataFrame, max_jobs: int | None = None) -> DataFrame:
+    """Summary ids in page order, up to the first empty page or the stated total; then the first `max_jobs`, if given.
 
-    The cut is a top-k on (offset, position), so no more than `max_jobs` rows per task move.
+    Both stops come from one aggregate over the pages. `ordinal` holds the order; only a cut sorts, as a top-k.
     """
-    if max_jobs < 1:
+    if max_jobs is not None and max_jobs < 1:
         raise ValueError("max_jobs must be at least 1")
-    first_empty = pages.filter(F.size("content") == 0).agg(F.min("offset").alias("stop")).scalar()
-    first_full = (
-        pages.filter(F.col("offset") + F.size("content") >= F.col("totalFound"))
-        .agg(F.min("offset").alias("stop")).scalar()
-    )
+    stops = pages.agg(F.struct(
+        F.min(F.when(F.size("content") == 0, F.col("offset"))).alias("empty"),
+        F.min(F.when(F.col("offset") + F.size("content") >= F.col("totalFound"), F.col("offset"))).alias("full"),
+    ).alias("stops")).scalar()
     kept = pages.filter(
-        (F.col("offset") < F.coalesce(first_empty, F.lit(2**62)))
-        & (F.col("offset") <= F.coalesce(first_full, F.lit(2**62)))
+        (F.col("offset") < F.coalesce(stops["empty"], F.lit(2**62)))
+        & (F.col("offset") <= F.coalesce(stops["full"], F.lit(2**62)))
     )
-    return (
-        kept.select("offset", F.posexplode("content").alias("position", "summary"))
-        .select((F.col("offset") + F.col("position")).alias("ordinal"), F.col("summary.id").alias("id"))
-        .orderBy("ordinal")
-        .limit(max_jobs)
+    summaries = kept.select("offset", F.posexplode("content").alias("position", "summary")).select(
+        (F.col("offset") + F.col("position")).alias("ordinal"), F.col("summary.id").alias("id")
     )
+    return summaries if max_jobs is None else summaries.orderBy("ordinal").limit(max_jobs)
 
 
 def blank_summaries(summaries: DataFrame) -> DataFrame:
@@ -42,9 +39,19 @@ def blank_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def details_in_order(summaries: DataFrame, details: DataFrame) -> DataFrame:
-    """Details of the listed summaries, keeping the summary order in `ordinal`."""
+    """Details of the listed summaries, keeping the summary order in `ordinal`. A repeated detail counts once (the first by
+    content); summaries without one are `missing_details`."""
+    cleaned_ids = details.withColumn("_detail_id", clean_text("id"))
+    rank = F.row_number().over(Window.partitionBy("_detail_id").orderBy(F.to_json(F.struct(*details.columns))))
+    once = cleaned_ids.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
     ids = summaries.select("ordinal", clean_text("id").alias("_summary_id"))
-    return ids.join(details, ids["_summary_id"] == details["id"]).drop("_summary_id")
+    return ids.join(once, F.col("_summary_id") == F.col("_detail_id")).drop("_summary_id", "_detail_id")
+
+
+def missing_details(summaries: DataFrame, details: DataFrame) -> DataFrame:
+    """Summaries whose detail did not land."""
+    landed = details.select(clean_text("id").alias("_detail_id")).distinct()
+    return summaries.join(landed, clean_text(summaries["id"]) == F.col("_detail_id"), "left_anti")
 
 
 def explode_postings(landed: DataFrame) -> DataFrame:

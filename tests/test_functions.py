@@ -190,3 +190,20 @@ def test_responses(spark, raw, error):
 def test_personal_data(one):
     assert one(text.redact_personal("t"), "ask a.b@x.com or +1 412 555 0123 now") == "ask [email] or [phone] now"
     assert one(text.redact_personal("t"), "built in 2024 for 1000 users") == "built in 2024 for 1000 users"
+
+
+@pytest.mark.parametrize("raw, reading, expected", [
+    ("Pay: $150,000 &ndash; $160,000", "mobility", (150000.0, 160000.0)),
+    ("$32 - $3700 or $32 - $370", "onboard_strict", (32.0, 370.0)),
+    ("$32 - $3700 or $32 - $370, all told", "onboard_strict", (32.0, 370.0)),
+])
+def test_salary_reads_decoded_text_at_the_place_of_the_match(spark, raw, reading, expected):
+    row = salary.with_salary_range(spark.createDataFrame([(raw,)], "t string"), "t", reading).first()
+    assert (row["salary_min"], row["salary_max"]) == expected and "$" in row["salary_snippet"]
+
+
+@pytest.mark.parametrize("text, found", [
+    ("Node.js, CI/CD and more.", ["Node.js", "CI/CD"]), ("We do R&D", []), ("The C-suite; Objective-C", []), ("C, R.", ["C", "R"]), ("C/C++ work", ["C++"]), ("in c", []),
+])
+def test_skill_names_with_marks(one, text, found):
+    assert one(skills.extract_skills("t", ["Node.js", "CI/CD", "C", "R", "C++"]), text) == found

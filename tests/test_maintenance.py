@@ -103,3 +103,18 @@ def test_run_log_is_deterministic(spark):
     batch = spark.createDataFrame([("W",), ("W",), ("S",)], "company string")
     first, again = (rows(m.run_log(batch, "company", F.lit("2026-01-01").cast("date"))) for _ in range(2))
     assert first == again and len(first) == 2
+
+
+def test_postings_with_maps_have_an_order(spark):
+    ddl = "url string, pay map<string,string>, nested array<map<string,int>>, seen string"
+    one, two = ("a", {"x": "1", "y": "2"}, [{"k": 1}], "2026-01-01"), ("a", {"y": "2", "x": "3"}, [{"k": 1}], "2026-01-01")
+    for order in ([one, two], [two, one]):
+        table = spark.createDataFrame(order, ddl)
+        assert m.latest_per_key(table, ["url"], m.newest_by_date(table, "seen", ["url"])).first()["pay"]["x"] == "3"
+
+
+def test_a_posting_seen_without_a_company_is_active(spark):
+    previous = spark.createDataFrame([("a", "W", "active", date(2026, 1, 1))], "url string, company string, status string, last_checked date")
+    now = spark.createDataFrame([("a", None), ("b", None), ("b", "V")], "url string, company string")
+    fresh = m.refresh_status(previous, now, spark.createDataFrame([("W",)], "company string"), "url", "company", F.lit("2026-02-01").cast("date"))
+    assert {(r["url"], r["company"], r["status"]) for r in fresh.collect()} == {("a", "W", "active"), ("b", "V", "active")}

@@ -140,14 +140,6 @@ def test_similar_postings_equal_brute_force(spark):
     assert {(r["id"], r["similar_rank"], r["similar_id"]) for r in got.collect()} == expected
 
 
-def test_broadcast_only_within_the_bound(spark):
-    table = spark.range(50)
-    small = spark.range(10).join(joins.broadcast_within(table, 50), "id")
-    large = spark.range(10).join(joins.broadcast_within(table, 49), "id")
-    assert "rightHint=(strategy=broadcast)" in small._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in large._jdf.queryExecution().optimizedPlan().toString()
-
-
 def test_new_companies(spark):
     ddl = "n int, name string, website_url string, career_page_url string, company_type string, data_source_status string"
     rows = [(1, " New ", "w1", "c1", "OEM", "confirmed"), (2, "Old", "w2", "c2", "OEM", "confirmed"),
@@ -258,3 +250,17 @@ def test_salary_report_order(spark):
     texts = {"1": "$90,000 - $99,000", "2": "€50,000 - €60,000", "3": "$95,000 - $99,000", "4": "none"}
     rows = frame(spark, [posting(job_id=key, description=value) for key, value in texts.items()])
     assert [r["job_id"] for r in reports.salary_report(rows, "mobility").collect()] == ["2", "3", "1"]
+
+
+def test_a_row_the_register_rejects_blocks_nobody(spark):
+    ddl = "n int, name string, website_url string, career_page_url string, company_type string, data_source_status string"
+    rows = [(1, "A", "old-w", "c1", "OEM", "confirmed"), (2, "A", "w2", "c1", "OEM", "confirmed"), (3, "A", "w3", "c3", "OEM", "confirmed")]
+    existing = spark.createDataFrame([("Old", "old-w", "old-c")], "name string, website_url string, career_page_url string")
+    got = {r["n"]: r["reject_reason"] for r in companies.check_new_companies(spark.createDataFrame(rows, ddl), existing, "n").collect()}
+    assert got == {1: "company already exists with website_url", 2: None, 3: "company already exists with name"}
+
+
+def test_repeated_mapping_keys_give_one_row(spark):
+    mapping = spark.createDataFrame([("js", "JavaScript"), (" JS ", "Javascript")], "original string, canonical string")
+    rows = joins.mapped_values(spark.createDataFrame([("Js",), ("go",)], "s string"), "s", mapping, "into").collect()
+    assert sorted(r["into"] for r in rows) == ["JavaScript", "go"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hirelens import schemas
 from hirelens.fixed_values import REQUIRED_FIELDS
 from hirelens.operators.quality import validate_batch
+from hirelens.plans import maintenance
 from hirelens.sources import adapters, greenhouse, landed, lever, sinks, smartrecruiters
 from hirelens.sources.register_values import register_rows
 
@@ -200,14 +201,39 @@ def test_silver_and_gold_round_trip(spark, tmp_path):
     root = str(tmp_path)
     sinks.write_silver(spark.createDataFrame([("1", "C++", "tool")], "skill_id string, skill_name string, skill_type string"), "skill", root)
     assert sinks.read_silver(spark, "skill", root).first()["skill_name"] == "C++"
-    ddl = "snapshot_id string, scrape_id string, category_id string, company_id string, job_count bigint, snapshot_date string"
+    ddl = "snapshot_id string, scrape_id string, category_id string, company_id string, is_total boolean, job_count bigint, snapshot_date string"
     for count in (5, 6):
         for day in ("2026-01-01", "2026-02-01") if count == 5 else ("2026-02-01",):
-            sinks.write_trend_snapshot(spark.createDataFrame([("s", "r", "c", None, count, day)], ddl), root)
+            sinks.write_trend_snapshot(spark.createDataFrame([("s", "r", "c", None, False, count, day)], ddl), root)
     rows = sinks.read_trend_snapshots(spark, root).orderBy("snapshot_date").collect()
     assert [row["job_count"] for row in rows] == [5, 6]
 
 
+def test_a_stopped_write_leaves_a_complete_copy(spark, tmp_path):
+    path = tmp_path / "records"
+    sinks.write_records(spark.createDataFrame([("old",)], "a string"), str(path))
+    path.rename(tmp_path / "records.old")  # where a run stops between its two renames
+
+    def failing():
+        sinks._swapped_in(spark, str(path), lambda staged: (_ for _ in ()).throw(OSError("disk full")))
+
+    with pytest.raises(OSError):
+        failing()
+    assert spark.read.json(str(path)).first()["a"] == "old"
+    sinks.write_records(spark.createDataFrame([("new",)], "a string"), str(path))
+    assert spark.read.json(str(path)).first()["a"] == "new" and not (tmp_path / "records.old").exists()
+
+
+def test_silver_postings_can_be_written(spark, tmp_path):
+    post = spark.createDataFrame([("W", "Engineer", "Perth", "text", "2026-08-01T10:00:00Z", "2026-08-11T01:00:00Z", "https://x/1", "Lever", {"min": "1"})],
+        "company string, job_title string, location string, description string, posting_date string, collected_at string, source_url string, ats string, salary_range map<string,string>")
+    post = post.selectExpr("*", "'' AS department", "'' AS commitment")
+    silver = maintenance.silver_postings(post, spark.createDataFrame([("c-1", "W")], "company_id string, name string"))
+    sinks.write_silver(silver, "job_posting", str(tmp_path))
+    row = sinks.read_silver(spark, "job_posting", str(tmp_path)).first()
+    assert row["company_id"] == "c-1" and row["extraction_confidence"] == 0.6667
+
+
 def test_log_appends(spark, tmp_path):
     ddl = "scrape_id string, company_id string, scrape_date string, jobs_found int, status string, error_message string"
     for status in ("success", "failed"):
