@@ -5,10 +5,11 @@
 Regions. In a corpus most documents share nothing and lie at distance 1 from each other and from any pivot: since
 the similarities of disjoint sets to one pivot sum to 1 at most, a pivot tells only a few of them apart. So
 the first regions come from the documents that a pivot shares something with: in the order from rare
-to common, two sets within the threshold share one of their first n - ceil(t n) + 1 shingles. Documents that
-hold such a shingle, and whose sizes chain within the threshold, form a group; its smallest member is the pivot, and all
-groups of one pivot are its region. A pair within the threshold is in some region, and a document is
-in a region once, however many shingles led there.
+to common, two sets within the threshold share e of their first n - ceil(t n) + e shingles, where e is the smaller of their
+1 + n / 8. Documents that hold such a shingle, and whose sizes chain within the threshold, form a group; its smallest
+member is the pivot, and all groups of one pivot are its region. Of the regions that two linked documents share, r at most,
+one holds e / r of their common shingles: a document stays in a region only if it has so many there for its
+own e and r. That keeps every link and drops the regions that a chance shingle or a short passage led to.
 
 Inside a region distances to the pivot are exact. A document within the threshold is linked to it and need not be a
 pivot itself; the others become pivots in turn. A pair of which neither was a pivot can only link two
@@ -39,6 +40,12 @@ from .tokens import SHINGLE, blocks, mixed, shingles, words
 from .work import query, table, written
 
 LEAST, OF = 75, 100
+EXTRA = 8
+
+
+def extra(n):
+    """Shingles that a set's prefix holds beyond the ones that make a first common one sure, counted with that one."""
+    return 1 + n // EXTRA
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,7 +81,7 @@ def prefixes(documents: DataFrame, classes: np.ndarray, size: int, least: int, o
             for i, own in shingle_sets(batch.column("text"), size):
                 n = len(own)
                 if n:
-                    reach = n + (least * n // -of) + 1
+                    reach = min(n, n + (least * n // -of) + extra(n))
                     own = ordered(shared.value, own)
                     keys.append(np.partition(own, reach - 1)[:reach] if reach < n else own)
                     docs.append(np.full(reach, ids[i]))
@@ -90,7 +97,7 @@ def prefixes(documents: DataFrame, classes: np.ndarray, size: int, least: int, o
 
 
 def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Iterator[pa.RecordBatch]:
-    """Distinct (region, doc_id, set size) of one bucket: the pivot and members of each group of two or more."""
+    """(region, doc_id, set size, shingles shared) of one bucket: the pivot and members of each group of two or more."""
     parts: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for part, name, kind in zip(parts, ("keys", "docs", "sizes"), (np.uint64, np.int64, np.int64)):
@@ -103,8 +110,11 @@ def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Ite
     group = np.cumsum(new) - 1
     pivot = np.minimum.reduceat(docs, np.flatnonzero(new))
     keep = (np.bincount(group) > 1)[group]
-    pairs = np.unique(np.stack([pivot[group[keep]], docs[keep], sizes[keep]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(part) for part in pairs], ["region", "doc_id", "n"])
+    at = np.lexsort((docs[keep], pivot[group[keep]]))
+    region, doc, size = pivot[group[keep]][at], docs[keep][at], sizes[keep][at]
+    starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (doc[1:] != doc[:-1])])[: len(at)])
+    found = [region[starts], doc[starts], size[starts], np.diff(np.append(starts, len(at)))]
+    yield pa.RecordBatch.from_arrays([pa.array(column) for column in found], ["region", "doc_id", "n", "shared"])
 
 
 def near(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, of: int) -> np.ndarray:
@@ -182,7 +192,8 @@ def sets_in_groups(texts: DataFrame, members: DataFrame, key: list[str], size: i
 def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size: int, leaf_rows: int, leaf_shingles: int, broadcast_rows: int = 1 << 20) -> DataFrame:
     """Links (a, b) that connect what is connected inside the regions (region, doc_id, n)."""
     found = regions.sparkSession.createDataFrame([], "a long, b long")
-    open_ = regions.withColumn("pivot", F.col("region"))
+    first = regions.groupBy(F.col("region").alias("_region")).agg(F.min("doc_id").alias("pivot"))
+    open_ = regions.join(first, F.col("region") == F.col("_region")).drop("_region")
 
     def leaf(rows: pa.Table) -> pa.Table:
         links = region_links(*_unpacked(rows), least, of)
@@ -248,20 +259,23 @@ def near_duplicates(
     signed = written(signatures(named, size), "signatures")
     equal = signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     classed = signed.join(equal.withColumnsRenamed({"n_shingles": "_n", "set_a": "_a", "set_b": "_b"}), (F.col("n_shingles") == F.col("_n")) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
-    classed = written(classed.select("doc_id", "_text", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes")
+    classed = written(classed.select("doc_id", "_text", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), "classes")
 
     classes = count_classes(shingle_counts(named))
     copies = written(classed.where("doc_id <> class_id").select(F.col("doc_id").alias("_copy"), F.col("_text").alias("_copy_text")), "copies")
     texts = named.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
     standing = texts.join(copies, (F.col("doc_id") == F.col("_copy")) & (F.col("_text") == F.col("_copy_text")), "left_anti")
-    total = classed.where("doc_id = class_id").agg(F.sum(F.col("n_shingles") * (of - least) / of + 1)).first()[0] or 0
+    total = classed.where("doc_id = class_id").agg(F.sum(F.col("n_shingles") * ((of - least) / of + 1 / EXTRA) + 2)).first()[0] or 0
     packed = prefixes(standing, classes, size, least, of, max(1, int(total) // bucket_postings + 1))
 
     def grouped(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return group_members(rows, least, of)
 
-    regions = packed.groupBy("bucket").applyInArrow(grouped, "region long, doc_id long, n long")
-    regions = written(regions.distinct(), "regions")
+    regions = packed.groupBy("bucket").applyInArrow(grouped, "region long, doc_id long, n long, shared long")
+    regions = written(regions.groupBy("region", "doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")), "regions")
+    each = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"))
+    needed = 1 + F.floor(F.ceil(F.col("n") * least / of) / EXTRA)
+    regions = written(regions.join(each, "doc_id").where(F.col("shared") * F.col("regions") >= needed).select("region", "doc_id", "n"), "regions")
 
     links = written(region_join(regions, standing.select("doc_id", "text"), least, of, size, leaf_rows, leaf_shingles), "region_links")
     parts = components(links)
