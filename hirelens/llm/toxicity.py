@@ -3,7 +3,7 @@
 Learning. Units are words and their beginnings of 3 to 7 characters. How many toxic and clean documents
 hold each unit gives a log-odds ratio under an informative Dirichlet prior (each class gets the other
 classes' expected counts, `prior` documents strong), lowered by `caution` standard errors. Units still
-above `drift` form the lexicon; a word scores as its best unit, and any other word costs `drift`.
+above `floor` form the lexicon; a word scores as its best unit, and any other word costs `drift`.
 Labelled documents are a bounded sample (`sample_rows`, the smallest seeded hashes of doc_id).
 
 Search. A linear-time scan finds all maximal-scoring segments of a text, the passages that no
@@ -132,8 +132,8 @@ class ToxicityModel:
         return max(0.0, -np.log(max(self.expected(n, max(s for s, _, _ in segments)), 1e-300))) if segments else 0.0
 
 
-def lexicon(counts, caution: float, drift: float, prior: float = 1.0) -> ToxicityModel:
-    """Units whose cautious log-odds exceed the drift, from (unit, n_toxic, n_clean) with the class sizes in the attributes."""
+def lexicon(counts, caution: float, drift: float, floor: float, prior: float = 1.0) -> ToxicityModel:
+    """Units whose cautious log-odds exceed the floor, from (unit, n_toxic, n_clean) with the class sizes in the attributes."""
     toxic, clean = counts["n_toxic"].to_numpy(float), counts["n_clean"].to_numpy(float)
     n_toxic, n_clean = counts.attrs["toxic"], counts.attrs["clean"]
     expected = prior * n_toxic * (toxic + clean) / (n_toxic + n_clean)
@@ -141,7 +141,7 @@ def lexicon(counts, caution: float, drift: float, prior: float = 1.0) -> Toxicit
     odds = lambda y, n: np.log((y + expected) / np.maximum(n + strength - y - expected, 0.5))
     delta = odds(toxic, n_toxic) - odds(clean, n_clean)
     score = delta - caution * np.sqrt(1 / (toxic + expected) + 1 / (clean + expected))
-    keep = score > drift
+    keep = score > floor
     unit = counts["unit"].to_numpy(np.int64).view(np.uint64)[keep]
     order = np.argsort(unit)
     return ToxicityModel(unit[order], score[keep][order], drift)
@@ -176,7 +176,7 @@ def calibrate(model: ToxicityModel, texts: pa.Array, toxic: np.ndarray) -> Toxic
     return model
 
 
-def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, int], sample_rows: int, calibration_rows: int, caution: float, drift: float) -> ToxicityModel:
+def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, int], sample_rows: int, calibration_rows: int, caution: float, drift: float, floor: float) -> ToxicityModel:
     known = labels.select("doc_id", F.col("toxic").alias("_label")).where(F.col("_label").isNotNull() & ~held_out(*folds))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample_rows)
     texts = documents.select("doc_id", "text").where(~held_out(*folds)).join(F.broadcast(known), "doc_id")
@@ -190,17 +190,17 @@ def learn(documents: DataFrame, labels: DataFrame, folds: tuple[int, int], sampl
     # A unit can pass the cautious bound only if it is more frequent in toxic documents and not rare.
     counts = counts.where((F.col("n_toxic") >= 3) & (F.col("n_toxic") * (n_rows - n_toxic) > F.col("n_clean") * n_toxic)).toPandas()
     counts.attrs = {"toxic": float(n_toxic), "clean": float(n_rows - n_toxic)}
-    model = lexicon(counts, caution, drift)
+    model = lexicon(counts, caution, drift, floor)
     rows = sample.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(calibration_rows).toArrow()
     return calibrate(model, rows.column("text"), rows.column("toxic").to_numpy())
 
 
 def score_toxicity(
     documents: DataFrame, labels: DataFrame, folds: tuple[int, int] = (1, 3), sample_rows: int = 20_000, calibration_rows: int = 3_000,
-    caution: float = 3.0, drift: float = 0.02, significance: float = 0.05, threshold: float = 0.7,
+    caution: float = 3.0, drift: float = 0.05, floor: float = 1.0, significance: float = 0.05, threshold: float = 0.7,
 ) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, passages (begin and end word, score, expected number)."""
-    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, folds, sample_rows, calibration_rows, caution, drift))
+    shared = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, folds, sample_rows, calibration_rows, caution, drift, floor))
 
     @F.arrow_udf("struct<score: double, passages: array<struct<begin: int, end: int, score: double, expected: double>>>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
