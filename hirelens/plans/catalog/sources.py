@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from ...sources import adapters, greenhouse, lever, smartrecruiters
+from ...session import shared_folder
+from ...sources import adapters, greenhouse, landed, lever, smartrecruiters
 from ...sources.adapters import union_sources
 from .quality import split_expressions
 from .registry import query, table
@@ -185,3 +188,37 @@ def union_of_sources(spark, folder):
     suppliers = table(spark, folder, "supplier").selectExpr("s_name AS name", "s_nationkey AS nation", "s_acctbal AS balance")
     customers = table(spark, folder, "customer").selectExpr("c_acctbal AS balance", "c_name AS name", "c_nationkey AS nation", "c_mktsegment AS segment")
     return union_sources(suppliers, customers, customers.drop("segment")).select("name", "nation", "balance", "segment")
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority AS job_title, CASE WHEN o_orderkey % 5 = 3 THEN '' ELSE 'Perth' END AS location, "
+    "strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS posting_date, CASE WHEN o_orderkey % 5 <> 1 THEN '7' END AS low FROM orders WHERE o_orderkey % 5 <> 4"
+)
+def lever_odd_fields(spark, folder):
+    """Landed postings, some with a text for an object, a list for an object or a text for a date, and items that are no
+    objects: every posting stays, the odd field is blank."""
+    path = f"{shared_folder(spark)}/lever-{uuid.uuid4().hex}"
+    table(spark, folder, "orders").selectExpr(
+        "CASE o_orderkey % 5 WHEN 4 THEN '17' ELSE concat('{\"id\": ', o_orderkey, ', \"text\": \"', o_orderpriority, '\", \"createdAt\": ', "
+        "CASE o_orderkey % 5 WHEN 2 THEN concat('\"', date_format(o_orderdate, 'yyyy-MM-dd'), 'T00:00:00.000Z\"') ELSE CAST(unix_timestamp(o_orderdate) * 1000 AS STRING) END, "
+        "', \"categories\": ', CASE o_orderkey % 5 WHEN 3 THEN '[\"x\"]' ELSE '{\"location\": \"Perth\"}' END, "
+        "', \"salaryRange\": ', CASE o_orderkey % 5 WHEN 1 THEN '\"n/a\"' ELSE '{\"min\": 7}' END, '}') END AS value"
+    ).write.text(path)
+    good, _ = landed.split_malformed(landed.read_lever(spark, path, multi_line=False))
+    return lever.normalise(good, "Acme", STAMP).select("job_id", "job_title", "location", "posting_date", F.col("salary_range")["min"].alias("low"))
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority AS job_title, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Oslo' END AS location FROM orders"
+)
+def greenhouse_odd_job(spark, folder):
+    """Landed boards of twenty jobs, every third job with a text for its location object: no job is lost."""
+    path = f"{shared_folder(spark)}/greenhouse-{uuid.uuid4().hex}"
+    jobs = table(spark, folder, "orders").selectExpr(
+        "o_orderkey DIV 20 AS board", "concat('{\"id\": ', o_orderkey, ', \"title\": \"', o_orderpriority, '\", \"location\": ', "
+        "CASE o_orderkey % 3 WHEN 0 THEN '\"Perth\"' ELSE '{\"name\": \"Oslo\"}' END, '}') AS job"
+    )
+    boards = jobs.groupBy("board").agg(F.array_join(F.collect_list("job"), ", ").alias("jobs"))
+    boards.selectExpr("concat('{\"jobs\": [', jobs, ']}') AS value").write.text(path)
+    good, _ = landed.split_malformed(landed.read_greenhouse(spark, path, multi_line=False))
+    return greenhouse.normalise(greenhouse.explode_postings(good), "Acme", STAMP).select("job_id", "job_title", "location")

@@ -11,7 +11,7 @@ SECTION = "STRUCT<title STRING, text STRING>"
 
 
 LEVER_RAW = (
-    "id STRING, text STRING, createdAt BIGINT, country STRING, workplaceType STRING, "
+    "id STRING, text STRING, createdAt STRING, country STRING, workplaceType STRING, "
     "categories STRUCT<location STRING, allLocations ARRAY<STRING>, team STRING, "
     "department STRING, commitment STRING>, descriptionPlain STRING, description STRING, "
     "hostedUrl STRING, applyUrl STRING, salaryRange MAP<STRING, STRING>"

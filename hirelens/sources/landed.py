@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..fixed_values import ANALYSIS_COLUMNS
 from ..functions.binding import computed_once
@@ -38,14 +39,28 @@ def read_json(
 
 
 def split_malformed(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the declared shape, and the raw text of the others."""
-    good = landed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, landed.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """Rows that could be read, and the raw text of the others.
+
+    A field of another shape than declared, such as a text where an object is usual, reads as null and leaves the rest of its
+    row, and the other jobs of its envelope, as they are. Only text of which nothing declared can be read is set apart.
+    """
+    held = F.lit(False)
+    for name in landed.columns:
+        if name != CORRUPT:
+            held = held | F.col(name).isNotNull()
+    usable = F.col(CORRUPT).isNull() | held
+    return landed.filter(usable).drop(CORRUPT), landed.filter(~usable).select(CORRUPT)
 
 
 def read_lever(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A top-level array of postings: one row each."""
-    return read_json(spark, path, LEVER_RAW, multi_line)
+    """A top-level array of postings: one row each. Items that are no objects, and fields of other shapes than declared, cost only
+    themselves: every item is read on its own."""
+    whole = spark.read.format("json").option("singleVariantColumn", "v").option("multiLine", multi_line).load(path)
+    listed = F.try_variant_get("v", "$", "array<variant>")
+    items = whole.select(F.explode(F.coalesce(listed, F.array("v"))).alias("item"))
+    fields = [F.try_variant_get("item", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(LEVER_RAW)]
+    is_object = F.schema_of_variant("item").startswith("OBJECT")
+    return items.select(*fields, F.when(~is_object, F.to_json("item")).alias(CORRUPT))
 
 
 def read_greenhouse(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import epoch_to_utc_text
+from ..functions.dates import epoch_to_utc_text, iso_to_utc_text
 from ..functions.text import blank_to_null, cleaned, glued_items, glued_list, html_texts
 
 ATS = "Lever"
@@ -15,6 +15,12 @@ def explode_postings(landed: DataFrame) -> DataFrame:
     return landed
 
 
+def _created(stamp: str) -> Column:
+    """Milliseconds, as usual, or an ISO text."""
+    text = F.col(stamp).cast("string")
+    return F.when(text.rlike(r"\A-?[0-9.]+(E[0-9]+)?\z"), epoch_to_utc_text(text.try_cast("double").cast("bigint"), milliseconds=True)).otherwise(iso_to_utc_text(text))
+
+
 def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
@@ -41,7 +47,7 @@ def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column)
         "workplace_type",
         F.coalesce(blank_to_null("_plain"), F.col("_rich")).alias("description"),
         F.col("salaryRange").alias("salary_range"),
-        epoch_to_utc_text("createdAt", milliseconds=True).alias("posting_date"),
+        _created("createdAt").alias("posting_date"),
         "source_url",
         "apply_url",
         F.lit("API").alias("collection_method"),
