@@ -49,9 +49,14 @@ def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes from, with the word ranges taken and how often; the others go."""
-    mix = mixing.mix(docs).where("taken > 0").withColumnRenamed("doc_id", "_mix_id")
-    return docs.join(mix.dropDuplicates(["_mix_id", "size"]), docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (mixing.word_count(F.col("text")) == F.col("size"))).drop("_mix_id")
+    """The documents that the mix takes from, with the word ranges taken and how often; the others go. Columns of docs that
+    are named like the ones of the mix give way to them."""
+    mix = mixing.mix(docs).where("taken > 0").dropDuplicates(["doc_id", "size"])
+    added = [name for name in mix.columns if name != "doc_id"]
+    mix = mix.withColumnsRenamed({name: f"_mix_{name}" for name in mix.columns})
+    joined = docs.join(mix, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & (mixing.word_count(F.col("text")) == F.col("_mix_size")))
+    own = [F.col(name) for name in docs.columns if name not in added]
+    return joined.select(*own, *(F.col(f"_mix_{name}").alias(name) for name in added))
 
 
 STAGES = [

@@ -54,7 +54,7 @@ def test_stages_take_odd_and_empty_tables(spark, odd_documents, no_documents):
     for docs in (odd_documents, no_documents):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, FOLDER)
-            assert set(docs.columns) <= set(out.columns)
+            assert set(docs.columns) <= set(out.columns), name
             assert out.count() <= docs.count(), name
 
 
