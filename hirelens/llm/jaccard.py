@@ -96,8 +96,9 @@ def prefixes(documents: DataFrame, classes: np.ndarray, size: int, least: int, o
     return documents.select("doc_id", "text").mapInArrow(first, "bucket long, keys binary, docs binary, sizes binary")
 
 
-def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Iterator[pa.RecordBatch]:
-    """(region, doc_id, set size, shingles shared) of one bucket: the pivot and members of each group of two or more."""
+def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int, lanes: int) -> Iterator[pa.RecordBatch]:
+    """Packed (region, doc_id, set size, shingles shared) of one bucket, by lane of the document: the pivot and members of each
+    group of two or more."""
     parts: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for part, name, kind in zip(parts, ("keys", "docs", "sizes"), (np.uint64, np.int64, np.int64)):
@@ -114,7 +115,33 @@ def group_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Ite
     region, doc, size = pivot[group[keep]][at], docs[keep][at], sizes[keep][at]
     starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (doc[1:] != doc[:-1])])[: len(at)])
     found = [region[starts], doc[starts], size[starts], np.diff(np.append(starts, len(at)))]
-    yield pa.RecordBatch.from_arrays([pa.array(column) for column in found], ["region", "doc_id", "n", "shared"])
+    lane = (mixed(found[1].view(np.uint64)) % np.uint64(lanes)).astype(np.int64)
+    order = np.argsort(lane, kind="stable")
+    cuts = np.searchsorted(lane[order], np.arange(lanes + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    packed = [pa.array([column[order[cuts[k] : cuts[k + 1]]].tobytes() for k in full], pa.binary()) for column in found]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], ["lane", *MEMBERSHIP])
+
+
+MEMBERSHIP = ("regions", "docs", "sizes", "shared")
+
+
+def kept_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Iterator[pa.RecordBatch]:
+    """(region, doc_id, n) of the documents of one lane, in the regions where they have the shingles that a link needs."""
+    parts: list[list[np.ndarray]] = [[] for _ in MEMBERSHIP]
+    for batch in batches:
+        for part, name in zip(parts, MEMBERSHIP):
+            part += [np.frombuffer(x, np.int64) for x in batch.column(name).to_pylist()]
+    region, doc, size, shared = map(np.concatenate, parts)
+    order = np.lexsort((region, doc))
+    region, doc, size, shared = (column[order] for column in (region, doc, size, shared))
+    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    starts = np.flatnonzero(new_doc | np.concatenate([[True], region[1:] != region[:-1]]))
+    region, doc, size, shared = region[starts], doc[starts], size[starts], np.add.reduceat(shared, starts)
+    number = np.cumsum(new_doc[starts]) - 1
+    needed = extra(-(-size * least // of))
+    keep = shared * np.bincount(number)[number] >= needed
+    yield pa.RecordBatch.from_arrays([pa.array(column[keep]) for column in (region, doc, size)], ["region", "doc_id", "n"])
 
 
 def near(common: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, of: int) -> np.ndarray:
@@ -266,17 +293,17 @@ def near_duplicates(
     texts = named.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
     standing = texts.join(copies, (F.col("doc_id") == F.col("_copy")) & (F.col("_text") == F.col("_copy_text")), "left_anti")
     total = classed.where("doc_id = class_id").agg(F.sum(F.col("n_shingles") * ((of - least) / of + 1 / EXTRA) + 2)).first()[0] or 0
-    packed = prefixes(standing, classes, size, least, of, max(1, int(total) // bucket_postings + 1))
+    buckets = max(1, int(total) // bucket_postings + 1)
+    packed = prefixes(standing, classes, size, least, of, buckets)
 
     def grouped(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return group_members(rows, least, of)
+        return group_members(rows, least, of, buckets)
 
-    regions = packed.groupBy("bucket").applyInArrow(grouped, "region long, doc_id long, n long, shared long")
-    regions = written(regions.groupBy("region", "doc_id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")), "regions")
-    each = regions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("regions"))
-    needed = 1 + F.floor(F.ceil(F.col("n") * least / of) / EXTRA)
-    regions = written(regions.join(each, "doc_id").where(F.col("shared") * F.col("regions") >= needed).select("region", "doc_id", "n"), "regions")
+    def kept(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return kept_members(rows, least, of)
 
+    members = packed.groupBy("bucket").applyInArrow(grouped, "lane long, " + ", ".join(f"{name} binary" for name in MEMBERSHIP))
+    regions = written(members.groupBy("lane").applyInArrow(kept, "region long, doc_id long, n long"), "regions")
     links = written(region_join(regions, standing.select("doc_id", "text"), least, of, size, leaf_rows, leaf_shingles), "region_links")
     parts = components(links)
     joined = classed.join(parts, classed["class_id"] == parts["node"], "left")
