@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hirelens.llm import decontamination, jaccard, language, linededup, mixing
-from hirelens.llm.work import table, written
+from hirelens.llm.work import broadcast_if_small, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows of `gone` (doc_id, _text)."""
     gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col("_text").alias("_gone_text")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")
+    return docs.join(broadcast_if_small(gone), F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from .frequency import count_classes, ordered, shingle_counts
 from .graph import components
 from .tokens import SHINGLE, blocks, mixed, shingles, words
-from .work import query, table, written
+from .work import broadcast_if_small, query, table, written
 
 LEAST, OF = 75, 100
 EXTRA = 8
@@ -291,7 +291,7 @@ def near_duplicates(
     classes = count_classes(shingle_counts(named))
     copies = written(classed.where("doc_id <> class_id").select(F.col("doc_id").alias("_copy"), F.col("_text").alias("_copy_text")), "copies")
     texts = named.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
-    standing = texts.join(copies, (F.col("doc_id") == F.col("_copy")) & (F.col("_text") == F.col("_copy_text")), "left_anti")
+    standing = texts.join(broadcast_if_small(copies), (F.col("doc_id") == F.col("_copy")) & (F.col("_text") == F.col("_copy_text")), "left_anti")
     total = classed.where("doc_id = class_id").agg(F.sum(F.col("n_shingles") * ((of - least) / of + 1 / EXTRA) + 2)).first()[0] or 0
     buckets = max(1, int(total) // bucket_postings + 1)
     packed = prefixes(standing, classes, size, least, of, buckets)

@@ -59,3 +59,9 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 def held_out(fold: int, folds: int, doc_id: str = "doc_id") -> Column:
     """Whether a document's labels are kept from learning; rows without an id always are."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == fold, F.lit(True))
+
+
+def broadcast_if_small(frame: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table of a few short columns, to be sent to all tasks if it has at most `rows` rows; a larger one meets the
+    other side in a shuffle join with the same result."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
