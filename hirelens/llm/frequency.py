@@ -20,13 +20,17 @@ CELL_BITS = 20
 _SLICES = 16
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
     cells = np.zeros(1 << CELL_BITS, np.int64)
     seen = False
     for batch in batches:
         for block in blocks(batch.column("text")):
-            runs, _ = shingles(words(block))
-            cells += np.bincount((runs >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+            runs, offsets = shingles(words(block))
+            named = (runs >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            if once:
+                text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                named = np.unique(text << CELL_BITS | named) & ((1 << CELL_BITS) - 1)
+            cells += np.bincount(named, minlength=len(cells))
             seen = True
     if seen:
         parts = [part.astype(np.int32).tobytes() for part in np.split(cells, _SLICES)]
@@ -45,9 +49,9 @@ def _added(kind: type) -> callable:
     return add
 
 
-def shingle_counts(documents: DataFrame) -> np.ndarray:
-    """Cell counts over all texts: 2^20 numbers, whatever the size of the input."""
-    tasks = documents.select("text").mapInArrow(_count, "slice int, salt int, counts binary")
+def shingle_counts(documents: DataFrame, once: bool = False) -> np.ndarray:
+    """Cell counts over all texts: 2^20 numbers, whatever the size of the input. `once`: a text counts once in a cell."""
+    tasks = documents.select("text").mapInArrow(lambda batches: _count(batches, once), "slice int, salt int, counts binary")
     partial = tasks.groupBy("slice", "salt").applyInArrow(_added(np.int32), "slice int, counts binary")
     sums = partial.groupBy("slice").applyInArrow(_added(np.int64), "slice int, counts binary")
     cells = np.zeros(1 << CELL_BITS, np.int64)

@@ -149,6 +149,38 @@ def test_passages_of_odd_and_empty_tables(odd_documents, no_documents):
     assert substrings.near_passages(no_documents).collect() == []
 
 
+@pytest.mark.parametrize("copies, hot_count, leaf_rows", [(2, 64, 1 << 15), (12, 64, 1 << 15), (60, 8, 1 << 15), (60, 8, 300)])
+def test_passages_with_an_edit_of_their_own_in_the_middle_are_linked(documents, prose, copies, hot_count, leaf_rows):
+    passage = prose(1, 60).split()
+    texts = {i: " ".join([prose(100 + i, 70), *passage[:30], f"name{i}", *passage[31:], prose(900 + i, 70)]) for i in range(copies)}
+    texts |= {1000 + i: f"{prose(2000 + i, 60)} {prose(2, 18)} {prose(3000 + i, 60)}" for i in range(copies)}
+    rows = substrings.near_passages(documents(texts), hot_count=hot_count, leaf_rows=leaf_rows, bucket_windows=500).collect()
+    part = {i: i for i in texts}
+    for r in rows:
+        old, new = part[r["doc_id"]], part[r["other_id"]]
+        part = {d: new if p == old else p for d, p in part.items()}
+    assert len({part[i] for i in range(copies)}) == 1
+    assert not any(r["doc_id"] >= 1000 for r in rows)
+
+
+def test_hot_centres_are_told_apart_without_losing_windows_that_agree_in_half_of_the_grid():
+    rng = np.random.default_rng(8)
+    for width in (2, 6, 46):
+        for _ in range(200):
+            a = rng.integers(1, 1 << 50, 3 * width).astype(np.uint64)
+            b = a.copy()
+            centre = np.array([int(rng.integers(width, 2 * width))])
+            begin = int(rng.integers(centre[0] - width + 1, centre[0] + 1))
+            outside = np.ones(len(b), bool)
+            outside[begin : begin + width] = False
+            b[outside] = rng.integers(1, 1 << 50, outside.sum()).astype(np.uint64)
+            keys = []
+            for text, (low, high) in ((a, (begin, 3 * width)), (b, (0, begin + width))):
+                _, places = substrings.hot_keys(centre, np.array([low]), np.array([high]), text, width)
+                keys.append({(int(p), int(text[p])) for p in places})
+            assert keys[0] & keys[1]
+
+
 def lcs_is_common(a, b, pairs):
     return all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
 
