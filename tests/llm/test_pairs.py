@@ -163,6 +163,17 @@ def test_passages_with_an_edit_of_their_own_in_the_middle_are_linked(documents,
     assert not any(r["doc_id"] >= 1000 for r in rows)
 
 
+@pytest.mark.parametrize("times", [3, 50])
+def test_every_copy_of_a_passage_repeated_in_one_document_is_found(documents, prose, times):
+    passage = prose(1, 55)
+    texts = {1: f"{prose(2, 60)} {passage} {prose(3, 60)}", 2: " ".join(f"{passage} {prose(10 + i, 3)}" for i in range(times))}
+    covered = set()
+    for r in substrings.near_passages(documents(texts)).collect():
+        assert (r["doc_id"], r["other_id"]) == (2, 1)
+        covered |= set(range(r["begin"], r["end"]))
+    assert covered >= {58 * k + i for k in range(times) for i in range(55)}
+
+
 def test_hot_centres_are_told_apart_without_losing_windows_that_agree_in_half_of_the_grid():
     rng = np.random.default_rng(8)
     for width in (2, 6, 46):
