@@ -2,10 +2,8 @@
 
 1. Each document's distinct line hashes are counted over all documents; a line's owner is the first
    document (smallest doc_id) that holds it. Counting combines before the shuffle.
-2. A line is rare if at most `rare` documents hold it. A document is paired with the owners of its rare shared lines,
-   and if all its shared lines are more frequent, with the owners of its least frequent ones, so that copies in any
-   number are found. A document has one pair for each owner and lines are never paired among all
-   their holders, so pairs grow with the lines.
+2. A document is paired with the owners of all its shared lines, however many documents hold them. A document has one
+   pair for each owner and lines are never paired among all their holders, so pairs grow with the lines.
 3. Patience diff aligns the pair: equal beginnings and ends, then the lines that occur once in both, in the
    longest common order, then the stretches between these in the same way.
 4. Blocks of aligned lines are deleted from the later document, unless all of a block's lines are blank.
@@ -25,7 +23,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .work import query, table, written
 
@@ -118,16 +116,14 @@ def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def removable_lines(documents: DataFrame, rare: int = 20) -> DataFrame:
+def removable_lines(documents: DataFrame) -> DataFrame:
     """(_doc, _text, n_partners, removed): the lines to delete from each document that has any, counted from 0."""
     marked = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("_text"), line_hashes(F.col("text")).alias("_lines"))
     marked = written(marked.dropDuplicates(["doc_id", "_text"]), "line_hashes")
     document = F.struct("doc_id", "_text").alias("document")
     held = marked.select(document, F.explode(F.array_distinct("_lines")).alias("line")).where(F.col("line") != BLANK)
-    shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("document").alias("owner")).where("n > 1")
-    uses = held.join(shared, "line").where("owner <> document")
-    uses = uses.withColumn("least", F.min("n").over(Window.partitionBy("document")))
-    pairs = uses.where((F.col("n") <= rare) | (F.col("n") == F.col("least"))).select("document", "owner").distinct()
+    shared = held.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("document").alias("owner")).where("n > 1").drop("n")
+    pairs = held.join(shared, "line").where("owner <> document").select("document", "owner").distinct()
     lines = marked.select(document, "_lines")
     both = pairs.join(lines, "document").withColumnsRenamed({"_lines": "later", "document": "_document"})
     both = both.join(lines.withColumnsRenamed({"_lines": "first", "document": "owner"}), "owner")
@@ -137,10 +133,10 @@ def removable_lines(documents: DataFrame, rare: int = 20) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame, rare: int = 20) -> DataFrame:
-    """The given rows with `text` after deletion, and n_lines, n_removed, n_partners, removed added."""
+    """The given rows with `text` after deletion, and n_lines, n_removed, n_partners, removed added. `rare` has no effect any more."""
     added = ["n_lines", "n_removed", "n_partners", "removed"]
     kept = documents.drop(*added)
-    removable = removable_lines(documents, rare).withColumnRenamed("_text", "_cut_text")
+    removable = removable_lines(documents).withColumnRenamed("_text", "_cut_text")
     joined = kept.withColumn("_hash", F.xxhash64("text")).join(removable, (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_cut_text")), "left")
     cut = F.coalesce(_without(F.when(F.col("removed").isNotNull(), F.col("text")), F.col("removed")), F.col("text"))
     columns = [cut.alias("text") if name == "text" else F.col(name) for name in kept.columns]

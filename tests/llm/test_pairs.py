@@ -231,6 +231,16 @@ def test_aligned_lines_go_from_the_later_document_only(documents):
     assert after == before
 
 
+def test_frequent_blocks_go_from_documents_that_share_rarer_lines_too(documents):
+    block = [f"boilerplate {i}" for i in range(5)]
+    texts = {i: "\n".join([f"document {i}", *block]) for i in range(40)}
+    texts |= {100 + i: "\n".join([f"page {i}", "footer", f"end {i}"]) for i in range(30)}
+    texts |= {200: "one\nseldom seen\ntwo", 201: "\n".join(["seldom seen", "own", *block, "more", "footer"])}
+    rows = {r["doc_id"]: r for r in linededup.dedup_lines(documents(texts)).collect()}
+    assert rows[201]["text"] == "own\nmore" and rows[201]["n_partners"] == 3
+    assert all(rows[i]["text"] == f"document {i}" for i in range(1, 40))
+
+
 def test_line_dedup_of_odd_and_empty_tables(odd_documents, no_documents):
     out = linededup.dedup_lines(odd_documents)
     assert set(odd_documents.columns) <= set(out.columns)
