@@ -83,20 +83,19 @@ def cleaned(table: DataFrame, fields: Mapping[str, Column | str]) -> DataFrame:
 def html_texts(table: DataFrame, fields: Mapping[str, Column | str], drop_script: bool = False) -> DataFrame:
     """Add a column of readable text per (up to three times escaped) HTML field.
 
-    Every step is bound once, so no long text is decoded or scanned twice.
+    The steps are plain projections, each read more than once by the next, which the optimiser does not merge; so no text is
+    decoded or scanned twice, and a query that leaves a text out does not read it.
     """
     names = list(fields)
     raw = table.withColumns({name: as_column(value).cast("string") for name, value in fields.items()})
-    decoded = computed_once(raw, {f"_d_{n}": decode_common(F.col(n), DECODING_PASSES) for n in names})
-    sorted_out = computed_once(decoded, {
-        **{f"_odd_{n}": F.when(is_unusual(F.col(n), F.col(f"_d_{n}")), F.col(n)) for n in names},
-        **{f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names},
-    })
-    read = computed_once(sorted_out, {
+    decoded = raw.withColumns({f"_d_{n}": decode_common(F.col(n), DECODING_PASSES) for n in names})
+    sorted_out = decoded.withColumns({f"_odd_{n}": F.when(is_unusual(F.col(n), F.col(f"_d_{n}")), F.col(n)) for n in names})
+    bare = sorted_out.withColumns({f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names})
+    read = bare.withColumns({
         n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script), decode_common(F.col(f"_d_{n}"), 2))
         for n in names
     }).drop(*(f"_odd_{n}" for n in names), *(f"_d_{n}" for n in names))
-    return computed_once(read, {n: F.coalesce(tidy_lines(n), F.lit("")) for n in names})
+    return read.withColumns({n: F.coalesce(tidy_lines(n), F.lit("")) for n in names})
 
 
 def strip_tags(value: Column | str, decode: bool = True) -> Column:

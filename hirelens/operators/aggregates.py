@@ -114,17 +114,46 @@ def gated_trend(
     )
 
 
-def growth(table: DataFrame, dimensions: Sequence[str], date: str, period: str) -> DataFrame:
-    """Change against the previous period that has records."""
-    order = Window.partitionBy(*dimensions).orderBy("period")
-    counted = period_counts(table, dimensions, date, period).withColumn("previous", F.lag("n").over(order))
-    change = F.round((F.col("n") - F.col("previous")) / F.col("previous"), 6)
+def calendar_counts(table: DataFrame, dimensions: Sequence[str], date: str, period: str) -> DataFrame:
+    """Counts of every period from a group's first one to the last one of the table; periods without records count 0.
+
+    Only counted periods are spread over the calendar, never records.
+    """
+    counted = period_counts(table, dimensions, date, period)
+    last = counted.agg(F.max("period").alias("last")).scalar()
+    step = F.expr("interval 3 months" if period == "quarter" else f"interval 1 {period}")
+    spans = counted.groupBy(*dimensions).agg(F.min("period").alias("_from"))
+    empty = spans.select(*dimensions, F.explode(F.sequence("_from", last, step)).alias("period"), F.lit(0).cast("bigint").alias("n"))
+    return counted.unionByName(empty).groupBy(*dimensions, "period").agg(F.sum("n").alias("n"))
+
+
+def growth(
+    table: DataFrame, dimensions: Sequence[str], date: str, period: str,
+    min_periods: int = TREND_MIN_PERIODS, min_records: int = TREND_MIN_RECORDS,
+) -> DataFrame:
+    """Change of every calendar period against the one before it, for groups with enough evidence; one `insufficient_data` row for
+    the others.
+
+    A period without records is a zero: it is a fall from the period before, and what follows it has no relative change.
+    """
+    group = Window.partitionBy(*dimensions)
+    counted = calendar_counts(table, dimensions, date, period).withColumns({
+        "previous": F.lag("n").over(group.orderBy("period")),
+        "n_periods": F.count_if(F.col("n") >= min_records).over(group),
+        "_first": F.row_number().over(group.orderBy("period")),
+    })
+    enough = F.col("n_periods") >= min_periods
+    change = F.round(F.try_divide(F.col("n") - F.col("previous"), F.col("previous")), 6)
     direction = (
         F.when(F.col("n") > F.col("previous"), "up")
         .when(F.col("n") < F.col("previous"), "down")
         .when(F.col("n") == F.col("previous"), "flat")
     )
-    return counted.withColumns({"change": change, "direction": direction})
+    shown = {"period": F.col("period"), "n": F.col("n"), "previous": F.col("previous"), "change": change, "direction": direction}
+    return counted.filter(enough | (F.col("_first") == 1)).select(
+        *dimensions, *(F.when(enough, value).alias(name) for name, value in shown.items()), "n_periods",
+        F.when(enough, "trend").otherwise("insufficient_data").alias("state"),
+    )
 
 
 def salary_bands(table: DataFrame, amount: str, units: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyword classification into a versioned, multi-label taxonomy. Row-local: no shuffle."""
+"""Keyword classification into a versioned, multi-label taxonomy."""
 
 from __future__ import annotations
 
@@ -8,64 +8,76 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..fixed_values import AV_SIGNALS, DATASET_SIGNALS, TAXONOMY_TERMS
-from ..functions.binding import computed_once
-from ..functions.skills import holds_any, matched_terms, word_text
+from .terms import found_terms, term_table
 
 TAXONOMY_VERSION = 2
 # Ours: the source gives the order of strength, no numbers.
 PHRASE_WEIGHT = 2
 HIGH_SHARE, MEDIUM_SHARE = 0.75, 0.5
+#: A second label at least this heavy against the first contradicts it.
+RIVAL_RATIO = 0.9
 
 
 def combined_text(columns: Sequence[str]) -> Column:
-    return word_text(F.concat_ws("\n", *columns))
+    return F.concat_ws("\n", *columns)
+
+
+def as_terms(table: DataFrame, terms: DataFrame | Mapping[str, Sequence[str]]) -> DataFrame:
+    return terms if isinstance(terms, DataFrame) else term_table(table.sparkSession, terms)
 
 
 def av_relevant(
-    postings: DataFrame, columns: Sequence[str],
-    signals: Sequence[str] = AV_SIGNALS + DATASET_SIGNALS,
+    postings: DataFrame, columns: Sequence[str], key: str,
+    signals: DataFrame | Mapping[str, Sequence[str]] = {"signal": AV_SIGNALS, "dataset": DATASET_SIGNALS},
 ) -> DataFrame:
     """Postings with at least one relevance signal. Meant to run before anything costly."""
-    framed = computed_once(postings, {"_words": combined_text(columns)})
-    return framed.filter(holds_any("_words", signals)).drop("_words")
+    held = found_terms(postings, key, combined_text(columns), as_terms(postings, signals))
+    return postings.join(held.select(key).distinct(), key, "left_semi")
 
 
-def label_weight(terms: Column, phrase_weight: int) -> Column:
+def term_weight(term: Column, phrase_weight: int) -> Column:
     """One per term, more for phrases and platform names."""
-    strong = F.filter(terms, lambda term: F.contains(term, F.lit(" ")) | F.contains(term, F.lit("_")))
-    return F.size(terms) + F.size(strong) * (phrase_weight - 1)
+    return F.when(F.contains(term, F.lit(" ")) | F.contains(term, F.lit("_")), phrase_weight).otherwise(1)
+
+
+def labels_of(
+    postings: DataFrame, columns: Sequence[str], key: str,
+    taxonomy: DataFrame | Mapping[str, Sequence[str]] = TAXONOMY_TERMS, phrase_weight: int = PHRASE_WEIGHT,
+) -> DataFrame:
+    """(key, category, terms, weight) for every category that a posting has evidence of; terms sorted."""
+    found = found_terms(postings, key, combined_text(columns), as_terms(postings, taxonomy))
+    # A gram comes once from a text, so a term does too.
+    return found.groupBy(key, "category").agg(
+        F.array_sort(F.collect_list("term")).alias("terms"), F.sum(term_weight(F.col("term"), phrase_weight)).cast("int").alias("weight")
+    )
 
 
 def classify(
-    postings: DataFrame, columns: Sequence[str],
-    taxonomy: Mapping[str, Sequence[str]] = TAXONOMY_TERMS,
+    postings: DataFrame, columns: Sequence[str], key: str,
+    taxonomy: DataFrame | Mapping[str, Sequence[str]] = TAXONOMY_TERMS,
     version: int = TAXONOMY_VERSION, phrase_weight: int = PHRASE_WEIGHT,
 ) -> DataFrame:
-    """Add `labels`: an array of (category, terms, weight) for every category with evidence."""
-    framed = computed_once(postings, {"_words": combined_text(columns)})
-    found = computed_once(framed, {
-        f"_terms_{index}": matched_terms("_words", sorted(terms))
-        for index, terms in enumerate(taxonomy.values())
-    })
-    labels = F.array(*(
-        F.struct(
-            F.lit(category).alias("category"),
-            F.col(f"_terms_{index}").alias("terms"),
-            label_weight(F.col(f"_terms_{index}"), phrase_weight).alias("weight"),
-        )
-        for index, category in enumerate(taxonomy)
-    ))
-    kept = F.filter(labels, lambda label: label["weight"] > 0)
-    scratch = ["_words", *(f"_terms_{index}" for index in range(len(taxonomy)))]
-    return computed_once(found, {"labels": kept, "taxonomy_version": F.lit(version)}).drop(*scratch)
+    """Add `labels`: an array of (category, terms, weight) for every category with evidence.
+
+    `taxonomy` is a (category, term) table or a small dictionary; `key` is unique. Texts do not travel: labels are found from
+    (key, gram) rows and come back to the postings by key.
+    """
+    label = F.struct("category", "terms", "weight")
+    found = labels_of(postings, columns, key, taxonomy, phrase_weight)
+    listed = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(label)).alias("labels"))
+    joined = postings.join(listed, F.col(key) == F.col("_key"), "left").drop("_key")
+    none = F.array().cast(listed.schema["labels"].dataType)
+    return joined.withColumns({"labels": F.coalesce("labels", none), "taxonomy_version": F.lit(version)})
 
 
 def with_verdict(
-    classified: DataFrame, high: float = HIGH_SHARE, medium: float = MEDIUM_SHARE
+    classified: DataFrame, high: float = HIGH_SHARE, medium: float = MEDIUM_SHARE, rival: float = RIVAL_RATIO, stated: Column | None = None,
 ) -> DataFrame:
     """Primary and secondary categories, confidence and review status from `labels`.
 
-    The heaviest label is primary, the later name on a tie. Confidence is its share of all weight.
+    The heaviest label is primary, the later name on a tie. Confidence is its share of all weight. Labels conflict when a second
+    one is nearly as heavy (`rival` times the first), or when the category that the source states (`stated`, null where it
+    states none) is not the primary one. A conflict goes before doubt.
     """
     ranked = F.transform("labels", lambda label: F.struct(label["weight"], label["category"]))
     top = classified.withColumn("_top", F.array_max(ranked)).withColumn(
@@ -84,20 +96,20 @@ def with_verdict(
         .when(F.col("top_share") >= medium, "Medium")
         .otherwise("Low")
     )
-    review = F.when(confidence.isin("High", "Medium"), "automatic").otherwise("uncertain")
+    others = F.filter("labels", lambda label: label["category"] != F.col("primary_category"))
+    conflict = F.exists(others, lambda label: label["weight"] >= F.col("_top.weight") * rival)
+    if stated is not None:
+        conflict = conflict | F.coalesce(stated != F.col("primary_category"), F.lit(False))
+    review = F.when(F.coalesce(conflict, F.lit(False)), "conflicting").when(confidence.isin("High", "Medium"), "automatic").otherwise("uncertain")
     return judged.withColumns({"classification_confidence": confidence, "review_status": review}).drop("_top", "_total")
 
 
-def label_rows(classified: DataFrame, key: str) -> DataFrame:
-    """The posting-category bridge with its evidence and score."""
-    total = F.aggregate("labels", F.lit(0), lambda sum_, label: sum_ + label["weight"])
-    return classified.select(
-        key, "taxonomy_version", total.alias("_total"), F.explode("labels").alias("label")
-    ).select(
-        key, F.col("label.category").alias("category"), F.col("label.terms").alias("matched_terms"),
-        F.col("label.weight").alias("weight"),
-        F.round(F.col("label.weight") / F.col("_total"), 6).alias("confidence_score"),
-        "taxonomy_version",
+def label_rows(labels: DataFrame, key: str, version: int = TAXONOMY_VERSION) -> DataFrame:
+    """The posting-category bridge with its evidence and score, from `labels_of`."""
+    total = labels.groupBy(key).agg(F.sum("weight").alias("_total"))
+    return labels.join(total, key).select(
+        key, "category", F.col("terms").alias("matched_terms"), "weight",
+        F.round(F.col("weight") / F.col("_total"), 6).alias("confidence_score"), F.lit(version).alias("taxonomy_version"),
     )
 
 

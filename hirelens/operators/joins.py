@@ -7,23 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import as_column, title_tokens
-from .quality import duplicate_keys
+from ..session import written
 
 SPREAD_LANES = 1000
+LANE_ROWS = 10_000
 SALARY_COLUMNS = ("salary_min", "salary_max", "salary_currency", "salary_snippet")
 
 
-def one_to_one_left(
-    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
-) -> DataFrame:
+def one_to_one_left(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join that fails when either side repeats a key. An empty left side keeps the schema.
 
-    `right_keys` holds the same keys as `right` where those are cheaper to read for the check.
+    The rows of a key are counted where the join brings them together, so building the query runs no job and each side is
+    read once. A null key is a key as well for the check.
     """
-    for name, side in (("left", left), ("right", right if right_keys is None else right_keys)):
-        if not duplicate_keys(side, [key]).isEmpty():
-            raise ValueError(f"{key} repeats on the {name} side")
-    return left.join(right, key, "left")
+    def once(side: DataFrame, name: str) -> DataFrame:
+        rows = F.count(F.lit(1)).over(Window.partitionBy(key))
+        failed = F.raise_error(F.concat(F.lit(f"{key} repeats on the {name} side: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+        return side.withColumn("_rows", rows).withColumn("_rows", F.when(F.col("_rows") > 1, failed.cast("bigint")).otherwise(F.col("_rows")))
+
+    # Both counts are part of a filter that always holds, so that neither is pruned away.
+    held = once(left, "left").join(once(right, "right").withColumnRenamed("_rows", "_others"), key, "left")
+    return held.filter("_rows = 1 AND coalesce(_others, 1) = 1").drop("_rows", "_others")
 
 
 def suffixed_left_join(
@@ -38,32 +42,69 @@ def suffixed_left_join(
     return renamed(left, suffixes[0]).join(renamed(right, suffixes[1]), list(keys), "left")
 
 
-def best_title_match(titles: DataFrame, title: str, entries: DataFrame) -> DataFrame:
-    """For each distinct lower-cased title the best entry: (title_key, entry_ordinal, score).
+def best_title_match(titles: DataFrame, title: str, entries: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """For each distinct lower-cased title the best entry: (title_key, entry_ordinal, score) and the `carried` columns of the entry.
+
+    Score is the number of shared tokens, plus one when either title holds the other; a match has a shared token and a score of
+    two. Ties go to the lowest ordinal. Both sides are reduced to distinct titles first. Two routes find all pairs of that score:
 
-    Score is the number of shared tokens, plus one when either title holds the other. A score of
-    two needs a shared token, so an equi-join on tokens loses nothing. Both sides are reduced to
-    distinct titles first, so copies of a title cost one row. Ties go to the lowest ordinal.
+    * Two shared tokens. With tokens ordered by how many titles have them, rarest first, such pairs share one that is not the last
+      of either title. So the last, most frequent token is never joined, and one that every title has costs nothing.
+    * One title inside the other. The inner one is looked up by the rarest of its three-letter pieces among the pieces of the others.
+
+    Tokens and pieces that stay frequent are dealt into lanes of `LANE_ROWS` rows, one task each at most; the other side's
+    rows are repeated for each lane.
     """
-    wanted = titles.select(F.lower(title).alias("title_key")).filter("title_key IS NOT NULL").distinct()
-    offered = entries.groupBy(F.lower("title_text").alias("entry_key")).agg(
-        F.min("ordinal").alias("entry_ordinal")
-    )
-    wanted_tokens = wanted.select("title_key", F.explode(title_tokens("title_key")).alias("token"))
-    offered_tokens = offered.select(
-        "entry_key", "entry_ordinal", F.explode(title_tokens("entry_key")).alias("token")
+    wanted = titles.select(F.lower(title).alias("key")).filter("key IS NOT NULL").distinct().withColumn("tokens", title_tokens("key"))
+    offered = entries.groupBy(F.lower("title_text").alias("key")).agg(F.min_by(F.struct("ordinal", *carried), "ordinal").alias("entry"))
+    offered = offered.withColumn("tokens", title_tokens("key"))
+    # Both are read several times below, and what they are made of may be costly.
+    wanted = written(wanted.filter(F.size("tokens") > 0).select("key", F.struct("tokens").alias("row")), "titles")
+    offered = written(offered.filter(F.size("tokens") > 0).select("key", F.struct("tokens", "entry").alias("row")), "entries")
+
+    places = F.sequence(F.lit(1), F.length("key") - 2)
+    pieces = F.array_distinct(F.transform(places, lambda at: F.substr("key", at, F.lit(3))))
+    by_token, by_piece = _ranked(wanted, offered, F.col("row.tokens")), _ranked(wanted, offered, pieces)
+    rare = [_items(side, F.size("ranked") - 1) for side in by_token]
+    every = [_items(side, F.size("ranked")) for side in by_piece]
+    rarest = [_items(side, F.lit(1)) for side in by_piece]
+    inside, outside = F.contains("title_key", "entry_key"), F.contains("entry_key", "title_key")
+    pairs = (
+        _lane_join(rare[0], rare[1])
+        .unionByName(_lane_join(every[0], rarest[1]).filter(inside))
+        .unionByName(_lane_join(rarest[0], every[1]).filter(outside))
     )
-    overlap = (
-        wanted_tokens.join(offered_tokens, "token")
-        .groupBy("title_key", "entry_key", "entry_ordinal")
-        .agg(F.count(F.lit(1)).alias("overlap"))
+    overlap = F.size(F.array_intersect("title.tokens", "entry.tokens"))
+    scored = pairs.select("title_key", F.col("entry.entry").alias("entry"), overlap.alias("overlap"), (inside | outside).cast("int").alias("holds"))
+    # The best entry of a title leaves a task once; a pair found on several routes changes nothing.
+    best = scored.filter("overlap > 0 AND overlap + holds >= 2").groupBy("title_key").agg(
+        F.max(F.struct((F.col("overlap") + F.col("holds")).alias("score"), (-F.col("entry.ordinal")).alias("rank"), "entry")).alias("best")
     )
-    holds = F.contains("title_key", "entry_key") | F.contains("entry_key", "title_key")
-    scored = overlap.withColumn("score", F.col("overlap") + holds.cast("int")).filter("score >= 2")
-    best = scored.groupBy("title_key").agg(
-        F.max(F.struct("score", (-F.col("entry_ordinal")).alias("rank"))).alias("best")
+    return best.select("title_key", F.col("best.entry.ordinal").alias("entry_ordinal"), F.col("best.score").alias("score"), *(F.col(f"best.entry.{name}") for name in carried))
+
+
+def _ranked(left: DataFrame, right: DataFrame, items: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides (key, row) with `ranked`: the items of a key as (n, item), those with the fewest keys on both sides first."""
+    exploded = [side.select("key", "row", F.explode(items).alias("item")) for side in (left, right)]
+    counts = exploded[0].select("item").unionByName(exploded[1].select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    left, right = (
+        side.join(counts, "item").groupBy("key").agg(F.any_value("row").alias("row"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+        for side in exploded
     )
-    return best.select("title_key", (-F.col("best.rank")).alias("entry_ordinal"), F.col("best.score").alias("score"))
+    return left, right
+
+
+def _items(side: DataFrame, first: Column) -> DataFrame:
+    """(key, row, n, item) of the first ranked items."""
+    return side.select("key", "row", F.inline(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(0)))))
+
+
+def _lane_join(titles: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs of rows (key, row, n, item) with the same item; an item of n rows has a lane for every LANE_ROWS of them."""
+    lanes = F.floor(F.col("n") / LANE_ROWS).cast("int")
+    dealt = titles.select(F.col("key").alias("title_key"), F.col("row").alias("title"), "item", F.pmod(F.hash("key"), lanes + 1).alias("lane"))
+    repeated = entries.select(F.col("key").alias("entry_key"), F.col("row").alias("entry"), "item", F.explode(F.sequence(F.lit(0), lanes)).alias("lane"))
+    return dealt.join(repeated, ["item", "lane"]).drop("item", "lane")
 
 
 def salary_with_fallback(
@@ -73,14 +114,11 @@ def salary_with_fallback(
     """The posting's own salary, else that of the best matching entry, else nulls.
 
     All fields come from the same side. `titles` is a table with the same titles that is cheaper
-    to scan than `postings`, whose texts need not be read again to match titles.
+    to scan than `postings`, whose texts need not be read again to match titles. Entries are read once: their salaries
+    travel with the match.
     """
-    matches = best_title_match(postings if titles is None else titles, title, entries)
-    offers = entries.select(
-        F.col("ordinal").alias("entry_ordinal"),
-        *(F.col(name).alias(f"_entry_{name}") for name in SALARY_COLUMNS),
-    )
-    found = matches.join(offers, "entry_ordinal").drop("entry_ordinal", "score")
+    matches = best_title_match(postings if titles is None else titles, title, entries, SALARY_COLUMNS)
+    found = matches.select("title_key", *(F.col(name).alias(f"_entry_{name}") for name in SALARY_COLUMNS))
     own = F.col("salary_min" + post_suffix).isNotNull()
     # A posting with pay of its own, or without a title, looks nothing up: it gets a lane that no entry has, so
     # that such rows, the most of all, are spread over tasks instead of meeting in one.

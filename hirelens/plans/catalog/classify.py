@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...fixed_values import AV_SIGNALS, DATASET_SIGNALS, SKILL_SYNONYMS, TAXONOMY_TERMS
 from ...functions import skills
 from ...functions.responses import response_error, with_parsed
-from ...operators import classify as k
+from ...operators import classify as k, terms
 from .. import reports
 from .registry import query, table
 from .views import PART_TEXT, sql_matched, sql_words
@@ -43,7 +43,7 @@ PARTS_SQL = f"(SELECT p_partkey, {sql_words('p_brand || chr(10) || ' + PART_TEXT
 @query(bridge_sql(TAXONOMY_TERMS, PARTS_SQL, "p_partkey"))
 def keyword_classify(spark, folder):
     """The unified taxonomy over part descriptions in trade terms."""
-    rows = k.label_rows(k.classify(described(spark, folder), ["title", "description"]), "p_partkey")
+    rows = k.label_rows(k.labels_of(described(spark, folder), ["title", "description"], "p_partkey"), "p_partkey")
     return rows.withColumn("matched_terms", F.array_join("matched_terms", ";"))
 
 
@@ -59,21 +59,29 @@ DOCUMENT_TERMS = {
 @query(bridge_sql(DOCUMENT_TERMS, f"(SELECT doc_id, {sql_words('text')} AS w FROM documents)", "doc_id"))
 def document_topics(spark, folder):
     """The same classifier over whole documents, with its own terms."""
-    classified = k.classify(table(spark, folder, "documents", costly=True).select("doc_id", "text"), ["text"], DOCUMENT_TERMS)
-    return k.label_rows(classified, "doc_id").withColumn("matched_terms", F.array_join("matched_terms", ";"))
+    labels = k.labels_of(table(spark, folder, "documents", costly=True).select("doc_id", "text"), ["text"], "doc_id", DOCUMENT_TERMS)
+    return k.label_rows(labels, "doc_id").withColumn("matched_terms", F.array_join("matched_terms", ";"))
 
 
-@query(
-    f"WITH l AS ({labels_sql(TAXONOMY_TERMS, PARTS_SQL, 'p_partkey')}), "
-    "v AS (SELECT p_partkey, arg_max(category, lpad(CAST(weight AS VARCHAR), 5, '0') || category) AS primary_category, "
-    "max(weight) / sum(weight) AS share, list_sort(list(category)) AS names FROM l GROUP BY 1) "
-    "SELECT part.p_partkey, primary_category, array_to_string(list_filter(names, lambda x: x <> primary_category), ';') AS secondary_categories, "
-    "round(share, 6) AS top_share, CASE WHEN primary_category IS NULL THEN 'None' WHEN round(share, 6) >= 0.75 THEN 'High' WHEN round(share, 6) >= 0.5 THEN 'Medium' ELSE 'Low' END AS classification_confidence, "
-    "CASE WHEN round(share, 6) >= 0.5 THEN 'automatic' ELSE 'uncertain' END AS review_status FROM part LEFT JOIN v USING (p_partkey)"
-)
-def primary_category(spark, folder):
-    """Main and further categories, confidence and review status of every part."""
-    judged = k.with_verdict(k.classify(described(spark, folder), ["title", "description"]))
+# What the source says a part is for, as its department would.
+STATED = "CASE p_type WHEN 'ECONOMY' THEN 'Planning' WHEN 'PROMO' THEN 'Control' END"
+
+
+def verdict_sql(stated: str) -> str:
+    return (
+        f"WITH l AS ({labels_sql(TAXONOMY_TERMS, PARTS_SQL, 'p_partkey')}), "
+        "v AS (SELECT p_partkey, arg_max(category, lpad(CAST(weight AS VARCHAR), 5, '0') || category) AS primary_category, max(weight) AS top, "
+        "list_sort(list(weight))[-2] AS second, max(weight) / sum(weight) AS share, list_sort(list(category)) AS names FROM l GROUP BY 1) "
+        "SELECT part.p_partkey, primary_category, array_to_string(list_filter(names, lambda x: x <> primary_category), ';') AS secondary_categories, "
+        "round(share, 6) AS top_share, CASE WHEN primary_category IS NULL THEN 'None' WHEN round(share, 6) >= 0.75 THEN 'High' WHEN round(share, 6) >= 0.5 THEN 'Medium' ELSE 'Low' END AS classification_confidence, "
+        f"CASE WHEN second >= top * 0.9 OR {stated} <> primary_category THEN 'conflicting' WHEN round(share, 6) >= 0.5 THEN 'automatic' ELSE 'uncertain' END AS review_status "
+        "FROM part LEFT JOIN v USING (p_partkey)"
+    )
+
+
+def verdicts(spark, folder, stated=None):
+    parts = described(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_type"), "p_partkey")
+    judged = k.with_verdict(k.classify(parts, ["title", "description"], "p_partkey"), stated=None if stated is None else F.expr(stated))
     others = F.when(F.col("primary_category").isNotNull(), F.array_join("secondary_categories", ";"))
     return judged.select(
         "p_partkey", "primary_category", others.alias("secondary_categories"), "top_share",
@@ -81,12 +89,24 @@ def primary_category(spark, folder):
     )
 
 
+@query(verdict_sql("NULL"))
+def primary_category(spark, folder):
+    """Main and further categories, confidence and review status of every part."""
+    return verdicts(spark, folder)
+
+
+@query(verdict_sql(STATED))
+def conflict_review(spark, folder):
+    """The same, with categories that the source states for some parts."""
+    return verdicts(spark, folder, STATED)
+
+
 SIGNAL_TEST = " OR ".join(f"contains(w, ' {signal} ')" for signal in AV_SIGNALS + DATASET_SIGNALS)
 
 
 @query(f"SELECT p_partkey FROM {PARTS_SQL} WHERE {SIGNAL_TEST}")
 def av_prefilter(spark, folder):
-    return k.av_relevant(described(spark, folder), ["title", "description"]).select("p_partkey")
+    return k.av_relevant(described(spark, folder), ["title", "description"], "p_partkey").select("p_partkey")
 
 
 @query(
@@ -111,8 +131,9 @@ def skill_case(name: str) -> str:
 )
 def skill_terms(spark, folder):
     """C, C++ and the rest stay distinct."""
-    found = skills.extract_skills("description", SKILL_NAMES)
-    return described(spark, folder).select("p_partkey", F.array_join(found, ";").alias("skills"))
+    return terms.name_lists(described(spark, folder).select("p_partkey", "description"), "p_partkey", "description", SKILL_NAMES).select(
+        "p_partkey", F.array_join("skills", ";").alias("skills")
+    )
 
 
 SYNONYM_CASE = "CASE lower(trim(skill)) " + " ".join(

@@ -92,17 +92,35 @@ def trend_gated(spark, folder):
     return trend.withColumn("period", F.col("period").cast("string"))
 
 
-@query(
-    "SELECT o_orderpriority, CAST(CAST(period AS DATE) AS VARCHAR) AS period, n, previous, round((n - previous) / previous, 6) AS change, "
-    "CASE WHEN n > previous THEN 'up' WHEN n < previous THEN 'down' WHEN n = previous THEN 'flat' END AS direction FROM ("
-    "SELECT *, lag(n) OVER (PARTITION BY o_orderpriority ORDER BY period) AS previous FROM "
-    "(SELECT o_orderpriority, date_trunc('month', o_orderdate) AS period, count(*) AS n FROM orders GROUP BY ALL))"
-)
+def growth_sql(group: str, source: str, period: str, least: int) -> str:
+    """Counts over the calendar by generate_series, the change to the period before, and the evidence gate."""
+    return (
+        f"WITH counted AS (SELECT {group}, date_trunc('{period}', o_orderdate) AS period, count(*) AS n FROM {source} GROUP BY ALL), "
+        f"spans AS (SELECT {group}, unnest(generate_series(min(period), (SELECT max(period) FROM counted), INTERVAL 1 {period})) AS period FROM counted GROUP BY {group}), "
+        f"filled AS (SELECT spans.{group}, spans.period, coalesce(n, 0) AS n FROM spans LEFT JOIN counted ON spans.{group} = counted.{group} AND spans.period = counted.period), "
+        f"w AS (SELECT *, lag(n) OVER (PARTITION BY {group} ORDER BY period) AS previous, count(*) FILTER (WHERE n >= {least}) OVER (PARTITION BY {group}) AS n_periods, "
+        f"row_number() OVER (PARTITION BY {group} ORDER BY period) AS r FROM filled) "
+        f"SELECT {group}, CASE WHEN n_periods >= 2 THEN CAST(CAST(period AS DATE) AS VARCHAR) END AS period, CASE WHEN n_periods >= 2 THEN n END AS n, "
+        "CASE WHEN n_periods >= 2 THEN previous END AS previous, CASE WHEN n_periods >= 2 AND previous > 0 THEN round((n - previous) / previous, 6) END AS change, "
+        "CASE WHEN n_periods < 2 THEN NULL WHEN n > previous THEN 'up' WHEN n < previous THEN 'down' WHEN n = previous THEN 'flat' END AS direction, n_periods, "
+        "CASE WHEN n_periods >= 2 THEN 'trend' ELSE 'insufficient_data' END AS state FROM w WHERE n_periods >= 2 OR r = 1"
+    )
+
+
+@query(growth_sql("o_orderpriority", "orders", "month", 10))
 def trend_growth(spark, folder):
     trend = a.growth(table(spark, folder, "orders"), ["o_orderpriority"], "o_orderdate", "month")
     return trend.withColumn("period", F.col("period").cast("string"))
 
 
+@query(growth_sql("o_custkey", "(SELECT * FROM orders WHERE o_custkey % 7 <> 0 OR year(o_orderdate) <> 1996)", "year", 3))
+def trend_growth_calendar(spark, folder):
+    """Yearly change per company, many with years without a posting and many with too little evidence."""
+    orders = table(spark, folder, "orders").filter("o_custkey % 7 <> 0 OR year(o_orderdate) <> 1996")
+    trend = a.growth(orders, ["o_custkey"], "o_orderdate", "year", min_records=3)
+    return trend.withColumn("period", F.col("period").cast("string"))
+
+
 @query("SELECT o_orderstatus AS currency, o_orderpriority AS pay_period, CAST(floor(o_totalprice / 50000) * 50000 AS BIGINT) AS band, count(*) AS n FROM orders GROUP BY ALL")
 def salary_bands(spark, folder):
     priced = table(spark, folder, "orders").selectExpr("o_totalprice", "o_orderstatus AS currency", "o_orderpriority AS pay_period")

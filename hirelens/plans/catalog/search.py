@@ -53,9 +53,17 @@ def paged_companies(spark, folder):
     "SELECT c_custkey, c_name FROM customer ORDER BY c_name LIMIT 7 OFFSET (SELECT CAST((ceil(count(*) / 7.0) - 1) * 7 AS BIGINT) FROM customer)"
 )
 def last_page_companies(spark, folder):
-    """A page number beyond the end, clamped; placed without a long top-k."""
+    """A page number beyond the end, clamped; only the rows about the page are sorted."""
     rows = table(spark, folder, "customer").select("c_custkey", "c_name")
-    return s.page(rows, ["c_name"], 10**6, 7.9, shallow_rows=100)
+    return s.page(rows, ["c_name"], 10**6, 7.9)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET (SELECT CAST(floor(ceil(count(*) / 50.0) / 2) * 50 AS BIGINT) FROM orders)")
+def middle_page_postings(spark, folder):
+    """A page in the middle of all postings, dearest first."""
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    middle = -(-rows.count() // 50) // 2 + 1
+    return s.page(rows, ["-o_totalprice", "o_orderkey"], middle, 50)
 
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")

@@ -73,14 +73,11 @@ def ingest_responses(responses: DataFrame, postings: DataFrame) -> tuple[DataFra
 
 
 def classification_report(postings: DataFrame, classifications: DataFrame, reading: str) -> DataFrame:
-    """Classifications with the salary their posting states; a repeated job id on either side is an error.
-
-    The uniqueness check reads ids only, so no text is searched for it.
-    """
+    """Classifications with the salary their posting states; a repeated job id on either side is an error when the rows are read."""
     salaries = with_salary_range(postings, "description", reading)
     wanted = ("job_id", "location", "salary_min", "salary_max", "salary_currency", "salary_period",
               "salary_snippet", "salary_source")
-    return one_to_one_left(classifications, salaries.select(*wanted), "job_id", postings.select("job_id"))
+    return one_to_one_left(classifications, salaries.select(*wanted), "job_id")
 
 
 def board_classification_report(classifications: DataFrame, salaries: DataFrame) -> DataFrame:

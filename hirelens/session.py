@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "hirelens", cores: int | str = "*") -> SparkSession:
@@ -38,6 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(table: DataFrame, name: str) -> DataFrame:
+    """Write the rows once to the shared folder and read them from there: cuts lineage, survives lost executors."""
+    path = f"{shared_folder(table.sparkSession).rstrip('/')}/steps/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -14,13 +14,15 @@ ATS = "Greenhouse"
 
 
 def explode_postings(landed: DataFrame) -> DataFrame:
-    """One row per job of an envelope, with its place in the payload."""
-    return landed.select(F.posexplode("jobs").alias("ordinal", "job")).select("ordinal", "job.*")
+    """One row per job of an envelope, with its place in the payload; other columns of the envelope stay with its jobs."""
+    beside = [name for name in landed.columns if name not in ("jobs", "meta", "odd_items")]
+    jobs = landed.select(*beside, F.posexplode("jobs").alias("ordinal", "job")).filter("job IS NOT NULL")
+    return jobs.select(*beside, "ordinal", "job.*")
 
 
 def wrong_totals(landed: DataFrame) -> DataFrame:
-    """Envelopes whose declared total differs from the jobs they hold."""
-    held = F.size("jobs")
+    """Envelopes whose declared total differs from the jobs they hold; no list holds none."""
+    held = F.coalesce(F.array_size("jobs"), F.lit(0))
     return landed.filter(F.col("meta.total") != held).select(
         F.col("meta.total").alias("declared"), held.alias("held")
     )

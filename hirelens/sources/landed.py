@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import Row, StructType
 
 from ..fixed_values import ANALYSIS_COLUMNS
 from ..functions.binding import computed_once
 from ..functions.markup import unescape_entities
 from ..functions.salary import with_any_salary
 from ..functions.text import blank_to_null, title_tokens
-from ..operators.quality import require_columns
 from ..schemas import GREENHOUSE_RAW, LEVER_RAW, POSTING, RESPONSE, SMARTRECRUITERS_PAGE, SMARTRECRUITERS_RAW
-
-CORRUPT = "_corrupt_record"
-
+from .variants import CORRUPT, envelopes, fields_of, is_object, items_of, objects, variant_documents
 
 def spread(scan: DataFrame) -> DataFrame:
     """Share out a scan of few files before costly work per row.
@@ -26,63 +23,72 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def read_json(
-    spark: SparkSession, path: str, schema: str, multi_line: bool = True
-) -> DataFrame:
-    """JSON files under a path. Line-delimited landings split across tasks; whole documents do not."""
-    return (
-        spark.read.schema(f"{schema}, {CORRUPT} STRING")
-        .option("multiLine", multi_line)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-
-
 def split_malformed(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that could be read, and the raw text of the others.
 
     A field of another shape than declared, such as a text where an object is usual, reads as null and leaves the rest of its
-    row, and the other jobs of its envelope, as they are. Only text of which nothing declared can be read is set apart.
+    row, and the other items of its envelope, as they are. Text that is no JSON, documents without the list they should hold and
+    items that are no objects are set apart.
     """
-    held = F.lit(False)
-    for name in landed.columns:
-        if name != CORRUPT:
-            held = held | F.col(name).isNotNull()
-    usable = F.col(CORRUPT).isNull() | held
-    return landed.filter(usable).drop(CORRUPT), landed.filter(~usable).select(CORRUPT)
+    return landed.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), landed.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def read_lever(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A top-level array of postings: one row each. Items that are no objects, and fields of other shapes than declared, cost only
-    themselves: every item is read on its own."""
-    whole = spark.read.format("json").option("singleVariantColumn", "v").option("multiLine", multi_line).load(path)
-    listed = F.try_variant_get("v", "$", "array<variant>")
-    items = whole.select(F.explode(F.coalesce(listed, F.array("v"))).alias("item"))
-    fields = [F.try_variant_get("item", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in StructType.fromDDL(LEVER_RAW)]
-    is_object = F.schema_of_variant("item").startswith("OBJECT")
-    return items.select(*fields, F.when(~is_object, F.to_json("item")).alias(CORRUPT))
+    """A top-level array of postings: one row each, with its place as `ordinal`."""
+    return objects(spark, path, LEVER_RAW, multi_line)
 
 
 def read_greenhouse(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Envelopes of jobs with a declared total."""
-    return read_json(spark, path, GREENHOUSE_RAW, multi_line)
+    """Envelopes of jobs with a declared total; jobs that are no objects stand in `odd_items`."""
+    return envelopes(spark, path, "jobs", GREENHOUSE_RAW, multi_line)
 
 
 def read_smartrecruiters_pages(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return read_json(spark, path, SMARTRECRUITERS_PAGE, multi_line)
+    """Summary pages; summaries that are no objects stand in `odd_items`."""
+    return envelopes(spark, path, "content", SMARTRECRUITERS_PAGE, multi_line)
 
 
 def read_smartrecruiters_details(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    return read_json(spark, path, SMARTRECRUITERS_RAW, multi_line)
+    """Detail objects, one a row."""
+    return objects(spark, path, SMARTRECRUITERS_RAW, multi_line).drop("ordinal")
+
+
+def held_columns(schema: str | None) -> list[str]:
+    """The keys in a description of objects as schema_of_variant_agg gives it."""
+    if schema is None or not schema.startswith("OBJECT"):
+        return []
+    # The description reads like DDL but for the name of the outer type.
+    return StructType.fromDDL("r " + schema.replace("OBJECT<", "STRUCT<"))["r"].dataType.names
+
+
+def dataset_shape(records: DataFrame) -> Row:
+    """Of a variant column v, in one aggregate whose state is a schema, not rows: `n` objects, `n_odd` other values, and the `schema`
+    that merges all objects."""
+    good = is_object(F.col("v"))
+    return records.withColumn("_object", F.when(good, F.col("v"))).agg(
+        F.count_if(good).alias("n"), F.count_if(~good).alias("n_odd"), F.expr("schema_of_variant_agg(_object)").alias("schema")
+    ).first()
+
+
+def missing_columns(schema: str | None) -> list[str]:
+    """Analysis columns that no record holds, sorted."""
+    return sorted(set(ANALYSIS_COLUMNS) - set(held_columns(schema)))
 
 
 def read_postings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A dataset of normalised postings: not empty, analysis columns present, text ids."""
-    postings = spark.read.schema(POSTING).option("multiLine", multi_line).json(path)
-    require_columns(postings, ANALYSIS_COLUMNS)
-    if postings.isEmpty():
+    """A dataset of normalised postings: not empty, objects only, the analysis columns among the keys that its records hold, text ids.
+
+    A record need not have every column, but a column that no record has is missing.
+    """
+    records = variant_documents(spark, path, multi_line).select(F.explode(F.coalesce(items_of(F.col("v")), F.array("v"))).alias("v"))
+    shape = dataset_shape(records)
+    if shape["n_odd"]:
+        raise ValueError(f"{shape['n_odd']} records under {path} are no objects")
+    if not shape["n"]:
         raise ValueError(f"no postings under {path}")
-    return postings.withColumn("job_id", F.col("job_id").cast("string"))
+    if missing := missing_columns(shape["schema"]):
+        raise ValueError(f"missing columns: {missing}")
+    return records.select(*fields_of(F.col("v"), POSTING))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ def page_summaries(pages: DataFrame, max_jobs: int | None = None) -> DataFrame:
         (F.col("offset") < F.coalesce(stops["empty"], F.lit(2**62)))
         & (F.col("offset") <= F.coalesce(stops["full"], F.lit(2**62)))
     )
-    summaries = kept.select("offset", F.posexplode("content").alias("position", "summary")).select(
+    summaries = kept.select("offset", F.posexplode("content").alias("position", "summary")).filter("summary IS NOT NULL").select(
         (F.col("offset") + F.col("position")).alias("ordinal"), F.col("summary.id").alias("id")
     )
     return summaries if max_jobs is None else summaries.orderBy("ordinal").limit(max_jobs)

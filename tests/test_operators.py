@@ -70,8 +70,12 @@ def test_accuracy_needs_a_large_enough_sample(spark):
 def test_one_to_one_join(spark):
     left = spark.createDataFrame([("1", "a")], "job_id string, title string")
     right = spark.createDataFrame([("1", 5), ("2", 6), ("2", 7)], "job_id string, pay int")
-    with pytest.raises(ValueError, match="right side"):
-        joins.one_to_one_left(left, right, "job_id")
+    broken = joins.one_to_one_left(left, right, "job_id")  # no job yet
+    with pytest.raises(Exception, match="job_id repeats on the right side: 2"):
+        broken.count()
+    with pytest.raises(Exception, match="left side"):
+        joins.one_to_one_left(right, left, "job_id").select("pay").collect()
+    assert joins.one_to_one_left(left, right.filter("pay < 7"), "job_id").collect()[0]["pay"] == 5
     empty = joins.one_to_one_left(left.limit(0), right.filter("pay < 7"), "job_id")
     assert empty.columns == ["job_id", "title", "pay"] and empty.isEmpty()
 
@@ -169,8 +173,8 @@ def test_keyword_is_literal(spark):
     (1, 4, [0, 1, 2, 3]), (3, 4, [8, 9]), (99, 4, [8, 9]), (1, None, [0]), (0, 3.9, [0, 1, 2]), (2, -5, [1]),
 ])
 def test_pages(spark, number, size, expected):
-    for shallow in (10_000, 0):
-        rows = search.page(spark.range(10), ["id"], number, size, shallow_rows=shallow)
+    for sample in (4_000, 2):
+        rows = search.page(spark.range(10), ["id"], number, size, sample=sample)
         assert [r["id"] for r in rows.collect()] == expected
     assert search.page(spark.range(0), ["id"], 5, 3).count() == 0
 
@@ -223,17 +227,17 @@ def test_bands_keep_units_apart(spark):
 
 def test_multi_label_example(spark):
     rows = spark.createDataFrame([(1, "LiDAR sensor calibration and point-cloud object detection"), (2, "Pastry chef")], "id int, text string")
-    judged = {r["id"]: r for r in classify.with_verdict(classify.classify(rows, ["text"])).collect()}
+    judged = {r["id"]: r for r in classify.with_verdict(classify.classify(rows, ["text"], "id")).collect()}
     assert {label["category"] for label in judged[1]["labels"]} == {"Sensing", "Perception"}
     assert (judged[1]["primary_category"], judged[1]["secondary_categories"]) == ("Sensing", ["Perception"])
     assert judged[2]["primary_category"] is None and judged[2]["review_status"] == "uncertain"
-    bridge = classify.label_rows(classify.classify(rows, ["text"]), "id").collect()
+    bridge = classify.label_rows(classify.labels_of(rows, ["text"], "id"), "id").collect()
     assert round(sum(r["confidence_score"] for r in bridge), 5) == 1 and {r["taxonomy_version"] for r in bridge} == {2}
 
 
 def test_prefilter(spark):
     rows = spark.createDataFrame([(1, "Knows ROS 2 well"), (2, "cross 2 teams"), (3, "self-driving trucks"), (4, None)], "id int, text string")
-    assert {r["id"] for r in classify.av_relevant(rows, ["text"]).collect()} == {1, 3}
+    assert {r["id"] for r in classify.av_relevant(rows, ["text"], "id").collect()} == {1, 3}
 
 
 def test_responses_are_overridden_and_failures_kept(spark):
