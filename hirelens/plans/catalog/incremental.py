@@ -227,3 +227,15 @@ def gold_two_runs(spark, folder):
         snapshot = a.category_snapshot(labels, "o_orderpriority", "o_orderstatus", "o_orderkey", F.lit(run), F.expr("DATE '2001-09-01'"))
         write_trend_snapshot(snapshot, root)
     return read_trend_snapshots(spark, root).select("scrape_id", "category_id", F.col("job_count").alias("jobs"), F.col("is_total").alias("total"))
+
+
+@query("SELECT event_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(min(ts) + (max(ts) - min(ts)) / 2 AS DATE) FROM events)")
+def retention(spark, folder):
+    """Raw partitions by day, those before the middle of the feed dropped."""
+    events = table(spark, folder, "events")
+    root = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    shaped = events.selectExpr("event_id", "event_type", "CAST(CAST(ts AS DATE) AS STRING) AS day")
+    shaped.write.partitionBy("day").parquet(root)
+    middle = events.selectExpr("CAST(CAST(min(ts) + (max(ts) - min(ts)) / 2 AS DATE) AS STRING) AS day").first()["day"]
+    m.drop_old_partitions(spark, root, "day", middle)
+    return spark.read.schema(shaped.schema).parquet(root)

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from ...session import shared_folder
 from ...sources import adapters, greenhouse, landed, lever, smartrecruiters
 from ...sources.adapters import union_sources
+from ...sources.sinks import write_records, write_results
+from ...sources.variants import odd_items, variant_documents
+from ..collection import collect_run
 from .quality import split_expressions
 from .registry import query, table
 
@@ -222,3 +225,134 @@ def greenhouse_odd_job(spark, folder):
     boards.selectExpr("concat('{\"jobs\": [', jobs, ']}') AS value").write.text(path)
     good, _ = landed.split_malformed(landed.read_greenhouse(spark, path, multi_line=False))
     return greenhouse.normalise(greenhouse.explode_postings(good), "Acme", STAMP).select("job_id", "job_title", "location")
+
+
+def lines(rows, name: str) -> str:
+    """Write one text column as a landing of lines; gives its path."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(path)
+    return path
+
+
+ODD_JOB = "CASE WHEN o_orderkey % 7 = 0 THEN '\"odd\"' WHEN o_orderkey % 11 = 0 THEN '[1]' ELSE concat('{\"id\": ', o_orderkey, ', \"departments\": [\"x\", {\"name\": \"', o_orderpriority, '\"}, {\"name\": \"E\"}, 4]}') END"
+
+
+def odd_boards(spark, folder):
+    """Boards of twenty jobs in key order; some jobs are no objects, every job has departments of several shapes."""
+    jobs = table(spark, folder, "orders").selectExpr("o_orderkey", "o_orderkey DIV 20 AS board", f"{ODD_JOB} AS job")
+    boards = jobs.groupBy("board").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "job"))).alias("jobs"))
+    text = F.array_join(F.transform("jobs", lambda pair: pair["job"]), ", ")
+    landing = boards.select(F.concat(F.lit('{"jobs": ['), text, F.lit('], "meta": {"total": '), F.size("jobs"), F.lit("}}")).alias("value"))
+    return landed.read_greenhouse(spark, lines(landing, "boards"), multi_line=False)
+
+
+@query(
+    "WITH j AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) - 1 AS place FROM orders) "
+    "SELECT 'good' AS kind, CAST(o_orderkey AS VARCHAR) AS item, place, o_orderpriority || ', E' AS department FROM j WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 "
+    "UNION ALL SELECT 'odd', CASE WHEN o_orderkey % 7 = 0 THEN '\"odd\"' ELSE '[1]' END, place, NULL FROM j WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0"
+)
+def greenhouse_odd_items(spark, folder):
+    """Jobs that are no objects are set apart with their place; the others, and their sound departments, stay."""
+    boards, bad = landed.split_malformed(odd_boards(spark, folder))
+    exploded = greenhouse.explode_postings(boards)
+    good = greenhouse.normalise(exploded, "Acme", STAMP, ("ordinal",)).selectExpr("'good' AS kind", "job_id AS item", "CAST(ordinal AS BIGINT) AS place", "department")
+    odd = odd_items(boards).selectExpr("'odd' AS kind", "item", "CAST(place AS BIGINT) AS place", "CAST(NULL AS STRING) AS department")
+    return good.unionByName(odd)
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE 'Bergen' END AS location, "
+    "CASE o_orderkey % 5 WHEN 1 THEN 'onsite' WHEN 0 THEN 'onsite' ELSE 'hybrid' END AS workplace_type, CASE o_orderkey % 5 WHEN 2 THEN '' ELSE 'Planning' END AS function, "
+    "CASE o_orderkey % 5 WHEN 3 THEN '' ELSE o_orderpriority END AS description FROM orders WHERE o_orderkey % 5 <> 4"
+)
+def smartrecruiters_odd_fields(spark, folder):
+    """Details with a text for the location, a word for a flag, a text for a label or a list for a section: only that leaf is blank.
+    Details that are no objects are set apart."""
+    detail = (
+        "CASE o_orderkey % 5 WHEN 4 THEN '[3]' ELSE concat('{\"id\": \"', o_orderkey, '\", \"location\": ', CASE o_orderkey % 5 WHEN 0 THEN '\"Bergen\"' "
+        "WHEN 1 THEN '{\"city\": \"Bergen\", \"hybrid\": \"maybe\"}' ELSE '{\"city\": \"Bergen\", \"hybrid\": true}' END, "
+        "', \"function\": ', CASE o_orderkey % 5 WHEN 2 THEN '\"Planning\"' ELSE '{\"label\": \"Planning\"}' END, "
+        "', \"jobAd\": {\"sections\": {\"qualifications\": 7, \"jobDescription\": ', CASE o_orderkey % 5 WHEN 3 THEN '[\"x\"]' ELSE concat('{\"text\": \"', o_orderpriority, '\"}') END, '}}}') END AS value"
+    )
+    path = lines(table(spark, folder, "orders").selectExpr(detail), "details")
+    good, _ = landed.split_malformed(landed.read_smartrecruiters_details(spark, path, multi_line=False))
+    return smartrecruiters.normalise(good, "Acme", STAMP).select("job_id", "location", "workplace_type", "function", "description")
+
+
+DATASET = "CAST(o_orderkey AS STRING) AS job_id, 'Acme' AS company, o_orderpriority AS job_title, CASE WHEN o_orderkey % 2 = 0 THEN 'Oslo' END AS location, o_comment_ AS description, 'https://x.example/' || o_orderkey AS source_url, CAST(o_orderdate AS STRING) AS posting_date"
+
+
+@query(
+    "SELECT 'whole' AS dataset, count(*) AS n, '' AS missing FROM orders UNION ALL SELECT 'cut', count(*), 'company;description' FROM orders UNION ALL "
+    "SELECT 'sparse', count(*), 'location' FROM orders"
+)
+def dataset_columns(spark, folder):
+    """The columns that three datasets lack: none, two that no record has, and one that is null in all and so not written."""
+    orders = table(spark, folder, "orders").withColumn("o_comment_", F.concat(F.lit("text of "), "o_custkey"))
+    whole = orders.selectExpr(*split_expressions(DATASET))
+    found = []
+    for name, rows in (("whole", whole), ("cut", whole.drop("company", "description")), ("sparse", whole.withColumn("location", F.lit(None).cast("string")))):
+        path = lines(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")), name)
+        shape = landed.dataset_shape(variant_documents(spark, path, False))
+        found.append((name, shape["n"], ";".join(landed.missing_columns(shape["schema"]))))
+    return spark.createDataFrame(found, "dataset string, n bigint, missing string")
+
+
+@query(
+    "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, o_orderpriority AS job_title, CASE WHEN o_orderkey % 2 = 0 THEN 'Oslo' END AS location, 'text of ' || o_custkey AS description, "
+    "CAST(NULL AS VARCHAR) AS team FROM orders"
+)
+def posting_dataset(spark, folder):
+    """Postings written by the record sink and scanned again as a dataset."""
+    orders = table(spark, folder, "orders").withColumn("o_comment_", F.concat(F.lit("text of "), "o_custkey"))
+    path = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
+    write_records(orders.selectExpr(*split_expressions(DATASET)), path)
+    return landed.read_postings(spark, path, multi_line=False).select("job_id", "job_title", "location", "description", "team")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS job_id, event_type AS content FROM events WHERE event_id % 2 = 0")
+def response_scan(spark, folder):
+    """Stored responses written and scanned; an empty result table leaves the earlier output as it is."""
+    rows = table(spark, folder, "events").filter("event_id % 2 = 0").selectExpr("CAST(event_id AS STRING) AS job_id", "event_type AS content")
+    path = f"{shared_folder(spark)}/responses-{uuid.uuid4().hex}"
+    write_results(rows, path)
+    write_results(rows.filter("job_id IS NULL"), path)
+    return landed.read_responses(spark, path).select("job_id", "content")
+
+
+#: Companies are numbers to 39: even ones on Greenhouse, odd ones on Lever.
+COMPANY = "CAST(o_custkey % 40 AS INT)"
+
+
+@query(
+    f"WITH o AS (SELECT *, {COMPANY} AS c FROM orders WHERE o_custkey % 40 <> 38), boards AS (SELECT c, o_orderkey // 200 AS board, count(*) AS n FROM o WHERE c % 2 = 0 GROUP BY ALL), "
+    "faults AS (SELECT c, min((n + 1) || ' postings declared, ' || n || ' held') AS error FROM boards WHERE c % 10 = 4 AND board % 7 = 0 GROUP BY c "
+    "UNION ALL SELECT c, min('duplicate job id: ' || o_orderkey) FROM o WHERE c % 10 = 3 AND o_orderkey % 5 = 0 GROUP BY c "
+    "UNION ALL SELECT c, 'posting 1 is missing: job_title, location' FROM o WHERE c % 10 = 7 AND o_orderkey % 9 = 0 GROUP BY c) "
+    "SELECT 'c' || e.c AS company_id, '2026-08-11' AS scrape_date, CASE WHEN error IS NULL THEN coalesce(n, 0) ELSE 0 END AS jobs_found, "
+    "CASE WHEN error IS NULL AND n > 0 THEN 'success' ELSE 'failed' END AS status, coalesce(error, CASE WHEN n IS NULL THEN 'the source returned no postings' END) AS error_message "
+    "FROM range(40) e(c) LEFT JOIN (SELECT c, count(*) AS n FROM o GROUP BY c) USING (c) LEFT JOIN faults USING (c)"
+)
+def collection_run(spark, folder):
+    """The log of one run over forty companies of two platforms: boards with a wrong total, repeated ids, incomplete postings and a
+    company that landed nothing each fail alone."""
+    orders = table(spark, folder, "orders").filter("o_custkey % 40 <> 38").selectExpr("*", f"{COMPANY} AS c")
+    root = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    job = (
+        "concat('{\"id\": ', o_orderkey, ', \"title\": \"', o_orderpriority, '\", \"location\": {\"name\": \"Oslo\"}, \"content\": \"d\", "
+        "\"first_published\": \"2001-01-01T00:00:00Z\", \"absolute_url\": \"https://x.example/', o_orderkey, '\"}')"
+    )
+    boards = orders.filter("c % 2 = 0").selectExpr("c", "o_orderkey DIV 200 AS board", f"{job} AS job").groupBy("c", "board").agg(F.collect_list("job").alias("jobs"))
+    total = F.size("jobs") + F.when((F.col("c") % 10 == 4) & (F.col("board") % 7 == 0), 1).otherwise(0)
+    board_text = F.concat(F.lit('{"jobs": ['), F.array_join("jobs", ", "), F.lit('], "meta": {"total": '), total, F.lit("}}"))
+    postings = orders.filter("c % 2 = 1").selectExpr(
+        "c", "CASE WHEN c % 10 = 3 AND o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS copies", "concat('{\"id\": ', o_orderkey, CASE WHEN c % 10 = 7 AND o_orderkey % 9 = 0 THEN '' "
+        "ELSE concat(', \"text\": \"', o_orderpriority, '\", \"categories\": {\"location\": \"Oslo\"}') END, ', \"descriptionPlain\": \"d\", \"createdAt\": 1000000000000, "
+        "\"hostedUrl\": \"https://x.example/', o_orderkey, '\"}') AS value",
+    )
+    landings = {"Greenhouse": boards.select("c", board_text.alias("value")), "Lever": postings.select("c", F.explode(F.array_repeat("value", F.col("copies"))).alias("value"))}
+    for ats, rows in landings.items():
+        rows.selectExpr("concat('c', c) AS company", "'r1' AS run", "value").write.partitionBy("company", "run").text(f"{root}/ats={ats}")
+    expected = spark.range(40).selectExpr("concat('c', id) AS company", "CASE WHEN id % 2 = 0 THEN 'Greenhouse' ELSE 'Lever' END AS ats")
+    _, log = collect_run(spark, root, expected, "r1", STAMP, multi_line=False)
+    return log.drop("scrape_id").withColumn("scrape_date", F.col("scrape_date").cast("string"))

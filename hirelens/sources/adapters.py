@@ -15,7 +15,7 @@ from . import greenhouse, lever, smartrecruiters
 class Adapter:
     schema: str
     explode: Callable[[DataFrame], DataFrame]
-    normalise: Callable[[DataFrame, str | Column, str | Column], DataFrame]
+    normalise: Callable[..., DataFrame]
 
 
 ADAPTERS: dict[str, Adapter] = {

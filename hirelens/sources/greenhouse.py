@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import iso_to_utc_text
@@ -20,15 +22,16 @@ def explode_postings(landed: DataFrame) -> DataFrame:
     return jobs.select(*beside, "ordinal", "job.*")
 
 
-def wrong_totals(landed: DataFrame) -> DataFrame:
+def wrong_totals(landed: DataFrame, *beside: str) -> DataFrame:
     """Envelopes whose declared total differs from the jobs they hold; no list holds none."""
     held = F.coalesce(F.array_size("jobs"), F.lit(0))
     return landed.filter(F.col("meta.total") != held).select(
-        F.col("meta.total").alias("declared"), held.alias("held")
+        *beside, F.col("meta.total").alias("declared"), held.alias("held")
     )
 
 
-def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
+def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column, beside: Sequence[str] = ()) -> DataFrame:
+    """Postings in the common schema; columns of `raw` named in `beside` go along."""
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
     flat = raw.withColumn("_place", F.col("location.name")).drop("location")
@@ -67,4 +70,5 @@ def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column)
         "updated_at",
         "application_deadline",
         "offices",
+        *beside,
     )

@@ -49,8 +49,8 @@ def read_smartrecruiters_pages(spark: SparkSession, path: str, multi_line: bool
 
 
 def read_smartrecruiters_details(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Detail objects, one a row."""
-    return objects(spark, path, SMARTRECRUITERS_RAW, multi_line).drop("ordinal")
+    """Detail objects, one a row, with its place in its document as `ordinal`."""
+    return objects(spark, path, SMARTRECRUITERS_RAW, multi_line)
 
 
 def held_columns(schema: str | None) -> list[str]:

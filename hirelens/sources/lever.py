@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import epoch_to_utc_text, iso_to_utc_text
@@ -21,7 +23,8 @@ def _created(stamp: str) -> Column:
     return F.when(text.rlike(r"\A-?[0-9.]+(E[0-9]+)?\z"), epoch_to_utc_text(text.try_cast("double").cast("bigint"), milliseconds=True)).otherwise(iso_to_utc_text(text))
 
 
-def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
+def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column, beside: Sequence[str] = ()) -> DataFrame:
+    """Postings in the common schema; columns of `raw` named in `beside` go along."""
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
     flat = raw.select("*", "categories.*").drop("categories")
@@ -53,4 +56,5 @@ def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column)
         F.lit("API").alias("collection_method"),
         F.lit(ATS).alias("ats"),
         stamp.alias("collected_at"),
+        *beside,
     )

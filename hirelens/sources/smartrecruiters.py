@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..fixed_values import AD_SECTIONS
@@ -58,7 +60,7 @@ def explode_postings(landed: DataFrame) -> DataFrame:
     return landed
 
 
-def flattened(raw: DataFrame) -> DataFrame:
+def flattened(raw: DataFrame, beside: Sequence[str] = ()) -> DataFrame:
     """Every leaf of a detail object as a column of its own."""
     sections = [
         F.col(f"jobAd.sections.{section}.{part}").alias(f"_{part}_{section}")
@@ -68,14 +70,15 @@ def flattened(raw: DataFrame) -> DataFrame:
         "id", "name", "releasedDate", "postingUrl", "applyUrl", "refNumber", "location.*",
         F.col("function.label").alias("_function"), F.col("department.label").alias("_department"),
         F.col("typeOfEmployment.label").alias("_employment"), F.col("experienceLevel.label").alias("_level"),
-        F.col("industry.label").alias("_industry"), F.col("language.code").alias("_language"), *sections,
+        F.col("industry.label").alias("_industry"), F.col("language.code").alias("_language"), *sections, *beside,
     )
 
 
-def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column) -> DataFrame:
+def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column, beside: Sequence[str] = ()) -> DataFrame:
+    """Postings in the common schema; columns of `raw` named in `beside` go along."""
     company_name = F.lit(company) if isinstance(company, str) else company
     stamp = F.lit(collected_at) if isinstance(collected_at, str) else collected_at
-    flat = flattened(raw)
+    flat = flattened(raw, [*beside, *([] if isinstance(company, str) else [company_name.alias("_company")])])
     titles = {f"_title_{section}": f"_title_{section}" for section in AD_SECTIONS}
     texts = {f"_text_{section}": f"_text_{section}" for section in AD_SECTIONS}
     fields = cleaned(flat, {
@@ -95,7 +98,7 @@ def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column)
         "_place", F.coalesce(blank_to_null("_full"), join_parts("_city", "_region", "country_code"))
     )
     return read.select(
-        company_name.alias("company"),
+        (company_name if isinstance(company, str) else F.col("_company")).alias("company"),
         "job_id",
         "job_title",
         F.col("_place").alias("location"),
@@ -118,4 +121,5 @@ def normalise(raw: DataFrame, company: str | Column, collected_at: str | Column)
         F.col("_function").alias("function"),
         "experience_level",
         F.col("_industry").alias("industry"),
+        *beside,
     )

@@ -1,7 +1,7 @@
 """Declared columns read from JSON values of unknown shape, leaf by leaf.
 
 A leaf that is not what it is declared to be reads as null and costs nothing else; list items that should be objects and are not
-are left out of a list, or kept as null places where the place counts.
+are left out of a list, or kept as null places where the place counts. Columns that folders name, such as company=Acme, go along.
 """
 
 from __future__ import annotations
@@ -51,11 +51,12 @@ def objects(spark: SparkSession, path: str, ddl: str, multi_line: bool) -> DataF
     """A row per object, from documents that are objects or lists of objects, with `ordinal`, its place in its document. Anything
     else stands in the corrupt column and has no other value."""
     whole = variant_documents(spark, path, multi_line)
+    beside = [name for name in whole.columns if name not in ("v", CORRUPT)]
     listed = F.coalesce(items_of(F.col("v")), F.array("v"))
-    items = whole.select(CORRUPT, F.posexplode(listed).alias("ordinal", "item"))
+    items = whole.select(CORRUPT, *beside, F.posexplode(listed).alias("ordinal", "item"))
     good = is_object(F.col("item"))
     text = F.coalesce(CORRUPT, F.when(~good, F.to_json("item")), F.when(~good, F.lit("null")))
-    return items.select(*fields_of(F.col("item"), ddl), "ordinal", text.alias(CORRUPT))
+    return items.select(*fields_of(F.col("item"), ddl), *beside, "ordinal", text.alias(CORRUPT))
 
 
 def envelopes(spark: SparkSession, path: str, items: str, ddl: str, multi_line: bool) -> DataFrame:
@@ -77,7 +78,8 @@ def envelopes(spark: SparkSession, path: str, items: str, ddl: str, multi_line:
         read.alias(items) if f.name == items else F.when(has_list, shaped(F.col("v"), f.dataType, f"$.{f.name}")).alias(f.name) for f in declared.fields
     ]
     text = F.when(~has_list, F.coalesce(F.col(CORRUPT), F.to_json("v"), F.lit("null")))
-    return whole.select(*columns, odd.alias("odd_items"), text.alias(CORRUPT))
+    beside = [name for name in whole.columns if name not in ("v", CORRUPT)]
+    return whole.select(*columns, *beside, odd.alias("odd_items"), text.alias(CORRUPT))
 
 
 def odd_items(landed: DataFrame) -> DataFrame:
