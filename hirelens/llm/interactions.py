@@ -10,9 +10,8 @@ below it (all, good, toxic). Its all-pass path, low edges from the root, tells t
 its levels, and the high edges on the way what each step removes. Orders are visited by swaps of adjacent levels, each of
 which rewrites the nodes of two levels in place; no order is counted anew from documents or masks.
 
-Scale. Texts are read once. Documents meet the minima of repeated texts only, in a many-to-one join with the documents on the left,
-where adaptive execution can split a text with a third of all rows. A part is reduced to at most 2^filters rows
-before it reaches its task.
+Scale. Texts are read once. The smallest id of a text is combined before its shuffle, and documents meet it by text and id, so a
+text with a third of all rows gathers nowhere. A part is reduced to at most 2^filters rows before it reaches its task.
 
 Defined cases: a null text is empty; a null part is the empty string; a null id fails no comparison of ids and repeats of one
 id with one text do not fail each other; a document without labels, or with null labels, is neither good nor toxic,
@@ -129,11 +128,13 @@ def audit(masks: dict[int, Counts], names: str) -> list[tuple]:
 
 
 def repeats_of_smaller_id(facts: DataFrame) -> DataFrame:
-    """Adds `repeated` to (doc_id, text_key, ...): whether any smaller id has the same text."""
-    first = facts.where("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-    first = first.where("_first < _last").select(F.col("text_key").alias("_key"), "_first")
-    joined = facts.join(first, facts["text_key"] == first["_key"], "left")
-    return joined.withColumn("repeated", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    """Adds `repeated` to (doc_id, text_key, ...): whether any smaller id has the same text.
+
+    A row is no repeat if it is the first of its text. Text and id together are the join key, so copies of a text do not meet.
+    """
+    first = facts.where("doc_id is not null").groupBy(F.col("text_key").alias("_key")).agg(F.min("doc_id").alias("_first"))
+    joined = facts.join(first, (facts["text_key"] == first["_key"]) & (facts["doc_id"] == first["_first"]), "left")
+    return joined.withColumn("repeated", F.col("doc_id").isNotNull() & F.col("_first").isNull()).drop("_key", "_first")
 
 
 def interactions(facts: DataFrame, failures: list[Column], names: str) -> DataFrame:
