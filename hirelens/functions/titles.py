@@ -4,23 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import (
-    BROAD_TITLE_TERMS, MOBILITY_TITLE_TERMS, ONBOARD_TITLE_TERMS, RESEARCH_TITLE_TERMS,
-)
+from ..fixed_values import BROAD_TITLE, MOBILITY_TITLE, ONBOARD_TITLE, RESEARCH_TITLE
 from .text import as_column
 
-# The broad filter matches inside words as well; the others match whole words.
-TITLE_PATTERNS = {
-    "broad": "(?iU)" + "|".join(BROAD_TITLE_TERMS),
-    "mobility": r"(?iU)\b(?:" + "|".join(MOBILITY_TITLE_TERMS) + r")\b",
-    "onboard": r"(?iU)\b(?:" + "|".join(ONBOARD_TITLE_TERMS) + r")\b",
-    "research": r"(?iU)\b(?:" + "|".join(RESEARCH_TITLE_TERMS) + r")\b",
-}
+TITLE_PATTERNS = {"broad": BROAD_TITLE, "mobility": MOBILITY_TITLE, "onboard": ONBOARD_TITLE, "research": RESEARCH_TITLE}
 
 
 def title_relevant(title: Column | str, variant: str) -> Column:
     """A missing title is not relevant."""
-    return F.coalesce(F.rlike(as_column(title), F.lit(TITLE_PATTERNS[variant])), F.lit(False))
+    return F.coalesce(F.rlike(as_column(title), F.lit("(?iU)" + TITLE_PATTERNS[variant])), F.lit(False))
 
 
 def workplace_from_flags(hybrid: Column | str, remote: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...fixed_values import AV_SIGNALS, DATASET_SIGNALS, SKILL_SYNONYMS, TAXONOMY_TERMS
-from ...functions import skills
+from ...functions import labels, skills
 from ...functions.responses import response_error, with_parsed
 from ...operators import classify as k, terms
 from .. import reports
@@ -59,8 +59,8 @@ DOCUMENT_TERMS = {
 @query(bridge_sql(DOCUMENT_TERMS, f"(SELECT doc_id, {sql_words('text')} AS w FROM documents)", "doc_id"))
 def document_topics(spark, folder):
     """The same classifier over whole documents, with its own terms."""
-    labels = k.labels_of(table(spark, folder, "documents", costly=True).select("doc_id", "text"), ["text"], "doc_id", DOCUMENT_TERMS)
-    return k.label_rows(labels, "doc_id").withColumn("matched_terms", F.array_join("matched_terms", ";"))
+    found = k.labels_of(table(spark, folder, "documents", costly=True).select("doc_id", "text"), ["text"], "doc_id", DOCUMENT_TERMS)
+    return k.label_rows(found, "doc_id").withColumn("matched_terms", F.array_join("matched_terms", ";"))
 
 
 # What the source says a part is for, as its department would.
@@ -184,3 +184,28 @@ def response_parse(spark, folder):
     )
     good, _ = reports.ingest_responses(responses, truth)
     return good.withColumn("skills", F.array_join("skills", ";"))
+
+
+@query(
+    "SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'Sensing' WHEN 1 THEN 'Localisation' WHEN 2 THEN 'Perception' WHEN 3 THEN 'Planning' WHEN 4 THEN 'Control' "
+    "WHEN 5 THEN 'System and Safety' WHEN 6 THEN 'Vehicle Interface' WHEN 7 THEN 'Mapping' END AS category, "
+    "CASE p_size % 7 WHEN 0 THEN 'AV Startup' WHEN 1 THEN 'AV Startup' WHEN 2 THEN 'Tier 1 Supplier' WHEN 3 THEN 'Tier 1 Supplier' WHEN 4 THEN 'OEM' WHEN 5 THEN 'Tech Giant' ELSE 'Other' END AS company_type FROM part"
+)
+def label_names(spark, folder):
+    """Categories of the browse taxonomy in version 2 names, and company types as their four-way labels."""
+    old = "array('Sensing', 'Localization', ' Perception', 'Planning', 'Control', 'System', 'Vehicle Interface', 'Map', 'Unknown')[p_size % 9]"
+    kind = "array('AV_Startup', 'AV_Tools', 'AV_Chip', 'Supplier', 'OEM', 'OEM_Tech', 'Other')[p_size % 7]"
+    rows = table(spark, folder, "part").selectExpr("p_partkey", f"{old} AS old", f"{kind} AS kind")
+    return rows.select("p_partkey", labels.taxonomy_2("old").alias("category"), labels.company_type_label("kind").alias("company_type"))
+
+
+@query(
+    "SELECT o_orderkey AS id, 'u' || o_orderkey AS absolute_url, o_orderpriority AS title_taxonomy, o_orderstatus AS functional_area, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ' again' END AS title_salary, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS salary_min FROM orders"
+)
+def board_classifications(spark, folder):
+    """Board classifications beside the salaries of the same posting, matched by id and page."""
+    orders = table(spark, folder, "orders")
+    labelled = orders.selectExpr("o_orderkey AS id", "'u' || o_orderkey AS absolute_url", "o_orderpriority AS title", "o_orderstatus AS functional_area")
+    paid = orders.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey AS id", "'u' || o_orderkey AS absolute_url", "o_orderpriority || ' again' AS title", "o_totalprice AS salary_min")
+    return reports.board_classification_report(labelled, paid)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..fixed_values import PLATFORM_HOSTS
 from ..schemas import GOLD_TREND, SILVER, conform
 from .landed import source_platform
-from .register_values import register_rows, source_rows
+from .register_values import REGISTER_ROWS, SOURCE_ROWS
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -79,7 +79,7 @@ def read_trend_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 def load_register(spark: SparkSession, root: str) -> DataFrame:
     """Full refresh of the company register."""
-    rows = spark.createDataFrame(register_rows(), SILVER["company"])
+    rows = spark.createDataFrame(REGISTER_ROWS, SILVER["company"])
     write_silver(rows, "company", root)
     return read_silver(spark, "company", root)
 
@@ -87,12 +87,13 @@ def load_register(spark: SparkSession, root: str) -> DataFrame:
 def load_source_register(spark: SparkSession, root: str) -> DataFrame:
     """Where each company's postings come from: class of source, risk, confidence, platform."""
     surveyed = spark.createDataFrame(
-        source_rows(), "name STRING, source_class STRING, access_risk STRING, confidence STRING"
+        SOURCE_ROWS, "name STRING, source_class STRING, access_risk STRING, confidence STRING"
     )
     companies = load_register(spark, root).select(
         "company_id", "name", "data_source_status",
         F.col("career_page_url").alias("endpoint"),
         source_platform("career_page_url", PLATFORM_HOSTS).alias("source_platform"),
     )
-    companies.join(surveyed, "name", "left").write.mode("overwrite").parquet(f"{root}/silver/source_register")
+    register = companies.join(surveyed, "name", "left")
+    _swapped_in(spark, f"{root}/silver/source_register", lambda staged: register.write.parquet(staged))
     return spark.read.parquet(f"{root}/silver/source_register")

@@ -10,7 +10,7 @@ from hirelens.fixed_values import REQUIRED_FIELDS
 from hirelens.operators.quality import validate_batch
 from hirelens.plans import maintenance
 from hirelens.sources import adapters, greenhouse, landed, lever, sinks, smartrecruiters, variants
-from hirelens.sources.register_values import register_rows
+from hirelens.sources.register_values import REGISTER_ROWS
 
 STAMP = "2026-08-11T01:00:00Z"
 LEVER_JOB = {
@@ -209,7 +209,7 @@ def test_responses_scan(spark, tmp_path):
 def test_register_full_refresh(spark, tmp_path):
     for _ in range(2):
         register = sinks.load_register(spark, str(tmp_path))
-    assert register.count() == len(register_rows()) == 41
+    assert register.count() == len(REGISTER_ROWS) == 41
     assert register.select("name").distinct().count() == 41
     platforms = register.select(landed.source_platform("career_page_url", {"greenhouse.io": "Greenhouse", "lever.co": "Lever"}).alias("p"))
     assert platforms.filter("p = 'Greenhouse'").count() == 11 and platforms.filter("p = 'Lever'").count() == 1
