@@ -28,7 +28,7 @@ def frame(spark, rows):
 def test_strict_validation(spark):
     quality.validate_batch(frame(spark, [posting(), posting(job_id="2")]))
     quality.validate_batch(frame(spark, [posting(), posting(company="Other")]))
-    with pytest.raises(ValueError, match="duplicate Example job id: 1"):
+    with pytest.raises(ValueError, match="duplicate Tram Works job id: 1"):
         quality.validate_batch(frame(spark, [posting(), posting()]))
     with pytest.raises(ValueError, match="missing: location, description"):
         quality.validate_batch(frame(spark, [posting(description="", location=None)]))
@@ -246,7 +246,7 @@ def test_responses_are_overridden_and_failures_kept(spark):
     posts = frame(spark, [posting(), posting(job_id="2")])
     good, failed = reports.ingest_responses(responses, posts)
     row = good.first()
-    assert (row["company"], row["title"], row["career_page_url"]) == ("Example", "Engineer", "https://example.com/jobs/1")
+    assert (row["company"], row["title"], row["career_page_url"]) == ("Tram Works", "Track Walker", "https://tram.example/1")
     assert [(r["job_id"], r["error"]) for r in failed.collect()] == [("2", "not JSON")]
 
 
