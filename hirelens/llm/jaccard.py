@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .frequency import count_classes, ordered, shingle_counts
 from .graph import components
-from .tokens import SHINGLE, blocks, mixed, shingles, words
+from .tokens import SHINGLE, blocks, give_back, mixed, shingles, slices, words
 from .work import broadcast_if_small, query, table, written
 
 LEAST, OF = 75, 100
@@ -59,7 +59,7 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, n
 def signatures(documents: DataFrame, size: int) -> DataFrame:
     """doc_id, _text, n_shingles and two sums that name the set."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = np.zeros((batch.num_rows, 3), np.int64)
             for i, own in shingle_sets(batch.column("text"), size):
                 sums = mixed(own).sum(dtype=np.uint64), mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
@@ -75,7 +75,7 @@ def prefixes(documents: DataFrame, classes: np.ndarray, size: int, least: int, o
     shared = documents.sparkSession.sparkContext.broadcast(classes)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy()
             keys, docs, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, own in shingle_sets(batch.column("text"), size):
@@ -206,7 +206,7 @@ def sets_in_groups(texts: DataFrame, members: DataFrame, key: list[str], size: i
     kinds = own.schema["_keys"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [found for _, found in shingle_sets(batch.column("text"), size)]
             columns = [batch.column("doc_id"), batch.column("_keys"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_keys", "n", "shingles"])
@@ -224,6 +224,8 @@ def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size:
 
     def leaf(rows: pa.Table) -> pa.Table:
         links = region_links(*_unpacked(rows), least, of)
+        if rows.num_rows > 1000:
+            give_back()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     def joined(members: DataFrame, key: list[str]) -> DataFrame:
@@ -279,7 +281,7 @@ def _block_pairs(rows: DataFrame, leaf_rows: int) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, least: int = LEAST, of: int = OF, size: int = SHINGLE, bucket_postings: int = 1 << 20, leaf_rows: int = 4096, leaf_shingles: int = 1 << 22,
+    documents: DataFrame, least: int = LEAST, of: int = OF, size: int = SHINGLE, bucket_postings: int = 1 << 18, leaf_rows: int = 4096, leaf_shingles: int = 1 << 20,
 ) -> DataFrame:
     """Per document: doc_id, _text (its hash), n_shingles, class_id (smallest doc_id with an equal set), component_id."""
     named = documents.select("doc_id", "text")
@@ -297,10 +299,12 @@ def near_duplicates(
     packed = prefixes(standing, classes, size, least, of, buckets)
 
     def grouped(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return group_members(rows, least, of, buckets)
+        yield from group_members(rows, least, of, buckets)
+        give_back()
 
     def kept(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return kept_members(rows, least, of)
+        yield from kept_members(rows, least, of)
+        give_back()
 
     members = packed.groupBy("bucket").applyInArrow(grouped, "lane long, " + ", ".join(f"{name} binary" for name in MEMBERSHIP))
     regions = written(members.groupBy("lane").applyInArrow(kept, "region long, doc_id long, n long"), "regions")

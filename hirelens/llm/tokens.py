@@ -8,13 +8,14 @@ every task. Distinct words share a hash with probability near 2^-64 for a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -22,7 +23,16 @@ _WEIGHT = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _WEIGHT[65:91] = _WEIGHT[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class _Powers(list):
+    """Powers of the base and of its inverse as far as a process has needed them; they do not travel with functions."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -30,6 +40,15 @@ NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. A Python worker lives on after its task, and would hold what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     values = values ^ (values >> np.uint64(32))
@@ -41,6 +60,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _powers:
+        _powers.extend([np.ones(1, np.uint64)] * 2)
     if len(_powers[0]) < size:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(max(size, BLOCK_BYTES + 1), base, np.uint64)
@@ -49,6 +70,13 @@ def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut into smaller ones without a copy, for functions whose output and scratch arrays outgrow their input."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 @dataclass
 class Block:
     """Texts `first` to `first + len(self)` of a column: their bytes and where each begins."""
@@ -91,6 +119,7 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[Block]:
         last = min(max(last, first + 1), len(column))
         yield Block(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
+    give_back()
 
 
 @dataclass

@@ -7,12 +7,17 @@ other session is refused, because executors could not see one.
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# What tasks run travels with the job, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
