@@ -218,7 +218,7 @@ def test_aligned_lines_go_from_the_later_document_only(documents):
         **{50 + i: "copy\nof copy" for i in range(30)},
         90: None, 91: "", 92: "\n\n",
     }
-    rows = {r["doc_id"]: r for r in linededup.dedup_lines(documents(texts), rare=3).collect()}
+    rows = {r["doc_id"]: r for r in linededup.dedup_lines(documents(texts)).collect()}
     assert rows.keys() == texts.keys()
     assert rows[1]["text"] == texts[1] and rows[4]["text"] == texts[4]
     assert rows[2]["text"] == "first\nmiddle\nlast" and rows[2]["removed"] == [1, 2, 3, 5, 6, 7] and rows[2]["n_partners"] == 1
@@ -368,3 +368,74 @@ def test_the_filter_holds_all_entries_and_few_others(spark):
     assert urls.may_hold(blocks, other["k"].to_numpy(), other["b"].to_numpy()).mean() < 0.02
 
 
+
+
+def test_every_shared_run_of_fifty_words_is_in_a_passage(documents, prose):
+    rng = random.Random(11)
+    texts = {i: prose(3000 + i, rng.choice([0, 20, 70, 200]), 100_000).split() for i in range(40)}
+    for k in range(9):
+        passage = prose(4000 + k, rng.choice([50, 51, 64, 130]), 100_000).split()
+        for i in rng.sample(range(40), (2, 3, 20)[k % 3]):
+            at = rng.choice([0, len(texts[i])])
+            # Words of its own part the passages of a document, so that no two make a longer one.
+            texts[i] = texts[i][:at] + [f"x{i}"] + passage + [f"y{i}"] + texts[i][at:]
+    rows = substrings.near_passages(documents({i: " ".join(w) for i, w in texts.items()}), bucket_windows=300).collect()
+    spans: dict[int, list] = {i: [] for i in texts}
+    for r in rows:
+        spans[r["doc_id"]].append((r["begin"], r["end"]))
+        spans[r["other_id"]].append((r["other_begin"], r["other_end"]))
+        assert r["similarity"] >= 0.75 and r["other_id"] < r["doc_id"]
+    held: dict[tuple, set] = {}
+    for i, w in texts.items():
+        for at in range(len(w) - 49):
+            held.setdefault(tuple(w[at : at + 50]), set()).add(i)
+    for i, w in texts.items():
+        for at in range(len(w) - 49):
+            if len(held[tuple(w[at : at + 50])]) > 1:
+                assert any(b <= at and at + 50 <= e for b, e in spans[i])
+
+
+def test_many_holders_of_a_short_line_cost_little(documents, prose):
+    texts = {i: f"{prose(5000 + i, 60)} {prose(1, 40)} {prose(90_000 + i, 60)}" for i in range(600)}
+    texts |= {1000 + i: f"{prose(8000 + i, 40)} {prose(1, 40)} {prose(2, 40)} {prose(9000 + i, 40)}" for i in range(30)}
+    rows = substrings.near_passages(documents(texts)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(1001, 1030)) and {r["other_id"] for r in rows} == {1000}
+
+
+@pytest.mark.parametrize("holders", [4, 100, 400])
+def test_recall_of_passages_with_edits_of_their_own(documents, prose, holders):
+    """Substitutions, an insertion or a deletion in each copy; a copy counts as found if any row links it."""
+    rng = random.Random(holders)
+    texts = {}
+    for i in range(holders):
+        words = prose(1, 90).split()
+        for at in rng.sample(range(15, 75), 1):
+            words[at : at + 1] = rng.choice([[f"n{i}"], [words[at], f"n{i}"], []])
+        texts[i] = " ".join([prose(10_000 + i, 60), *words, prose(20_000 + i, 60)])
+    rows = substrings.near_passages(documents(texts)).collect()
+    part = {i: i for i in texts}
+    for r in rows:
+        old, new = part[r["doc_id"]], part[r["other_id"]]
+        if old != new:
+            part = {d: new if p == old else p for d, p in part.items()}
+    largest = max(list(part.values()).count(p) for p in set(part.values()))
+    assert largest >= 0.9 * holders
+
+
+def test_deleted_lines_are_those_that_plain_loops_delete(documents, prose):
+    rng = random.Random(6)
+    lines = [prose(k, 6) for k in range(25)] + [""]
+    texts = {i: "\n".join(rng.choice(lines) if rng.random() < 0.6 else prose(1000 * i + k, 5) for k in range(rng.randrange(1, 14))) for i in range(40)}
+    frame = documents(texts)
+    hashed = {r["doc_id"]: r["h"] for r in frame.select("doc_id", linededup.line_hashes(frame["text"]).alias("h")).collect()}
+    owner: dict[int, int] = {}
+    for i in sorted(hashed):
+        for line in hashed[i]:
+            owner.setdefault(line, i)
+    want = {}
+    for i, own in hashed.items():
+        gone: set[int] = set()
+        for first in {owner[line] for line in own if line != linededup.BLANK} - {i}:
+            gone |= set(linededup.common_blocks(hashed[first], own, {linededup.BLANK}))
+        want[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in gone)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame).collect()} == want

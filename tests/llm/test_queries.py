@@ -1,10 +1,12 @@
 """Registered queries against their SQL, and the pipeline stage by stage."""
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import TABLES, row_bag
@@ -63,3 +65,27 @@ def test_one_document_of_each_group_stays(spark, documents, prose):
     kept = corpus_pipeline.one_of_each_group(spark, documents(texts), FOLDER).collect()
     parts = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(documents(texts)).collect()}
     assert sorted(r["doc_id"] for r in kept) == sorted(d for d, c in parts.items() if d == c) == [1, 4, 5, 6, 7]
+
+
+@needs_tables
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark):
+    docs = table(spark, FOLDER, "documents")
+    rng = random.Random(1)
+    odd = {
+        -1: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), -2: "xkcd qqq zzzz " * 9,
+        -3: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        -4: "Все люди рождаются свободными и равными в своем достоинстве и правах.", -5: "0x3f99 aab7 deadbeef cafe 1234 5678 " * 8,
+    }
+    strange = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in odd.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.select(*strange.columns).unionByName(strange), FOLDER).collect()}
+    assert not kept & set(odd)
+    lettered = {r["doc_id"] for r in docs.where(r"text rlike '\\p{L}' and n_chars >= 40").collect()}
+    assert len(lettered - kept) <= 0.01 * len(lettered)
+
+
+@needs_tables
+def test_contaminated_documents_go_and_others_stay(spark, documents, prose):
+    item = table(spark, FOLDER, "benchmark").where("text is not null").orderBy(F.desc(F.length("text"))).first()["text"]
+    texts = {1: f"{prose(1, 20)} {item} {prose(2, 20)}", 2: prose(3, 200), 3: item, 4: None, 5: ""}
+    kept = {r["doc_id"] for r in corpus_pipeline.without_benchmark_passages(spark, documents(texts), FOLDER).collect()}
+    assert kept == {2, 4, 5}
