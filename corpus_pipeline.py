@@ -13,14 +13,20 @@ from hirelens.llm import decontamination, jaccard, language, linededup, mixing
 from hirelens.llm.work import broadcast_if_small, table, written
 
 
+#: How far a text's code may be longer than usual in its language (deviations of one byte, length allowed for). Texts of a learned
+#: language lie near 0 and below 1; random letters, other languages and dumps of digits lie at 3 or more.
+MOST_EXCESS = 1.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language. Texts that are null or without letters go, and those that no language fits better
-    than another (posterior of half or less); with no stated language to learn from, only the former."""
+    """Documents with a recognised language. Texts that are null or without letters go, those that no language fits better than
+    another (posterior of half or less), and those that even the best one codes badly (`MOST_EXCESS`): gibberish and
+    languages not learned. With no stated language to learn from, only the first go."""
     model = language.learn(docs)
     judged = language.identify(docs, model)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0.5)).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0.5) & (F.col("excess") <= MOST_EXCESS)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +73,8 @@ STAGES = [
     ("mixing", mixed_sources),
 ]
 
-#: The language, alignment and block decisions cannot be said in SQL; the tests hold each stage against brute force.
+#: The language, alignment and block decisions cannot be said in SQL. The tests hold line dedup, near duplicates and benchmark passages
+#: against brute force, the mix against its shares, and the language stage against clean, foreign and random texts.
 ORACLE_SQL = None
 
 
