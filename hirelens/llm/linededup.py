@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .tokens import give_back
 from .work import query, table, written
 
 
@@ -99,15 +100,22 @@ def line_hashes(text):
     return F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike(r"^\s*$"), F.lit(BLANK).cast("long")).otherwise(F.xxhash64(line)))
 
 
+def _sliced(*columns: pa.Array, rows: int = 1_000) -> Iterator[tuple]:
+    """Rows of several columns as Python values, so many at a time."""
+    for first in range(0, len(columns[0]), rows):
+        yield from zip(*(column.slice(first, rows).to_pylist() for column in columns))
+    give_back()
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _aligned(firsts: pa.Array, laters: pa.Array) -> pa.Array:
-    return pa.array([common_blocks(a, b, {BLANK}) for a, b in zip(firsts.to_pylist(), laters.to_pylist())], pa.list_(pa.int32()))
+    return pa.array([common_blocks(a, b, {BLANK}) for a, b in _sliced(firsts, laters)], pa.list_(pa.int32()))
 
 
 @F.arrow_udf(T.StringType())
 def _without(texts: pa.Array, removed: pa.Array) -> pa.Array:
     out = []
-    for text, gone in zip(texts.to_pylist(), removed.to_pylist()):
+    for text, gone in _sliced(texts, removed):
         if text is None or gone is None:
             out.append(None)
             continue
@@ -132,8 +140,8 @@ def removable_lines(documents: DataFrame) -> DataFrame:
     return found.select(F.col("_document.doc_id").alias("_doc"), F.col("_document._text").alias("_text"), "n_partners", "removed")
 
 
-def dedup_lines(documents: DataFrame, rare: int = 20) -> DataFrame:
-    """The given rows with `text` after deletion, and n_lines, n_removed, n_partners, removed added. `rare` has no effect any more."""
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """The given rows with `text` after deletion, and n_lines, n_removed, n_partners, removed added."""
     added = ["n_lines", "n_removed", "n_partners", "removed"]
     kept = documents.drop(*added)
     removable = removable_lines(documents).withColumnRenamed("_text", "_cut_text")
