@@ -211,15 +211,16 @@ def top(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k greatest inner products of floor(scale x component), for each query."""
     spark = vectors.sparkSession
-    data = quantised(vectors, scale)
+    data = written(quantised(vectors, scale), "quants")  # read again by the count and by the index
     sizes = data.groupBy(F.size("quants").alias("size")).count()
     most = sizes.orderBy(F.desc("count"), "size").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = most["size"]
     asked = quantised(queries, scale).where(F.size("quants") == width).groupBy("vec_id").agg(F.min("quants").alias("quants"))
+    asked = written(asked, "queries")
     n_blocks = max(1, -(-asked.count() // query_rows))
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
     parts = max(spark.sparkContext.defaultParallelism, -(-most["count"] // task_rows))
     shards = written(index(data.where(F.size("quants") == width).repartition(parts), slice_bits, shard_rows), "shards")
     path = f"{shared_folder(spark)}/llm/top-{uuid.uuid4().hex}"
