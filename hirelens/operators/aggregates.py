@@ -179,3 +179,15 @@ def comparison(pairs: DataFrame, row: str, column: str, key: str, columns: Seque
     unique = pairs.filter(F.col(column).isin(*columns)).select(row, column, key).distinct()
     wide = unique.groupBy(row).pivot(column, list(columns)).agg(F.count(F.lit(1)))
     return wide.fillna(0, subset=list(columns))
+
+
+def listed_comparison(lists: DataFrame, items: str, row: str, places: DataFrame, column: str, key: str) -> DataFrame:
+    """`comparison` in long form, of rows (key, items) with a list each and of places (key, column).
+
+    The lists of a posting, and its places, become one each by its key before they meet. So items are not copied to a row each until all
+    that is left to do is a count, which combines before its shuffle.
+    """
+    own = lists.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(items))).alias("_items"))
+    held = places.groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct(column)).alias("_places"))
+    pairs = own.join(held, F.col(key) == F.col("_key")).select(F.explode("_items").alias(row), "_places").select(row, F.inline("_places"))
+    return pairs.groupBy(row, column).agg(F.count(F.lit(1)).alias("n_postings"))

@@ -62,9 +62,10 @@ def skill_company_matrix(spark, folder):
 
 @query(f"SELECT skill, n_name AS location, count(DISTINCT l_orderkey) AS n_postings FROM {SKILLS_SQL} JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def skill_company_long(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", F.split("p_name", " ").alias("skills"))
+    lines = table(spark, folder, "lineitem").join(parts, F.expr("l_partkey = p_partkey")).select("l_orderkey", "skills")
     places = located(spark, folder).select(F.col("o_orderkey").alias("l_orderkey"), "location")
-    pairs = posting_skills(spark, folder).join(places, "l_orderkey")
-    return a.comparison(pairs, "skill", "location", "l_orderkey")
+    return a.listed_comparison(lines, "skills", "skill", places, "location", "l_orderkey")
 
 
 @query(
