@@ -8,10 +8,11 @@ with nulls in place of the rows that stayed behind.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
@@ -77,22 +78,29 @@ def markup_text(text: str, drop_script: bool) -> str:
     return unescape("".join(reader.pieces))
 
 
-def map_texts(texts: pd.Series, change) -> pd.Series:
-    return texts.map(change, na_action="ignore") if texts.notna().any() else texts
+def map_texts(texts: pa.Array, change: Callable[[str], str], rows: int = 200) -> pa.Array:
+    """The changed texts, so many at a time: of a batch only these are Python strings at once."""
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), pa.string())
+    parts = [
+        pa.array([None if text is None else change(text) for text in texts.slice(first, rows).to_pylist()], pa.string())
+        for first in range(0, len(texts), rows)
+    ]
+    return pa.concat_arrays(parts)
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _unescape(texts: pa.Array) -> pa.Array:
     return map_texts(texts, unescape)
 
 
-@F.pandas_udf(StringType())
-def _markup_keep(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _markup_keep(texts: pa.Array) -> pa.Array:
     return map_texts(texts, lambda text: markup_text(text, False))
 
 
-@F.pandas_udf(StringType())
-def _markup_drop(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _markup_drop(texts: pa.Array) -> pa.Array:
     return map_texts(texts, lambda text: markup_text(text, True))
 
 
