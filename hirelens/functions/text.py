@@ -24,6 +24,11 @@ BLANK_RUN = r" [ \t]+|\t[ \t]*"
 LINE_BREAKS = rf"(?U)[{BLANK}&&[^\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{{2028}}\x{{2029}}]]*{LINE_END}{BLANK}*"
 # One look per blank decides whether there is anything to tidy.
 UNTIDY = rf"(?U)(?={BLANK})(?:\t|{LINE_END}|  |(?<![^{MARKS}]){BLANK}|{BLANK}(?![^{MARKS}]))"
+# The same for texts of ASCII characters only, without the Unicode classes, which cost several times as much per character.
+ASCII_BLANK, ASCII_LINE_END = r"[\t-\r\x1c-\x20]", r"[\n-\r\x1c-\x1e]"
+ASCII_EDGE = rf"(?={ASCII_BLANK})(?:(?<![^{MARKS}]){ASCII_BLANK}+|{ASCII_BLANK}++(?![^{MARKS}]))"
+ASCII_LINE_BREAKS = rf"[\t\x1f ]*{ASCII_LINE_END}{ASCII_BLANK}*"
+ASCII_UNTIDY = rf"(?={ASCII_BLANK})(?:\t|{ASCII_LINE_END}|  |(?<![^{MARKS}]){ASCII_BLANK}|{ASCII_BLANK}(?![^{MARKS}]))"
 
 
 def as_column(value: Column | str) -> Column:
@@ -41,8 +46,13 @@ def tidy_lines(text: Column | str) -> Column:
     """
     body = as_column(text)
     spaced = F.regexp_replace(body, BLANK_RUN, " ")
-    joined = F.regexp_replace(spaced, LINE_BREAKS, "\n")
-    return F.when(F.rlike(body, F.lit(UNTIDY)), F.regexp_replace(joined, EDGE, "")).otherwise(body)
+
+    def tidied(untidy: str, line_breaks: str, edge: str) -> Column:
+        joined = F.regexp_replace(spaced, line_breaks, "\n")
+        return F.when(F.rlike(body, F.lit(untidy)), F.regexp_replace(joined, edge, "")).otherwise(body)
+
+    is_ascii = F.octet_length(body) == F.length(body)
+    return F.when(is_ascii, tidied(ASCII_UNTIDY, ASCII_LINE_BREAKS, ASCII_EDGE)).otherwise(tidied(UNTIDY, LINE_BREAKS, EDGE))
 
 
 def clean_text(value: Column | str) -> Column:
@@ -88,11 +98,15 @@ def html_texts(table: DataFrame, fields: Mapping[str, Column | str], drop_script
     """
     names = list(fields)
     raw = table.withColumns({name: as_column(value).cast("string") for name, value in fields.items()})
-    decoded = raw.withColumns({f"_d_{n}": decode_common(F.col(n), DECODING_PASSES) for n in names})
+    decoded = raw.withColumns({f"_d_{n}": decode_common(F.col(n)) for n in names})
+    # A pass for itself each, so that texts without an ampersand left are not searched for entities again.
+    for _ in range(DECODING_PASSES - 1):
+        decoded = decoded.withColumns({f"_d_{n}": decode_common(F.col(f"_d_{n}")) for n in names})
     sorted_out = decoded.withColumns({f"_odd_{n}": F.when(is_unusual(F.col(n), F.col(f"_d_{n}")), F.col(n)) for n in names})
     bare = sorted_out.withColumns({f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names})
-    read = bare.withColumns({
-        n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script), decode_common(F.col(f"_d_{n}"), 2))
+    once = bare.withColumns({f"_d_{n}": decode_common(F.col(f"_d_{n}")) for n in names})
+    read = once.withColumns({
+        n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script), decode_common(F.col(f"_d_{n}")))
         for n in names
     }).drop(*(f"_odd_{n}" for n in names), *(f"_d_{n}" for n in names))
     return read.withColumns({n: F.coalesce(tidy_lines(n), F.lit("")) for n in names})

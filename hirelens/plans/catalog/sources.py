@@ -88,6 +88,8 @@ GREENHOUSE_SQL = (
 def board_envelopes(spark, folder):
     """Landed envelopes of at most fifty jobs with neighbouring ids; some totals are off by one."""
     jobs = joined(spark, folder).selectExpr("o_orderkey - o_orderkey % 50 AS board", f"{GREENHOUSE_JOB} AS job")
+    # The work on a job is large for its bytes: a number of partitions that is asked for is not merged into a few large ones.
+    jobs = jobs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "board")
     return jobs.groupBy("board").agg(F.collect_list("job").alias("jobs")).selectExpr(
         "board", "jobs",
         "named_struct('total', CAST(size(jobs) + CASE WHEN board % 500 = 0 THEN 1 ELSE 0 END AS BIGINT)) AS meta",
