@@ -36,17 +36,29 @@ def _faults(rows: DataFrame, kind: int, place: Column | str, text: Column) -> Da
     return rows.select("company", F.lit(kind).alias("kind"), (F.lit(0) if place is None else place).cast("bigint").alias("place"), text.alias("error"))
 
 
+def _reading_faults(raw: DataFrame) -> DataFrame:
+    """What `_faults` gives for payloads and items that cannot be read and for wrong totals, in one scan of the landings."""
+
+    def fault(kind: int, place: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), place.cast("bigint").alias("place"), text.alias("error"))
+
+    unreadable = F.concat(F.lit("not the payload that was expected: "), F.substring(CORRUPT, 1, 80))
+    found = F.when(F.col(CORRUPT).isNotNull(), F.array(fault(UNREADABLE, F.lit(0), unreadable)))
+    if "odd_items" in raw.columns:
+        odd = F.transform("odd_items", lambda item: fault(ODD_ITEM, item["place"], F.concat(F.lit("item "), item["place"] + 1, F.lit(" is no object"))))
+        declared, held = F.col("meta.total"), F.coalesce(F.array_size("jobs"), F.lit(0))
+        total = fault(WRONG_TOTAL, F.lit(0), F.concat(declared, F.lit(" postings declared, "), held, F.lit(" held")))
+        wrong = F.when(declared != held, F.array(total))
+        none = F.array().cast("array<struct<kind:int,place:bigint,error:string>>")
+        found = F.coalesce(found, F.concat(F.coalesce(odd, none), F.coalesce(wrong, none)))
+    return raw.select("company", found.alias("_found")).select("company", F.inline("_found"))
+
+
 def _platform(spark: SparkSession, root: str, ats: str, run: str, collected_at: str, multi_line: bool) -> tuple[DataFrame, list[DataFrame]]:
     """Normalised postings of a platform's companies with their faults in reading."""
     raw = READERS[ats](spark, f"{root}/ats={ats}", multi_line).filter(F.col("run") == run)
-    good, bad = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), raw.filter(F.col(CORRUPT).isNotNull())
-    faults = [_faults(bad, UNREADABLE, None, F.concat(F.lit("not the payload that was expected: "), F.substring(CORRUPT, 1, 80)))]
-    if "odd_items" in raw.columns:
-        odd = good.select("company", F.inline("odd_items"))
-        faults.append(_faults(odd, ODD_ITEM, F.col("place"), F.concat(F.lit("item "), F.col("place") + 1, F.lit(" is no object"))))
-    if ats == greenhouse.ATS:
-        wrong = greenhouse.wrong_totals(good, "company")
-        faults.append(_faults(wrong, WRONG_TOTAL, None, F.concat(F.col("declared"), F.lit(" postings declared, "), F.col("held"), F.lit(" held"))))
+    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    faults = [_reading_faults(raw)]
     adapter = adapters.ADAPTERS[ats]
     postings = adapter.normalise(adapter.explode(good), F.col("company"), F.lit(collected_at), ("run", "ordinal"))
     whole = [F.col(f.name) if f.name in postings.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(POSTING)]
