@@ -7,9 +7,11 @@ with nulls in place of the rows that stayed behind.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,6 +26,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DECODING_PASSES = 3
 
+# A name as `unescape` looks for it, and what stands for an ampersand that is to stay: no text holds half a surrogate pair.
+NAMED_ENTITY = re.compile(r"&([^\t\n\f <&#;]{1,32};?)")
+KEPT_AMPERSAND = "\ud800"
+
 # Entities decoded in the JVM; the ampersand comes last, so a pass never decodes its own output.
 COMMON_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&",
@@ -63,19 +69,36 @@ class TextOfMarkup(HTMLParser):
             self.pieces.append(data)
 
 
-def decode_until_stable(text: str) -> str:
+def without_bare_entities(text: str, bare: tuple[str, ...] | None) -> str:
+    """The text with the ampersands marked that begin a name without a semicolon, unless the name begins with one of `bare`.
+    None: HTML's own list, so nothing is marked."""
+    if bare is None or "&" not in text:
+        return text
+
+    def marked(found: re.Match) -> str:
+        name = found[1]
+        return found[0] if name.startswith(bare) or (name in html5 and name.endswith(";")) else KEPT_AMPERSAND + name
+
+    return NAMED_ENTITY.sub(marked, text)
+
+
+def decode_once(text: str, bare: tuple[str, ...] | None = None) -> str:
+    return unescape(without_bare_entities(text, bare)).replace(KEPT_AMPERSAND, "&")
+
+
+def decode_until_stable(text: str, bare: tuple[str, ...] | None = None) -> str:
     for _ in range(DECODING_PASSES):
-        before, text = text, unescape(text)
+        before, text = text, decode_once(text, bare)
         if text == before:
             break
     return text
 
 
-def markup_text(text: str, drop_script: bool) -> str:
+def markup_text(text: str, drop_script: bool, bare: tuple[str, ...] | None = None) -> str:
     reader = TextOfMarkup(drop_script)
-    reader.feed(decode_until_stable(text))
+    reader.feed(without_bare_entities(decode_until_stable(text, bare), bare))
     reader.close()
-    return unescape("".join(reader.pieces))
+    return decode_once("".join(reader.pieces).replace(KEPT_AMPERSAND, "&"), bare)
 
 
 def map_texts(texts: pa.Array, change: Callable[[str], str], rows: int = 200) -> pa.Array:
@@ -94,16 +117,6 @@ def _unescape(texts: pa.Array) -> pa.Array:
     return map_texts(texts, unescape)
 
 
-@F.arrow_udf(StringType())
-def _markup_keep(texts: pa.Array) -> pa.Array:
-    return map_texts(texts, lambda text: markup_text(text, False))
-
-
-@F.arrow_udf(StringType())
-def _markup_drop(texts: pa.Array) -> pa.Array:
-    return map_texts(texts, lambda text: markup_text(text, True))
-
-
 def decode_common(text: Column, passes: int = 1) -> Column:
     decoded = text
     for _ in range(passes):
@@ -131,6 +144,12 @@ def without_plain_tags(decoded: Column) -> Column:
     return F.when(F.contains(decoded, F.lit("<")), bare).otherwise(decoded)
 
 
-def parsed_markup(text: Column, drop_script: bool = False) -> Column:
-    """Python's reading of a text: decoded until stable, parsed, decoded once more."""
-    return (_markup_drop if drop_script else _markup_keep)(text)
+def parsed_markup(text: Column, drop_script: bool = False, bare: tuple[str, ...] | None = None) -> Column:
+    """Python's reading of a text: decoded until stable, parsed, decoded once more. `bare` are the entities that are read
+    without their semicolon as well; None: those that HTML reads so."""
+
+    @F.arrow_udf(StringType())
+    def _markup(texts: pa.Array) -> pa.Array:
+        return map_texts(texts, lambda one: markup_text(one, drop_script, bare))
+
+    return _markup(text)

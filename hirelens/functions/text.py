@@ -90,8 +90,10 @@ def cleaned(table: DataFrame, fields: Mapping[str, Column | str]) -> DataFrame:
     return split.withColumns({name: F.col("_parts")[i] for i, name in enumerate(fields)}).drop("_parts")
 
 
-def html_texts(table: DataFrame, fields: Mapping[str, Column | str], drop_script: bool = False) -> DataFrame:
-    """Add a column of readable text per (up to three times escaped) HTML field.
+def html_texts(
+    table: DataFrame, fields: Mapping[str, Column | str], drop_script: bool = False, bare: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """Add a column of readable text per (up to three times escaped) HTML field. `bare`: see `parsed_markup`.
 
     The steps are plain projections, each read more than once by the next, which the optimiser does not merge; so no text is
     decoded or scanned twice, and a query that leaves a text out does not read it.
@@ -103,10 +105,10 @@ def html_texts(table: DataFrame, fields: Mapping[str, Column | str], drop_script
     for _ in range(DECODING_PASSES - 1):
         decoded = decoded.withColumns({f"_d_{n}": decode_common(F.col(f"_d_{n}")) for n in names})
     sorted_out = decoded.withColumns({f"_odd_{n}": F.when(is_unusual(F.col(n), F.col(f"_d_{n}")), F.col(n)) for n in names})
-    bare = sorted_out.withColumns({f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names})
-    once = bare.withColumns({f"_d_{n}": decode_common(F.col(f"_d_{n}")) for n in names})
+    tagless = sorted_out.withColumns({f"_d_{n}": without_plain_tags(F.col(f"_d_{n}")) for n in names})
+    once = tagless.withColumns({f"_d_{n}": decode_common(F.col(f"_d_{n}")) for n in names})
     read = once.withColumns({
-        n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script), decode_common(F.col(f"_d_{n}")))
+        n: F.coalesce(parsed_markup(F.col(f"_odd_{n}"), drop_script, bare), decode_common(F.col(f"_d_{n}")))
         for n in names
     }).drop(*(f"_odd_{n}" for n in names), *(f"_d_{n}" for n in names))
     return read.withColumns({n: F.coalesce(tidy_lines(n), F.lit("")) for n in names})
