@@ -7,9 +7,10 @@ the similarities of disjoint sets to one pivot sum to 1 at most, a pivot tells o
 the first regions come from the documents that a pivot shares something with: in the order from rare
 to common, two sets within the threshold share e of their first n - ceil(t n) + e shingles, where e is the smaller of their
 1 + n / 8. Documents that hold such a shingle, and whose sizes chain within the threshold, form a group; its smallest
-member is the pivot, and all groups of one pivot are its region. Of the regions that two linked documents share, r at most,
-one holds e / r of their common shingles: a document stays in a region only if it has so many there for its
-own e and r. That keeps every link and drops the regions that a chance shingle or a short passage led to.
+member is the pivot, and all groups of one pivot are its region. If two linked documents share c shingles at most in any region,
+a document's regions hold c or, where it has fewer there, these at most; together that must come to its own e. A document
+stays in a region only if its count there is such a c. That keeps every link and drops the regions that a chance shingle or a short
+passage led to.
 
 Inside a region distances to the pivot are exact. A document within the threshold is linked to it and need not be a
 pivot itself; the others become pivots in turn. A pair of which neither was a pivot can only link two
@@ -19,7 +20,9 @@ cost one pass each, not one for each pair.
 
 Regions over `leaf_rows` documents or `leaf_shingles` shingles are first split: their documents are dealt over tasks
 with a copy of the pivot, and those not linked to it, with the linked ones inside the window, form the next,
-smaller region. If a region does not shrink by a tenth, its blocks meet in pairs, one task each.
+smaller region. If a region stays large and does not shrink, in documents or in shingles, by a tenth (by half, if it makes few
+blocks), its blocks meet in pairs, one task each. So the rounds grow with the logarithm of a region's size. The first round keeps
+the texts of these documents, and later ones read no others.
 
 Defined cases: a null, empty or wordless text has no shingle and no links; fewer than five words are one shingle;
 rows with a null id have a null component; rows that repeat id and text are alike; different texts under one id
@@ -41,6 +44,8 @@ from .work import broadcast_if_small, query, table, written
 
 LEAST, OF = 75, 100
 EXTRA = 8
+#: Blocks of a large region of which all pairs cost less than the rounds that would make it smaller bit by bit.
+FEW_BLOCKS = 16
 
 
 def extra(n):
@@ -135,12 +140,16 @@ def kept_members(batches: Iterator[pa.RecordBatch], least: int, of: int) -> Iter
     region, doc, size, shared = map(np.concatenate, parts)
     order = np.lexsort((region, doc))
     region, doc, size, shared = (column[order] for column in (region, doc, size, shared))
-    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-    starts = np.flatnonzero(new_doc | np.concatenate([[True], region[1:] != region[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (region[1:] != region[:-1])])[: len(doc)])
     region, doc, size, shared = region[starts], doc[starts], size[starts], np.add.reduceat(shared, starts)
-    number = np.cumsum(new_doc[starts]) - 1
-    needed = extra(-(-size * least // of))
-    keep = shared * np.bincount(number)[number] >= needed
+    # From each document's smallest count to its largest: what the regions hold if none holds more than this one.
+    order = np.lexsort((shared, doc))
+    region, doc, size, shared = (column[order] for column in (region, doc, size, shared))
+    firsts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
+    ends = np.append(firsts[1:], len(doc))
+    below = np.cumsum(shared) - shared
+    most = below - np.repeat(below[firsts], ends - firsts) + (np.repeat(ends, ends - firsts) - np.arange(len(doc))) * shared
+    keep = most >= extra(-(-size * least // of))
     yield pa.RecordBatch.from_arrays([pa.array(column[keep]) for column in (region, doc, size)], ["region", "doc_id", "n"])
 
 
@@ -241,6 +250,7 @@ def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size:
             linked.append(bool(near(c, len(p), len(x), least, of)))
         return pa.StructArray.from_arrays([pa.array(common, pa.int64()), pa.array(linked)], ["common", "linked"])
 
+    narrowed = False
     while True:
         weights = open_.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"))
         weights = written(weights.where("rows > 1"), "region_sizes")
@@ -250,6 +260,11 @@ def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size:
         if weights.where(large).isEmpty():
             return found
         oversize = open_.join(weights.where(large), "region")
+        if not narrowed:
+            # The documents of large regions are few; the rounds and block pairs below read their texts only.
+            wanted = written(oversize.select(F.col("doc_id").alias("_wanted")).distinct(), "wanted")
+            texts = written(texts.join(broadcast_if_small(wanted, broadcast_rows), F.col("doc_id") == F.col("_wanted")).drop("_wanted"), "region_texts")
+            narrowed = True
         sets = written(sets_in_groups(texts, oversize.select("region", "doc_id"), ["region"], size, broadcast_rows), "region_sets")
         heads = oversize.select("region", "pivot").distinct().withColumnsRenamed({"region": "_region"})
         heads = heads.join(sets, (F.col("_region") == F.col("region")) & (F.col("pivot") == F.col("doc_id")))
@@ -265,17 +280,20 @@ def region_join(regions: DataFrame, texts: DataFrame, least: int, of: int, size:
         # Linked documents stay only inside the window: no nearer to the pivot than the closest open one by the threshold.
         rest = measured.join(nearest, "region").where(~F.col("linked") | ((F.col("d") >= F.col("near") - step) & (F.col("near") <= 2 * step)))
         rest = written(rest.where("doc_id <> pivot").select("region", F.col("next").alias("pivot"), "doc_id", "n"), "regions_left")
-        now = rest.groupBy("region").agg(F.count(F.lit(1)).alias("now")).join(weights.select("region", "rows"), "region")
-        kept = rest.join(now, "region")
-        stuck = (F.col("now") > 0.9 * F.col("rows")) & (F.col("now") > leaf_rows // 2)
-        found = found.union(joined(_block_pairs(kept.where(stuck), leaf_rows), ["region", "i", "j"]))
-        open_ = written(kept.where(~stuck).select("region", "pivot", "doc_id", "n"), "regions")
+        now = rest.groupBy("region").agg(F.count(F.lit(1)).alias("now"), F.sum("n").alias("now_weight")).join(weights, "region")
+        n_blocks = F.ceil(2 * F.greatest(F.col("now") / leaf_rows, F.col("now_weight") / leaf_shingles))
+        kept = rest.join(now.withColumn("n_blocks", n_blocks), "region")
+        shrunk = F.when(F.col("n_blocks") <= FEW_BLOCKS, 0.5).otherwise(0.9)
+        still = ((F.col("now") > leaf_rows) & (F.col("now") > shrunk * F.col("rows"))) | (
+            (F.col("now_weight") > leaf_shingles) & (F.col("now_weight") > shrunk * F.col("weight"))
+        )
+        found = found.union(joined(_block_pairs(kept.where(still)), ["region", "i", "j"]))
+        open_ = written(kept.where(~still).select("region", "pivot", "doc_id", "n"), "regions")
 
 
-def _block_pairs(rows: DataFrame, leaf_rows: int) -> DataFrame:
+def _block_pairs(rows: DataFrame) -> DataFrame:
     """Every two blocks of a region together: (region, i, j, doc_id)."""
-    n = F.ceil(2 * F.col("now") / leaf_rows)
-    own = rows.select("region", "doc_id", n.alias("n_blocks"), F.pmod(F.xxhash64("doc_id"), n).alias("block"))
+    own = rows.select("region", "doc_id", "n_blocks", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).alias("block"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     return each.select("region", "doc_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
