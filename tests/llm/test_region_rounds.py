@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from hirelens.llm import jaccard
+from hirelens.llm import jaccard, substrings
 
 
 def test_regions_of_long_documents_that_no_pivot_shrinks_take_one_round(spark, documents, prose, monkeypatch):
@@ -43,3 +43,15 @@ def test_kept_members_hold_a_region_of_every_link_and_few_others():
         columns = [np.array(x, np.int64).tobytes() for x in (range(len(counts)), [1] * len(counts), [500] * len(counts), counts)]
         batch = pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([c], pa.binary()) for c in columns)], ["lane", *jaccard.MEMBERSHIP])
         assert [r["region"] for out in jaccard.kept_members(iter([batch]), least, of) for r in out.to_pylist()] == left
+
+
+def test_holders_of_a_short_line_are_not_compared_with_one_pivot_a_round(documents, prose, monkeypatch):
+    line = prose(5, 40)
+    texts = [f"{prose(100 + k, 70)} {line} {prose(200 + k, 70)}" for k in range(60)]
+    texts[50] = f"{prose(300, 20)} {' '.join(texts[31].split()[40:120])} {prose(301, 20)}"
+    rounds, plain = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda frame, name: rounds.append(name) or plain(frame, name))
+    found = substrings.near_passages(documents(texts), leaf_rows=24).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in found} == {(50, 31)}
+    assert max(r["end"] - r["begin"] for r in found) >= 79
+    assert rounds.count("window_texts") == 1 and rounds.count("chunks") <= substrings.PIVOT_ROUNDS + 3
